@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarmill.llm import packing
-from sugarmill.llm.common import table
+from sugarmill.llm import packing, quality
+from sugarmill.llm.common import table, written
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -18,6 +18,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and perplexity verdict of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    scored = written(quality.score(docs, quality.fit(docs)).drop("text"))
+    m = F.col("quality")
+    rows = quality.with_bands(scored, quality.bands(scored, F.col("lang"), m), F.col("lang"))
+    return rows.select(
+        "doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words",
+        quality.base_failed(m).alias("base_failed"), quality.verdict(m, F.col("lower"), F.col("upper")).alias("kept"),
+        F.exp("quality.log_ppl").alias("perplexity"), F.exp("lower").alias("lower_perplexity"), F.exp("upper").alias("upper_perplexity"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -26,7 +39,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op8_packing": op8_packing}
+    return {"op2_quality_rules": op2_quality_rules, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
