@@ -11,6 +11,7 @@ nothing is shuffled and a lost task repeats with the same result.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ WINDOW = 1024
 #: Windows of a partition get the ids from partition << PART_BITS on.
 PART_BITS = 36
 #: Distinct words in each of the two generations of a worker's token cache.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 300_000
 
 PIECES = T.StructType(
     [
@@ -40,12 +41,21 @@ PIECES = T.StructType(
 )
 
 
+#: White space besides space and line feed; a text with any is encoded whole.
+OTHER_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def separable(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters, and no control string can occur."""
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", " \n", "\n ", "\n\n", "<|", *OTHER_BLANKS))
+
+
 class WordCache:
-    """Token ids, as little-endian 32-bit bytes, of space-delimited words of byte-level BPE.
+    """Token ids, as little-endian 32-bit bytes, of the words of byte-level BPE.
 
-    The pre-tokenizer never joins a lone space to what stands before it, so a text whose words neither are
-    empty nor begin or end with white space has the ids of its words, each with the space before it.
-    Other texts are encoded whole. Two generations bound the cache.
+    The pre-tokenizer never joins a lone space or line feed to what stands before it, so a separable text has the ids
+    of its words, each with the space or line feed before it. Other texts are encoded whole. Words are looked up without
+    their space. Two generations bound the cache.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -54,47 +64,49 @@ class WordCache:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.stops = dict(zip(".,", self.direct([".", ","]), strict=True))
 
     def direct(self, texts: list[str]) -> list[bytes]:
         """The ids of whole strings, as bytes."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def fill(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each of ``words``."""
-        found: dict[str, bytes] = {}
-        missing = []
+    def known(self, words: set[str]) -> dict[str, bytes]:
+        """A table that holds the ids of all of ``words``. A stop after a letter is a token of its own."""
         young, old = self.young, self.old
-        for w in words:
-            ids = young.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    missing.append(w)
-                    continue
+        missing = []
+        stopped = []
+        for w in words.difference(young):
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+            elif w[-1] in ".," and w[-2:-1].isalpha():
+                stopped.append(w)
+            else:
+                missing.append(w)
+        for w in {w[:-1] for w in stopped}.difference(young, missing):
+            ids = old.get(w)
+            if ids is not None:
                 young[w] = ids
-            found[w] = ids
+            else:
+                missing.append(w)
         if missing:
-            fresh = dict(zip(missing, self.direct(missing), strict=True))
-            found.update(fresh)
-            young.update((w, b) for w, b in fresh.items() if len(w) < 64)
+            young.update(zip(missing, self.direct([w if w[0] == "\n" else " " + w for w in missing]), strict=True))
+        for w in stopped:
+            young[w] = young[w[:-1]] + self.stops[w[-1]]
         if len(young) > self.limit:
-            self.old, self.young = young, {}
-        return found
+            self.old, self.young = {w: b for w, b in young.items() if len(w) < 64}, {}
+        return young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        split: list[list[str] | None] = []
+        split = [t.replace("\n", " \n").split(" ") if separable(t) else None for t in texts]
         words: set[str] = set()
-        for text in texts:
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
-            safe = "<|" not in text and not any(p == " " or p[-1].isspace() or p[1:2].isspace() for p in parts[1:]) and parts[0] != "" and not parts[0][-1].isspace()
-            split.append(parts if safe else None)
-            if safe:
-                words.update(parts)
-        ids = self.fill(words)
-        whole = iter(self.direct([t for t, p in zip(texts, split, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(ids.__getitem__, p)) for p in split]
+        for parts in split:
+            if parts:
+                words.update(parts[1:])
+        ids = self.known(words)
+        whole = iter(self.direct([t if parts is None else parts[0] for t, parts in zip(texts, split, strict=True)]))
+        return [next(whole) if parts is None else next(whole) + b"".join(map(ids.__getitem__, parts[1:])) for parts in split]
 
 
 class Levels:
