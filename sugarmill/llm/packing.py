@@ -26,7 +26,7 @@ WINDOW = 1024
 #: Windows of a partition get the ids from partition << PART_BITS on.
 PART_BITS = 36
 #: Distinct words in each of the two generations of a worker's token cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 PIECES = T.StructType(
     [
@@ -70,6 +70,13 @@ class WordCache:
         """The ids of whole strings, as bytes."""
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a space before them, or with their own line feed."""
+        tokenize = self.tokenizer.model.tokenize
+        plain = [w.isascii() and w.isalpha() for w in words]  # one piece for the pre-tokenizer, which writes the space as U+0120
+        rest = iter(self.direct([w if w[:1] == "\n" else " " + w for w, p in zip(words, plain, strict=True) if not p]))
+        return [array("I", [t.id for t in tokenize("\u0120" + w)]).tobytes() if p else next(rest) for w, p in zip(words, plain, strict=True)]
+
     def known(self, words: set[str]) -> dict[str, bytes]:
         """A table that holds the ids of all of ``words``. A stop after a letter is a token of its own."""
         young, old = self.young, self.old
@@ -90,7 +97,7 @@ class WordCache:
             else:
                 missing.append(w)
         if missing:
-            young.update(zip(missing, self.direct([w if w[0] == "\n" else " " + w for w in missing]), strict=True))
+            young.update(zip(missing, self.spaced(missing), strict=True))
         for w in stopped:
             young[w] = young[w[:-1]] + self.stops[w[-1]]
         if len(young) > self.limit:
@@ -180,7 +187,7 @@ def pack_partition(encode: Callable[[list[str]], list[bytes]], batches: Iterator
         rows.clear()
         return batch
 
-    for piece in slices(batches, 64):
+    for piece in slices(batches):
         texts = [t or "" for t in piece.column(1).to_pylist()]
         for doc, ids in zip(piece.column(0).to_pylist(), encode(texts), strict=True):
             ids += end
