@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarmill.llm import packing, quality
+from sugarmill.llm import ngram_join, packing, quality, toxicity
 from sugarmill.llm.common import table, written
 
 
@@ -37,9 +37,29 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 4-word shingles have a Jaccard of 0.85 or more."""
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document; labels of a quarter of the ids are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "toxicity.score", F.when(F.col("toxicity.score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        F.size("toxicity.hits").cast("long").alias("n_hits"), F.col("toxicity.quoted").alias("n_quoted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op2_quality_rules": op2_quality_rules, "op8_packing": op8_packing}
+    return {
+        "op2_quality_rules": op2_quality_rules,
+        "op4_toxicity": op4_toxicity,
+        "op8_packing": op8_packing,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
