@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarmill.llm import ngram_join, packing, quality, toxicity
+from sugarmill.llm import chat, embedding_join, ngram_join, packing, quality, toxicity
 from sugarmill.llm.common import table, written
 
 
@@ -18,6 +18,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+CONTROL_TURNS = "select -1L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted; digests of what is read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL_TURNS))
+    chats = chat.format_chats(rows, chat.text_part(F.col("text")))
+    back = chats.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    line = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "attachment_tokens",
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and perplexity verdict of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -31,6 +46,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of 0.9 or more."""
+    return embedding_join.join(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -55,8 +75,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
     return {
+        "op1_chat_formatting": op1_chat_formatting,
         "op2_quality_rules": op2_quality_rules,
         "op4_toxicity": op4_toxicity,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op8_packing": op8_packing,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
