@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarmill.llm import chat, embedding_join, ngram_join, packing, quality, toxicity
+from sugarmill.llm import chat, embedding_join, lm_scoring, ngram_join, packing, quality, toxicity
 from sugarmill.llm.common import table, written
 
 
@@ -72,6 +72,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents under a model of those not held out."""
+    return lm_scoring.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
     return {
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op8_packing": op8_packing,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 
