@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarmill.llm import chat, embedding_join, lm_scoring, ngram_join, packing, quality, toxicity
+from sugarmill.llm import chat, embedding_join, html_text, lm_scoring, ngram_join, packing, pieces, quality, toxicity
 from sugarmill.llm.common import table, written
 
 
@@ -62,6 +62,19 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of all documents, and whether they decode to the texts."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    rows = pieces.encode(table(spark, sf_dir, "documents"), model)
+    back = pieces.decode(F.col("ids"), model)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), (back == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A score for every document; labels of a quarter of the ids are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,8 +95,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_quality_rules": op2_quality_rules,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_toxicity": op4_toxicity,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
+        "op7_html_extraction": op7_html_extraction,
         "op8_packing": op8_packing,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_lm_scoring": op10_lm_scoring,
