@@ -13,7 +13,7 @@ Candidates are verified on the sets themselves. Texts with equal sets are one cl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from math import ceil, exp, sqrt
@@ -232,16 +232,17 @@ def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return rows.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 
 
-def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+def links(index: DataFrame, classes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(a, b) class fingerprints that link, enough of them to give all components.
 
-    ``classes`` is (fp, n, rep): fingerprint, size and smallest document of each class.
+    ``index`` is (sig, fp); ``classes`` is (fp, n, rep): fingerprint, size and where the class is first found;
+    ``grams_of`` gives (fp, grams) for the classes it is handed.
     """
     bucket = Window.partitionBy("sig")
-    shared = written(indexed(docs, n, percent).withColumn("low", F.min("fp").over(bucket)).withColumn("high", F.max("fp").over(bucket)).filter("low < high").select("sig", "fp").distinct())
+    shared = written(index.withColumn("low", F.min("fp").over(bucket)).withColumn("high", F.max("fp").over(bucket)).filter("low < high").select("sig", "fp").distinct())
     involved = written(shared.select("fp").distinct().join(classes, "fp").select("fp", "n", "rep"))
     sizes = involved.select("fp", "n")
-    grams = written(sets_of(docs.join(few(involved.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), n).dropDuplicates(["fp"]))
+    grams = written(grams_of(involved).join(sizes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
     ranked = written(shared.withColumn("rank", F.row_number().over(bucket.orderBy("fp"))))
     found, comp = None, None
     for k in range(1, PIVOTS + 2):
@@ -270,7 +271,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = written(keyed(rows, n))
     classes = written(keys.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep")))
-    found = links(rows, classes, n, percent)
+    found = links(indexed(rows, n, percent), classes, lambda involved: sets_of(rows.join(few(involved.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), n), percent)
     reps = classes.select("fp", "rep")
     named = found.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
     comp = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))

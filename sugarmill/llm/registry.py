@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarmill.llm import chat, embedding_join, html_text, lm_scoring, ngram_join, packing, pieces, quality, toxicity
+from sugarmill.llm import chat, embedding_join, html_text, lm_scoring, ngram_join, packing, paragraphs, pieces, quality, toxicity
 from sugarmill.llm.common import table, written
 
 
@@ -70,6 +70,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), (back == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of all documents that has a near copy, with the one that stays in its place."""
+    rows = paragraphs.clusters(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("line").alias("paragraph"), "n_shingles", F.col("cluster_doc").alias("kept_doc_id"), F.col("cluster_line").alias("kept_paragraph"), "removed")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -98,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_toxicity": op4_toxicity,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_html_extraction": op7_html_extraction,
         "op8_packing": op8_packing,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
