@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sugarmill.llm.common import cut
 
 #: Links that a task contracts to a forest at once.
-FOREST = 200_000
+FOREST = 300_000
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +37,7 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = root(a), root(b)
             if x != y:
                 up[max(x, y)] = min(x, y)
-        if len(up) > FOREST:
+        if len(up) > 2 * FOREST:
             yield flush()
     yield flush()
 
@@ -54,14 +54,21 @@ def stars(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, for every id in the (a, b) links. Null ends and loops are ignored."""
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b and a is not null and b is not null")
-    edges = cut(edges.mapInArrow(forest, "a long, b long").distinct())
+    """(id, component): the smallest id reachable, for every id in the (a, b) links. Null ends and loops are ignored.
+
+    Each round first contracts the links in tasks of about ``FOREST`` each. Where that is one task its forest is the
+    result; else a large and a small star follow, until nothing changes.
+    """
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b and a is not null and b is not null"))
     mark = None
     while True:
+        tasks = max(1, -(-edges.count() // FOREST))
+        edges = cut(edges.coalesce(tasks).mapInArrow(forest, "a long, b long"))
+        if tasks == 1:
+            break
+        edges = cut(stars(stars(edges, large=True), large=False))
         now = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("h")).first()
         if now == mark:
             break
         mark = now
-        edges = cut(stars(stars(edges, large=True), large=False))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
