@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sugarmill.llm.common import written
 from sugarmill.llm.components import components
+from sugarmill.llm.ngram_join import spanning
 
 LEAST = 0.9
 #: Vectors in a block; blocks in an interval; principal directions of the grid and the boxes.
@@ -126,20 +127,6 @@ def near_blocks(boxes: DataFrame, eps: float, k: int, parts: int) -> DataFrame:
     return pairs
 
 
-def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For links between places 0 to n - 1, the smallest place that each reaches."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def compared(batches: Iterator[pa.RecordBatch], dim: int, least: float) -> Iterator[pa.RecordBatch]:
     """For (a, b, ids, sizes, vectors of both) rows: (id, to, n), the links' count per class and a forest of them."""
     for batch in batches:

@@ -6,9 +6,11 @@ A scheme has ``q`` more segments than that, so that a set with at most ``q`` emp
 is not empty; only sets with more empty ones also index those. For small sets an allocation by cost may instead
 take segments that tolerate one difference, indexed with all their one-deletion neighbours, which count twice.
 
-A set is indexed by the hash of each segment. Sets that meet in a bucket are candidates: first each with the bucket's
-smallest, then with the next ones where components still differ, then whatever pairs are left between components.
-Candidates are verified on the sets themselves. Texts with equal sets are one class from the start.
+A set is indexed by the hash of each segment. Sets that meet in a bucket are candidates. First each is verified with the
+bucket's smallest, its pivot. Buckets of one pivot form a group; groups that still span several components are cut
+into blocks of bounded size, and blocks that span components are compared pair by pair of blocks, on the sets
+themselves, handing on a forest of links. So rows grow with the documents, not with the pairs of a group. Texts with
+equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from sugarmill.llm.components import components
 RATIO = 1.5
 #: Cost of a segment with at most one n-gram, in index rows.
 THIN = 4.0
-#: Smallest members of a bucket that are compared with all of it before pairs are listed.
-PIVOTS = 3
+#: Bytes of sets in a block of a group; a larger set is a block of its own.
+BLOCK_BYTES = 1_000_000
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 WORDS_HELD = 200_000
@@ -215,6 +217,64 @@ def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays(piece.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For links between places 0 to n - 1, the smallest place that each reaches."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The intersection sizes of all sets of ``a`` with all of ``b``, by products of 0/1 matrices of the n-grams both sides have."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    values = [np.concatenate(x) for x in (a, b)]
+    owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    both = np.intersect1d(*values)
+    places = []
+    for v, o in zip(values, owners, strict=True):
+        at = np.minimum(np.searchsorted(both, v), max(len(both) - 1, 0))
+        has = both[at] == v if len(both) else np.zeros(len(v), bool)
+        order = np.argsort(at[has], kind="stable")
+        places.append((at[has][order], o[has][order]))
+    for start in range(0, len(both), 2048):
+        sides = []
+        for (at, o), n in zip(places, (len(a), len(b)), strict=True):
+            lo, hi = np.searchsorted(at, [start, start + 2048])
+            m = np.zeros((n, min(2048, len(both) - start)), np.float32)
+            m[o[lo:hi], at[lo:hi] - start] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def blocked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For rows of two blocks of (fp, c, grams), a forest of the links between different components."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            i, j = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+            sides = []
+            for k in (2,) if i == j else (2, 3):
+                rows = batch.column(k)[r].values
+                fps, comps = (rows.field(n).to_numpy() for n in ("fp", "c"))
+                sides.append((fps, comps, [np.frombuffer(x, np.uint64) for x in rows.field("grams").to_pylist()]))
+            (fa, ca, sa), (fb, cb, sb) = sides[0], sides[-1]
+            same = common(sa, sb)
+            total = np.array([len(s) for s in sa])[:, None] + np.array([len(s) for s in sb])[None, :]
+            x, y = np.nonzero((100 * same >= percent * (total - same)) & (ca[:, None] != cb[None, :]))
+            if len(x):
+                ids = fa if i == j else np.concatenate([fa, fb])
+                root = spanning(x, y if i == j else y + len(fa), len(ids))
+                moved = root != np.arange(len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
+
+
 def few(ids: DataFrame) -> DataFrame:
     """Ids for a join: broadcast if counted to be few, else shuffled."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -226,40 +286,33 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "ga", "gb").mapInArrow(lambda x: linked(x, percent), "a long, b long")
 
 
-def fitting(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs whose sizes allow a link."""
-    rows = pairs.distinct().join(sizes.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-    return rows.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
-
 def links(index: DataFrame, classes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(a, b) class fingerprints that link, enough of them to give all components.
 
-    ``index`` is (sig, fp); ``classes`` is (fp, n, rep): fingerprint, size and where the class is first found;
-    ``grams_of`` gives (fp, grams) for the classes it is handed.
+    ``index`` is (sig, fp); ``classes`` is (fp, rep): fingerprint and where the class is first found; ``grams_of``
+    gives (fp, grams) for the classes it is handed.
     """
     bucket = Window.partitionBy("sig")
-    shared = written(index.withColumn("low", F.min("fp").over(bucket)).withColumn("high", F.max("fp").over(bucket)).filter("low < high").select("sig", "fp").distinct())
-    involved = written(shared.select("fp").distinct().join(classes, "fp").select("fp", "n", "rep"))
-    sizes = involved.select("fp", "n")
-    grams = written(grams_of(involved).join(sizes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
-    ranked = written(shared.withColumn("rank", F.row_number().over(bucket.orderBy("fp"))))
-    found, comp = None, None
-    for k in range(1, PIVOTS + 2):
-        rows = ranked if comp is None else ranked.join(comp, ranked.fp == comp.id, "left").select("sig", "fp", "rank", F.coalesce("component", "fp").alias("c"))
-        if comp is not None:  # buckets that still span components
-            split = rows.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("rank").alias("last")).filter((F.col("c0") < F.col("c1")) & (F.col("last") > k)).select("sig")
-            rows = cut(rows.join(split, "sig", "left_semi"))
-        apart = F.lit(True) if comp is None else F.col("ca") != F.col("cb")
-        left = rows.select("sig", F.col("fp").alias("a"), F.col("rank").alias("ra"), *([F.col("c").alias("ca")] if comp is not None else []))
-        right = rows.select("sig", F.col("fp").alias("b"), F.col("rank").alias("rb"), *([F.col("c").alias("cb")] if comp is not None else []))
-        turn = (F.col("ra") == k) if k <= PIVOTS else (F.col("ra") >= k)
-        pairs = left.filter(turn).join(right.filter(F.col("rb") > k if k <= PIVOTS else F.col("rb") > k), "sig").filter((F.col("ra") < F.col("rb")) & apart).select("a", "b")
-        new = cut(verified(fitting(pairs, sizes, percent), grams, percent))
-        found = new if found is None else found.unionByName(new)
-        if k <= PIVOTS:
-            comp = cut(components(found))
-    return found
+    shared = written(index.withColumn("low", F.min("fp").over(bucket)).withColumn("high", F.max("fp").over(bucket)).filter("low < high").select("sig", "fp", "low").distinct())
+    involved = written(shared.select("fp").distinct().join(classes.select("fp", "rep"), "fp"))
+    grams = written(grams_of(involved).join(involved.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+    found = cut(verified(shared.filter("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct(), grams, percent))
+    # what was not decided by pivots: groups whose other members are of two components or more
+    comp = components(found)
+    member = shared.filter("fp != low").select("low", "fp").distinct()
+    member = member.join(comp, F.col("fp") == comp.id, "left").select("low", "fp", F.coalesce("component", "fp").alias("c"))
+    open_groups = member.groupBy("low").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("low")
+    group = Window.partitionBy("low").orderBy("c", "fp")
+    sized = member.join(open_groups, "low", "left_semi").join(grams, "fp")
+    blocks = sized.withColumn("block", F.floor(F.sum(F.octet_length("grams")).over(group) / BLOCK_BYTES)).groupBy("low", "block").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.collect_list(F.struct("fp", "c", "grams")).alias("sets"))
+    blocks = written(blocks)
+    one = blocks.select("low", F.col("block").alias("i"), F.col("c0").alias("p0"), F.col("c1").alias("p1"))
+    two = blocks.select("low", F.col("block").alias("j"), F.col("c0").alias("q0"), F.col("c1").alias("q1"))
+    pairs = one.join(two, "low").filter("i <= j and least(p0, q0) < greatest(p1, q1)").select("low", "i", "j")
+    spread = pairs.repartition(max(1, min(2000, pairs.count())), "low", "i", "j")
+    rows = spread.join(blocks.select("low", F.col("block").alias("i"), F.col("sets").alias("a")), ["low", "i"]).join(blocks.select("low", F.col("block").alias("j"), F.col("sets").alias("b")), ["low", "j"])
+    more = rows.select("i", "j", "a", "b").mapInArrow(lambda x: blocked(x, percent), "a long, b long")
+    return cut(found.unionByName(more))
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +323,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = written(keyed(rows, n))
-    classes = written(keys.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("rep")))
+    classes = written(keys.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = links(indexed(rows, n, percent), classes, lambda involved: sets_of(rows.join(few(involved.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), n), percent)
     reps = classes.select("fp", "rep")
     named = found.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")

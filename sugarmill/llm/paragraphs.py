@@ -116,7 +116,7 @@ def clusters(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     keys = written(keyed(rows))
     place = F.struct("doc_id", "line")
     classes = written(keys.groupBy("fp").agg(F.first("n").alias("n"), F.min(place).alias("place"), F.max(place).alias("last"))).withColumn("rep", F.col("place.doc_id"))
-    found = links(indexed(rows, percent), classes.select("fp", "n", "rep"), lambda involved: sets_of(rows.join(few(involved.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")), percent)
+    found = links(indexed(rows, percent), classes.select("fp", "rep"), lambda involved: sets_of(rows.join(few(involved.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")), percent)
     comp = components(found).withColumnRenamed("id", "cid")
     joined = classes.join(comp, classes.fp == comp.cid, "left").select("fp", "n", "place", "last", F.coalesce("component", "fp").alias("c"))
     keeper = joined.groupBy("c").agg(F.min("place").alias("keeper"), F.max("last").alias("end")).filter("keeper < end")

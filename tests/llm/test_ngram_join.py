@@ -73,6 +73,22 @@ def test_every_linked_pair_shares_a_signature():
             assert len(np.intersect1d(nj.signatures(np.unique(a), percent), nj.signatures(np.unique(b), percent)))
 
 
+def test_groups_that_pivots_do_not_decide(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_BYTES", 4000)
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(70)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            t[rng.randrange(70)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    sets = [brute_sets(t, 4) for t in texts]
+    pairs = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nj.join(docs).collect()} == dict(enumerate(roots(150, pairs)))
+
+
 def test_large_group_and_empty_table(spark):
     base = [f"t{i}" for i in range(60)]
     texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) if i else " ".join(base) for i in range(60)] * 3
