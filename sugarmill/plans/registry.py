@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from sugarmill.plans import base, boxes  # noqa: F401  each module registers its queries
+from sugarmill.plans.base import Query
 
 
 def queries() -> dict[str, Query]:
     """Every query of the figure engine by name."""
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return dict(base.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
