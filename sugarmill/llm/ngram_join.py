@@ -309,7 +309,7 @@ def links(index: DataFrame, classes: DataFrame, grams_of: Callable[[DataFrame],
     one = blocks.select("low", F.col("block").alias("i"), F.col("c0").alias("p0"), F.col("c1").alias("p1"))
     two = blocks.select("low", F.col("block").alias("j"), F.col("c0").alias("q0"), F.col("c1").alias("q1"))
     pairs = one.join(two, "low").filter("i <= j and least(p0, q0) < greatest(p1, q1)").select("low", "i", "j")
-    spread = pairs.repartition(max(1, min(2000, pairs.count())), "low", "i", "j")
+    spread = pairs.repartition(max(1, min(2000, pairs.count() // 16)), "low", "i", "j")
     rows = spread.join(blocks.select("low", F.col("block").alias("i"), F.col("sets").alias("a")), ["low", "i"]).join(blocks.select("low", F.col("block").alias("j"), F.col("sets").alias("b")), ["low", "j"])
     more = rows.select("i", "j", "a", "b").mapInArrow(lambda x: blocked(x, percent), "a long, b long")
     return cut(found.unionByName(more))
