@@ -70,3 +70,25 @@ def fragments(nodes: DataFrame, max_cleavages: int | None = None) -> DataFrame:
     crossing = found.join(links, "glycan_id", "left").groupBy("glycan_id", "mask").agg(F.count_if(one != two).alias("cleavages"))
     out = crossing.join(root, "glycan_id").select("glycan_id", "mask", F.bit_count("mask").alias("size"), (F.col("mask").bitwiseAND(F.col("root_bit")) != 0).alias("has_root"), "cleavages")
     return out if max_cleavages is None else out.filter(F.col("cleavages") <= max_cleavages)
+
+
+def rooted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(glycan_id, node, parent, depth): undirected links (glycan_id, a, b) walked away from the root, each node once, by its smallest parent."""
+    both = links.select("glycan_id", "a", "b").unionByName(links.select("glycan_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    seen = cut(roots.select("glycan_id", "node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
+    frontier = seen
+    while True:
+        ahead = frontier.select("glycan_id", F.col("node").alias("a"), "depth").join(both, ["glycan_id", "a"]).groupBy("glycan_id", F.col("b").alias("node")).agg(F.min("a").alias("parent"), (F.min("depth") + 1).alias("depth"))
+        frontier = cut(ahead.join(seen.select("glycan_id", "node"), ["glycan_id", "node"], "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+def tree_checks(nodes: DataFrame, links: DataFrame, walked: DataFrame) -> DataFrame:
+    """(glycan_id, reason): null for a tree; else a single symbol, an unreached one, or a cycle."""
+    n = nodes.groupBy("glycan_id").agg(F.count("*").alias("n"))
+    e = links.groupBy("glycan_id").agg(F.count("*").alias("e"))
+    r = walked.groupBy("glycan_id").agg(F.count("*").alias("r"))
+    rows = n.join(e, "glycan_id", "left").join(r, "glycan_id", "left").fillna(0, ["e", "r"])
+    return rows.select("glycan_id", F.when(F.col("n") == 1, "single symbol").when(F.col("r") < F.col("n"), "not connected").when(F.col("e") >= F.col("n"), "cycle").alias("reason"))

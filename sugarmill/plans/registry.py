@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugarmill.plans import base, boxes, composition, detections, evaluation, overlap  # noqa: F401  each module registers its queries
+from sugarmill.plans import base, boxes, composition, detections, evaluation, overlap, trees  # noqa: F401  each module registers its queries
 from sugarmill.plans.base import Query
 
 
