@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugarmill.plans import annotation, base, boxes, composition, detections, evaluation, overlap, pixels, scans, trees  # noqa: F401  each module registers its queries
+from sugarmill.plans import annotation, base, boxes, composition, detections, evaluation, notation, overlap, pixels, scans, trees  # noqa: F401  each module registers its queries
 from sugarmill.plans.base import Query
 
 
