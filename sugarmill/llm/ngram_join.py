@@ -74,6 +74,43 @@ class Shingler:
         return np.unique(out)
 
 
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        """The words' hashes."""
+        import xxhash
+
+        new = set(words).difference(self.words)
+        if new:
+            if len(self.words) + len(new) > WORDS_HELD:
+                self.words, new = {}, set(words)
+            for w in new:
+                self.words[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+
+    def many(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of many lists of lower-case words, each of ``n`` words at least, one after the other, and their sizes."""
+        h = self.hashed([w for t in texts for w in t])
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        grams = np.full(max(len(h) - self.n + 1, 0), self.n, np.uint64)
+        for i in range(self.n):
+            grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(grams)])
+        owner = np.repeat(np.arange(len(texts)), size)
+        inside = owner[: len(grams)] == owner[self.n - 1 :]
+        grams, owner = grams[inside], owner[: len(grams)][inside]
+        at = 0
+        for k in (size - self.n + 1).tolist():
+            grams[at : at + k].sort()
+            at += k
+        first = np.ones(len(grams), bool)
+        first[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        return grams[first], np.bincount(owner[first], minlength=len(texts))
+
+
+def fingerprints(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The fingerprint of each of many sets that follow each other."""
+    starts = np.cumsum(size) - size
+    return (np.add.reduceat(mixed(grams ^ np.uint64(0x5851F42D4C957F2D)), starts) ^ size.astype(np.uint64)).astype(np.int64)
+
+
 def fingerprint(grams: np.ndarray) -> int:
     """A signed 64-bit hash of a set."""
     return int((mixed(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ np.uint64(len(grams))).astype(np.int64))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sugarmill.llm.common import slices, written
 from sugarmill.llm.components import components
-from sugarmill.llm.ngram_join import Shingler, few, fingerprint, links, mixed
+from sugarmill.llm.ngram_join import Shingler, few, fingerprints, links, mixed
 
 MIN_WORDS, SHINGLE, PERCENT = 25, 5, 80
 RECALL, MOST_HASHES = 0.999, 32
@@ -51,27 +51,31 @@ def band_hashes(grams: np.ndarray, ends: np.ndarray, bands: int, rows: int) -> n
     return np.stack(out, axis=1)
 
 
-def cut_up(text: str) -> list[tuple[int, str]]:
-    """(line, text) of the paragraphs."""
-    return [(k, line) for k, line in enumerate(text.split("\n")) if len(line) >= 2 * MIN_WORDS - 1 and len(line.split()) >= MIN_WORDS]
+def cut_up(text: str) -> list[tuple[int, list[bytes]]]:
+    """(line, lower-case words) of the paragraphs."""
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        if len(line) >= 2 * MIN_WORDS - 1:
+            words = line.encode("utf-8", "surrogatepass").lower().split()
+            if len(words) >= MIN_WORDS:
+                out.append((k, words))
+    return out
 
 
 def per_paragraph(docs: DataFrame, of, schema: str) -> DataFrame:
-    """Runs ``of(doc ids, lines, sets)`` over the paragraphs of slices of (doc_id, text) rows."""
+    """Runs ``of(doc ids, lines, n-grams, sizes)`` over the paragraphs of slices of (doc_id, text) rows; the sets follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(SHINGLE)
         for piece in slices(batches):
-            ids, lines, sets = [], [], []
+            ids, lines, texts = [], [], []
             for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                for k, line in cut_up(text or ""):
-                    grams = shingle(line)
-                    if len(grams):
-                        ids.append(doc)
-                        lines.append(k)
-                        sets.append(grams)
-            if sets:
-                yield of(ids, lines, sets)
+                for k, words in cut_up(text or ""):
+                    ids.append(doc)
+                    lines.append(k)
+                    texts.append(words)
+            if texts:
+                yield of(ids, lines, *shingle.many(texts))
 
     return docs.mapInArrow(run, schema)
 
@@ -79,8 +83,8 @@ def per_paragraph(docs: DataFrame, of, schema: str) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, line, n, fp) of every paragraph."""
 
-    def of(ids: list, lines: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["doc_id", "line", "n", "fp"])
+    def of(ids: list, lines: list, grams: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(size, pa.int64()), pa.array(fingerprints(grams, size))], names=["doc_id", "line", "n", "fp"])
 
     return per_paragraph(docs, of, "doc_id long, line long, n long, fp long")
 
@@ -89,10 +93,9 @@ def indexed(docs: DataFrame, percent: int) -> DataFrame:
     """(sig, fp): the band hashes of every paragraph."""
     bands, rows = tuned(percent)
 
-    def of(ids: list, lines: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        sigs = band_hashes(np.concatenate(sets), np.cumsum([len(s) for s in sets]), bands, rows)
-        fps = np.repeat(np.array([fingerprint(s) for s in sets], np.int64), bands)
-        return pa.RecordBatch.from_arrays([pa.array(sigs.ravel().view(np.int64)), pa.array(fps)], names=["sig", "fp"])
+    def of(ids: list, lines: list, grams: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        sigs = band_hashes(grams, np.cumsum(size), bands, rows)
+        return pa.RecordBatch.from_arrays([pa.array(sigs.ravel().view(np.int64)), pa.array(np.repeat(fingerprints(grams, size), bands))], names=["sig", "fp"])
 
     return per_paragraph(docs, of, "sig long, fp long")
 
@@ -100,8 +103,9 @@ def indexed(docs: DataFrame, percent: int) -> DataFrame:
 def sets_of(docs: DataFrame) -> DataFrame:
     """(fp, grams) of every paragraph, the set as bytes."""
 
-    def of(ids: list, lines: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "grams"])
+    def of(ids: list, lines: list, grams: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum(size).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(fingerprints(grams, size)), pa.array([grams[e - n : e].tobytes() for e, n in zip(ends, size.tolist(), strict=True)], pa.binary())], names=["fp", "grams"])
 
     return per_paragraph(docs, of, "fp long, grams binary")
 
