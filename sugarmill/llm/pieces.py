@@ -26,11 +26,21 @@ from sugarmill.llm.ngram_join import mixed
 SPACE = "▁"
 LONGEST = 48
 #: Units that a worker keeps forward sums of.
-UNITS_HELD = 150_000
+UNITS_HELD = 300_000
+
+
+def stepped(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hashes of substrings with one more code point."""
+    h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
 class Vocabulary:
-    """The pieces of a model file: ids and weights for the lattice, bytes for decoding."""
+    """The pieces of a model file: by length, sorted hashes with ids and weights; bytes for decoding."""
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -39,7 +49,6 @@ class Vocabulary:
         self.raw: list[bytes] = []
         self.byte = [0] * 256
         self.weight: dict[str, tuple[int, float]] = {}
-        self.longest = 1
         for k in range(model.get_piece_size()):
             piece = model.id_to_piece(k)
             if model.is_byte(k):
@@ -51,8 +60,17 @@ class Vocabulary:
                 self.raw.append(piece.replace(SPACE, " ").encode())
                 if SPACE not in piece[1:]:  # a unit has its space at the start
                     self.weight[piece.replace(SPACE, " ")] = (k, (1.0 / (k + 1)) ** alpha)
-                    self.longest = max(self.longest, len(piece))
+        self.longest = max(map(len, self.weight), default=1)
         self.fallback = (1.0 / len(self.raw)) ** alpha
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in range(1, self.longest + 1):
+            own = [(p, *x) for p, x in self.weight.items() if len(p) == n]
+            h = np.zeros(len(own), np.uint64)
+            c = codes("".join(p for p, _, _ in own)).reshape(-1, n)
+            for i in range(n):
+                h = stepped(h, c[:, i])
+            at = np.argsort(h)
+            self.tables.append((h[at], np.array([k for _, k, _ in own], np.int32)[at], np.array([w for _, _, w in own])[at]))
 
 
 class Lattices:
@@ -64,56 +82,75 @@ class Lattices:
 
     def clear(self) -> None:
         self.first: dict[str, int] = {}
-        self.groups = 0
-        self.new: tuple[list, list, list, list] = ([], [], [], [])  # of groups: first edge; of edges: cumulative share, length, piece
-        self.arrays = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.edges = 0
-
-    def add(self, unit: str) -> None:
-        """Sums the paths of a unit's lattice from left to right."""
-        v, n = self.v, len(unit)
-        known, longest, best = v.weight, v.longest, self.best
-        alpha = [1.0] + [0.0] * n
-        starts, shares, sizes, ids = self.new
-        self.first[unit] = self.groups
-        self.groups += n
-        for e in range(1, n + 1):
-            found = []
-            total = 0.0
-            for s in range(max(0, e - longest), e):
-                p = known.get(unit[s:e])
-                if p is not None:
-                    w = alpha[s] * p[1]
-                    if w > 0.0:
-                        found.append((w, e - s, p[0]))
-                        total += w
-            if unit[e - 1] not in known:
-                w = alpha[e - 1] * v.fallback
-                found.append((w, 1, -ord(unit[e - 1]) - 1))
-                total += w
-            starts.append(self.edges)
-            if best:
-                top = max(found)
-                alpha[e] = top[0]
-                found = [top]
-                shares.append(2.0)
-            else:
-                alpha[e] = total
-                at = 0.0
-                for w, _, _ in found:
-                    at += w / total
-                    shares.append(at)
-                shares[-1] = 2.0
-            for _, size, k in found:
-                sizes.append(size)
-                ids.append(k)
-            self.edges += len(found)
-
-    def tables(self) -> tuple[np.ndarray, ...]:
-        if self.new[0]:
-            self.arrays = tuple(np.concatenate([a, np.array(x, a.dtype)]) for a, x in zip(self.arrays, self.new, strict=True))
-            self.new = ([], [], [], [])
-        return self.arrays
+        self.groups = self.edges = 0
+        #: of groups: the first edge; of edges: cumulative share, length, piece (below 0: a character's bytes)
+        self.starts, self.shares, self.sizes, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 17, np.float32), np.zeros(1 << 17, np.int8), np.zeros(1 << 17, np.int32)
+
+    def stored(self, name: str, at: int, values: np.ndarray) -> None:
+        """Values from a place on, in an array that doubles when full."""
+        a = getattr(self, name)
+        if at + len(values) > len(a):
+            a = np.concatenate([a, np.zeros(max(len(a), len(values)), a.dtype)])
+            setattr(self, name, a)
+        a[at : at + len(values)] = values
+
+    def add(self, units: list[str]) -> None:
+        """Sums the paths of the units' lattices, all units together, place by place from left to right."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        first = np.cumsum(size) - size
+        self.first.update(zip(units, (first + self.groups).tolist(), strict=True))
+        c = codes("".join(units))
+        place = np.arange(len(c)) - np.repeat(first, size)
+        left = np.repeat(size, size) - place
+        i, h = np.arange(len(c)), np.zeros(len(c), np.uint64)
+        begin, length, piece, weight = [], [], [], []
+        for n, (keys, ids, weights) in enumerate(self.v.tables, 1):
+            if n > 1:
+                more = left[i] >= n
+                i, h = i[more], h[more]
+            h = stepped(h, c[i + n - 1])
+            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            if n == 1:
+                miss = i[~hit]
+                begin.append(miss)
+                length.append(np.ones(len(miss), np.int64))
+                piece.append(-c[miss].astype(np.int64) - 1)
+                weight.append(np.full(len(miss), self.v.fallback))
+            begin.append(i[hit])
+            length.append(np.full(int(hit.sum()), n))
+            piece.append(ids[at[hit]].astype(np.int64))
+            weight.append(weights[at[hit]])
+        begin, length, piece, weight = map(np.concatenate, (begin, length, piece, weight))
+        group = begin + length - 1
+        order = np.argsort(group, kind="stable")
+        begin, length, piece, weight, group = (x[order] for x in (begin, length, piece, weight, group))
+        count = np.bincount(group, minlength=len(c))
+        start = np.cumsum(count) - count
+        before, after, part = np.zeros(len(c) + 1), np.zeros(len(c)), np.zeros(len(group))
+        before[first] = 1.0
+        by_place = np.argsort(place[group], kind="stable")
+        cuts = np.searchsorted(place[group][by_place], np.arange(int(size.max()) + 1))
+        join = np.maximum if self.best else np.add
+        for e in range(int(size.max())):
+            edge = by_place[cuts[e] : cuts[e + 1]]
+            part[edge] = before[begin[edge]] * weight[edge]
+            ends = np.flatnonzero(np.r_[True, group[edge][1:] != group[edge][:-1]])
+            g = group[edge][ends]
+            after[g] = join.reduceat(part[edge], ends)
+            on = g[left[g] > 1]
+            before[on + 1] = after[on]
+        if self.best:
+            share = np.where(part == after[group], 2.0, -1.0)
+        else:
+            share = np.cumsum(part / after[group]) - np.repeat(np.arange(len(c)), count)
+        share[start + count - 1] = 2.0
+        self.stored("starts", self.groups, start + self.edges)
+        self.stored("shares", self.edges, share)
+        self.stored("sizes", self.edges, length)
+        self.stored("ids", self.edges, piece)
+        self.groups += len(c)
+        self.edges += len(group)
 
 
 def units_of(text: str) -> list[str]:
@@ -141,9 +178,9 @@ def encode_rows(lattices: Lattices, keys: list[int], texts: list[str]) -> list[b
     units = [units_of(t) for t in texts]
     if len(lattices.first) > UNITS_HELD:
         lattices.clear()
-    for u in set().union(*units).difference(lattices.first):
-        lattices.add(u)
-    starts, shares, sizes, ids = lattices.tables()
+    if new := set().union(*units).difference(lattices.first):
+        lattices.add(list(new))
+    starts, shares, sizes, ids = lattices.starts, lattices.shares, lattices.sizes, lattices.ids
     n = np.fromiter(map(len, units), np.int64, len(units))
     flat = [u for row in units for u in row]
     group = np.fromiter(map(lattices.first.__getitem__, flat), np.int64, len(flat))
@@ -154,7 +191,7 @@ def encode_rows(lattices: Lattices, keys: list[int], texts: list[str]) -> list[b
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     while len(live):
         e = left[live]
-        edge = starts[group[live] + e - 1]
+        edge = starts[group[live] + e - 1].astype(np.int64)
         u = draws(row[live], place[live] * 64 + e)
         more = np.flatnonzero(u >= shares[edge])
         while len(more):
@@ -200,7 +237,7 @@ def encode(docs: DataFrame, model: str, seed: int = 0, alpha: float = 0.5, best:
         if (model, alpha, best) not in _LATTICES:
             _LATTICES[model, alpha, best] = Lattices(Vocabulary(model, alpha), best)
         lattices = _LATTICES[model, alpha, best]
-        for piece in slices(batches, 128):
+        for piece in slices(batches):
             out = encode_rows(lattices, row_keys(piece.column(0).to_pylist(), seed), [t or "" for t in piece.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out, pa.binary())], names=["doc_id", "text", "ids"])
 
