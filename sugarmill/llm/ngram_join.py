@@ -372,7 +372,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one of smallest id (of equal rows one stays); blank texts stay."""
+    """``docs`` with one document of each component, the one of smallest id; rows that repeat an id stay together; blank texts stay."""
     found = join(docs, n, percent)
     names = written(found.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct())
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
