@@ -1,11 +1,13 @@
 """Main text of web pages by a site style tree.
 
 Each page is parsed once to its blocks of text, each with the path of the elements around it and the zone that their
-names give it: noise, article, or unknown. The pages of a host are merged by path. A content node's importance falls
-with the entropy of its blocks over the host's pages: a block on every page carries none, a block on one page all of it.
-A presentation node's importance is the entropy of its child layouts. Both give a node's importance, scaled by its zone;
-pages lose the branches whose importance is low. Where a zone's scale decides alone, whatever the entropy, nothing is
-counted: the trees are merged from the pages that have branches of open importance. All counting is by host, path and block, pre-aggregated before the shuffle.
+names give it: noise, article, or unknown. All distinct pages of a host, whatever they name, are merged by path; a copy of
+a page tells nothing about the site. A content node's importance falls with the entropy of its blocks over those pages: a
+block on every page carries none, a block on one page all of it. A presentation node's importance is the entropy of its
+child layouts. The zone is a prior, which the entropy outweighs as pages are merged: an article's branch that repeats
+goes, a branch outside that differs on many pages stays. Noise is left out: menus, ads and comments differ from page to
+page as well, so that entropy says nothing for them. All counting is by host, path and the hash of a block,
+pre-aggregated before the shuffle, and pages are joined with the few nodes of their host that overturn their prior.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from sugarmill.llm.common import slices, written
 
 #: Branches of less importance are removed.
 LEAST = 0.35
-#: Importance by zone: the least it can be, and what the entropy adds. Unknown branches of a page that names its article count little.
 NOISE, ARTICLE, OUTSIDE, UNKNOWN = 0, 1, 2, 3
-ZONES = {NOISE: (0.0, 0.05), ARTICLE: (0.5, 0.5), OUTSIDE: (0.0, 0.3), UNKNOWN: (0.0, 1.0)}
+#: Prior importance by zone, and the number of further pages that weigh as much. OUTSIDE are the unknown branches of a page that names its article.
+PRIORS = {ARTICLE: (0.9, 4.0), OUTSIDE: (0.1, 20.0), UNKNOWN: (1.0, 0.0)}
+#: Nodes against their prior that are broadcast; more are joined by a shuffle.
+MOST_SENT = 200_000
 #: Weight of content against presentation.
 CONTENT = 0.8
 
@@ -180,23 +184,34 @@ def parse(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, BLOCKS)
 
 
+def distinct_pages(tree: DataFrame) -> DataFrame:
+    """(host, blocks, layouts) once for all pages of a host with the same blocks, texts as hashes and without noise."""
+    kept = F.filter("blocks", lambda b: b["zone"] != NOISE)
+    short = F.transform(kept, lambda b: F.struct(b["path"].alias("path"), b["zone"].alias("zone"), F.xxhash64(b["text"]).alias("text")))
+    pages = tree.select("host", F.array_distinct(short).alias("blocks"), F.xxhash64("blocks").alias("digest"), "layouts")
+    return pages.filter(F.size("blocks") > 0).dropDuplicates(["host", "digest"]).drop("digest")
+
+
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, zone, importance) of the nodes of every host's merged tree."""
-    one = pages.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["zone"].alias("zone"), F.xxhash64(b["text"]).alias("f"))))).alias("b")).select("host", "b.*")
-    content = one.groupBy("host", "path", "zone", "f").agg(F.count("*").alias("k")).groupBy("host", "path", "zone").agg(F.count("*").alias("l"), F.sum(F.log("k")).alias("s"), F.max("k").alias("most"))
-    seen = pages.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["zone"].alias("zone"))))).alias("b")).groupBy("host", "b.path", "b.zone").agg(F.count("*").alias("m"))
+    """(host, path, zone, importance) of the nodes of every host's merged tree, for the zones that each has on some page; noise has none."""
+    one = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b["zone"] != NOISE), lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("f"))))).alias("b")).select("host", "b.*")
+    content = one.groupBy("host", "path", "f").agg(F.count("*").alias("k")).groupBy("host", "path").agg(F.count("*").alias("l"), F.sum(F.log("k")).alias("s"))
+    zones = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b["zone"] != NOISE), lambda b: F.struct(b["path"].alias("path"), b["zone"].alias("zone"))))).alias("b"))
+    # a path has one zone on a page, but for elements that some page names twice
+    seen = zones.groupBy("host", "b.path", "b.zone").agg(F.count("*").alias("m")).groupBy("host", "path").agg(F.sum("m").alias("m"), F.collect_set("zone").alias("zones"))
     of_content = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("l") * F.log("m"))).otherwise(1.0)
-    styles = pages.select("host", F.explode("layouts").alias("x")).groupBy("host", "x.path", "x.layout").agg(F.count("*").alias("k"))
+    styles = pages.select("host", F.explode("layouts").alias("x")).groupBy("host", "x.path", F.xxhash64("x.layout").alias("layout")).agg(F.count("*").alias("k"))
     node = styles.groupBy("host", "path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("s"))
     of_layout = F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0)
     node = node.select(F.col("host").alias("h"), F.col("path").alias("parent"), of_layout.alias("presentation"))
-    rows = content.join(seen, ["host", "path", "zone"]).withColumn("content", of_content).withColumn("up", F.regexp_replace("path", "/[^/]*$", ""))
+    rows = content.join(seen, ["host", "path"]).withColumn("content", of_content).withColumn("up", F.regexp_replace("path", "/[^/]*$", ""))
     rows = rows.join(node, (F.col("host") == F.col("h")) & (F.col("up") == F.col("parent")), "left")
     stat = CONTENT * F.col("content") + (1 - CONTENT) * F.coalesce("presentation", F.lit(1.0))
-    scaled = F.lit(0.0)
-    for zone, (base, room) in ZONES.items():
-        scaled = F.when(F.col("zone") == zone, base + room * stat).otherwise(scaled)
-    return rows.select("host", "path", "zone", scaled.alias("importance"))
+    more, weighed = F.col("m") - 1, F.lit(0.0)
+    for zone, (prior, weight) in PRIORS.items():
+        shared = (prior * weight + more * stat) / (weight + more) if weight else stat
+        weighed = F.when(F.col("zone") == zone, shared).otherwise(weighed)
+    return rows.withColumn("zone", F.explode("zones")).select("host", "path", "zone", weighed.alias("importance"))
 
 
 def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
@@ -206,16 +221,17 @@ def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     out, an empty table gives none.
     """
     tree = written(parse(pages))
-    always = [z for z, (base, room) in ZONES.items() if base + room < least]  # low whatever the entropy
-    asked = [z for z, (base, room) in ZONES.items() if base < least <= base + room]
-    left = lambda gone: F.filter("blocks", lambda b: ~b["zone"].isin(always) & ~gone(b))
-    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n").alias("text")
-    open_page = F.exists("blocks", lambda b: b["zone"].isin(asked))
-    plain = tree.filter(~open_page).select("page_id", "url", joined(left(lambda b: F.lit(False))))
-    rows = tree.filter(open_page)
-    low = importance(rows).filter((F.col("importance") < least) & F.col("zone").isin(asked)).select("host", "path", "zone")
-    nodes = rows.select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["zone"].alias("zone"))))).alias("b")).select("row", "host", "b.path", "b.zone")
-    removed = nodes.join(low, ["host", "path", "zone"]).groupBy("row").agg(F.collect_set(F.struct("path", "zone")).alias("removed"))
-    gone = lambda b: F.coalesce(F.array_contains("removed", F.struct(b["path"].alias("path"), b["zone"].alias("zone"))), F.lit(False))
-    weighed = rows.drop("layouts").join(removed, "row", "left").select("page_id", "url", joined(left(gone)))
-    return plain.unionByName(weighed)
+    stays = [z for z, (prior, _) in PRIORS.items() if prior >= least]  # by prior alone
+    against = importance(distinct_pages(tree)).filter((F.col("importance") >= least) != F.col("zone").isin(stays))
+    against = written(against.select("host", "path", "zone"))
+    rows = tree.drop("layouts")
+    as_node = lambda b: F.struct(b["path"].alias("path"), b["zone"].alias("zone"))
+    if against.count() <= MOST_SENT:
+        turned = against.groupBy("host").agg(F.collect_set(F.struct("path", "zone")).alias("turned"))
+        rows = rows.join(F.broadcast(turned), "host", "left")
+    else:
+        nodes = rows.select("row", "host", F.explode(F.array_distinct(F.transform("blocks", as_node))).alias("b")).select("row", "host", "b.path", "b.zone")
+        turned = nodes.join(against, ["host", "path", "zone"]).groupBy("row").agg(F.collect_set(F.struct("path", "zone")).alias("turned"))
+        rows = rows.join(turned, "row", "left")
+    left = F.filter("blocks", lambda b: (b["zone"] != NOISE) & (b["zone"].isin(stays) != F.coalesce(F.array_contains("turned", as_node(b)), F.lit(False))))
+    return rows.select("page_id", "url", F.array_join(F.transform(left, lambda b: b["text"]), "\n").alias("text"))

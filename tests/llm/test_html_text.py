@@ -31,3 +31,23 @@ def test_importance_is_the_entropy(spark):
     r = html_text.importance(tree).first()
     content = 1 - math.log(6) / (3 * math.log(8))
     assert abs(r.importance - 0.8 * content) < 1e-9 and re.fullmatch("/body/div.x", r.path)
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"http://h.com/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extract(df).orderBy("page_id").collect()]
+
+
+def test_entropy_overturns_names(spark, monkeypatch):
+    article = "<body><div class='top'><p>Welcome</p></div><div class='by'><p>Written {1}</p></div><article><p>Own {0}</p><div class='note'>Same everywhere</div></article><nav>menu {0}</nav></body>"
+    pages = [article.format(i, "by us" if i else "by x") for i in range(12)] + ["<body><div class='top'><p>Welcome</p></div><div class='body'><p>Plain page</p></div></body>"]
+    want = [f"Own {i}" for i in range(12)] + ["Plain page"]
+    assert extracted(spark, pages) == want
+    differing = [article.format(i, i) for i in range(40)]
+    assert extracted(spark, differing)[7] == "Written 7\nOwn 7"
+    monkeypatch.setattr(html_text, "MOST_SENT", 0)
+    assert extracted(spark, pages) == want
+
+
+def test_copies_of_a_page_keep_their_article(spark):
+    assert extracted(spark, ["<body><article><p>Only text</p></article></body>"] * 12) == ["Only text"] * 12
