@@ -4,10 +4,16 @@ A paragraph is a line with at least ``MIN_WORDS`` words. Paragraphs with equal s
 Each class has a MinHash signature in bands, tuned so that a pair at the limit collides in a band with a
 probability of ``RECALL`` at least. Classes that collide are compared on the shingles themselves, components of linked classes
 are clusters, and of each cluster the first paragraph, by document id and line, stays.
+
+What stands in no removed paragraph is then compared word by word, line breaks ignored. A window of ``WINDOW`` words that
+stands earlier, by document id and place, is removed, so that of a longer shared passage the union of its windows goes.
+Each window names the least hash of its ``GRAM``-word parts; equal windows name the same one, so only windows whose part is
+found twice are listed at all.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +28,11 @@ from sugarmill.llm.ngram_join import Shingler, few, fingerprints, links, mixed
 
 MIN_WORDS, SHINGLE, PERCENT = 25, 5, 80
 RECALL, MOST_HASHES = 0.999, 32
+#: Words of the shortest passage found inside and across lines, and of its parts that are looked up first.
+WINDOW, GRAM = 50, 20
+#: Documents with removed parts that are broadcast; more are joined by a shuffle.
+MOST_SENT = 20_000
+WORD = re.compile(rb"[^\t\n\r\x0b\x0c ]+")
 
 
 @lru_cache(maxsize=32)
@@ -129,17 +140,166 @@ def clusters(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     return out.select("doc_id", "line", F.col("n").alias("n_shingles"), F.col("keeper.doc_id").alias("cluster_doc"), F.col("keeper.line").alias("cluster_line"), (place != F.col("keeper")).alias("removed"))
 
 
+def rolled(h: np.ndarray, size: int, join) -> np.ndarray:
+    """``join`` over all runs of ``size`` values; runs beyond the end are left out."""
+    out, done, power, width = None, 0, h, 1
+    while True:
+        if size & width:
+            out = power if out is None else join(out[: max(len(h) - done - width + 1, 0)], power[done:])
+            done += width
+        width *= 2
+        if width > size:
+            return out
+        power = join(power[: max(len(h) - width + 1, 0)], power[width // 2 :])
+
+
+def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def windows(h: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the ``GRAM``-word parts, the least of each window of ``WINDOW`` words, and which windows lie in one part of the text."""
+    inside = part[: len(h) - WINDOW + 1] == part[WINDOW - 1 :]
+    grams = rolled(h, GRAM, chained)
+    return grams, rolled(grams, WINDOW - GRAM + 1, np.minimum), inside
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """(anchor, doc_id, c): the parts that windows name, and how often a document has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(1)
+        for piece in slices(batches):
+            texts = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in piece.column(1).to_pylist()]
+            size = [len(t) for t in texts]
+            h = shingle.hashed([w for t in texts for w in t])
+            if len(h) < WINDOW:
+                continue
+            owner = np.repeat(np.arange(len(texts)), size)
+            grams, least, inside = windows(h, owner)
+            pad = np.zeros(WINDOW - GRAM, np.uint64)
+            # a part is named if it is the least of one of the windows around it
+            named = rolled(np.concatenate([pad, np.where(inside, least, np.uint64(0)), pad]), WINDOW - GRAM + 1, np.maximum) == grams
+            pairs = np.stack([owner[: len(grams)][named].astype(np.uint64), grams[named]], axis=1)
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            first = np.ones(len(pairs), bool)
+            first[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+            at = np.flatnonzero(first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[at, 1].view(np.int64)), piece.column(0).take(pa.array(pairs[at, 0].astype(np.int64))), pa.array(np.diff(np.append(at, len(pairs))).astype(np.int32))], names=["anchor", "doc_id", "c"]
+            )
+
+    return docs.mapInArrow(run, "anchor long, doc_id long, c int")
+
+
+def listed(docs: DataFrame) -> DataFrame:
+    """(window, doc_id, start, line): the windows of (doc_id, text, gone, anchors) rows that name one of the anchors and hold no word of a line that is gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(1)
+        for piece in slices(batches):
+            for k, (doc, text) in enumerate(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True)):
+                gone, wanted = set(piece.column(2)[k].as_py() or ()), np.sort(piece.column(3)[k].values.to_numpy().view(np.uint64))
+                lines = [x.encode("utf-8", "surrogatepass").lower().split() for x in (text or "").split("\n")]
+                size = np.array([len(x) for x in lines])
+                stays = np.repeat(np.array([x not in gone for x in range(len(lines))]), size)
+                line = np.repeat(np.arange(len(lines)), size)[stays]
+                place = np.flatnonzero(stays)
+                if len(place) < WINDOW:
+                    continue
+                h = shingle.hashed([w for x, ws in enumerate(lines) if x not in gone for w in ws])
+                _, least, inside = windows(h, place - np.arange(len(place)))  # what is gone before tells the parts
+                at = np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)
+                found = np.flatnonzero(inside & (wanted[at] == least))
+                if len(found):
+                    whole = rolled(h, WINDOW, chained)[found]
+                    yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(np.full(len(found), doc, np.int64)), pa.array(place[found].astype(np.int32)), pa.array(line[found].astype(np.int32))], names=["window", "doc_id", "start", "line"])
+
+    return docs.mapInArrow(run, "window long, doc_id long, start int, line int")
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, start, n_words, kept_doc, kept_line) of the passages that the (start, line, first) windows of a document make up."""
+    for piece in slices(batches):
+        out = []
+        for doc, found in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+            # of a text that repeats itself at a shorter distance, one window stays
+            starts = [max(x["start"], x["first"]["start"] + WINDOW) if x["first"]["doc_id"] == doc else x["start"] for x in found]
+            end = -1
+            for start, x in sorted(zip(starts, found, strict=True), key=lambda y: (y[0], y[1]["start"])):
+                if start > end:
+                    out.append([doc, x["line"], start, 0, x["first"]["doc_id"], x["first"]["line"]])
+                end = max(end, x["start"] + WINDOW)
+                out[-1][3] = end - out[-1][2]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "line", "start", "n_words", "kept_doc", "kept_line"])
+
+
+def passages(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line, start, n_words, kept_doc, kept_line) of the passages of ``WINDOW`` words or more to remove beside whole lines.
+
+    ``lines`` is (doc_id, gone), the removed lines by document. ``start`` counts the document's words, ``line`` is where the first
+    window begins, ``kept_doc`` and ``kept_line`` tell where that window stays. Rows that repeat an id are the same document.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    named = written(anchors(rows))
+    twice = named.groupBy("anchor").agg(F.sum("c").alias("n")).filter("n > 1").select("anchor")
+    asked = named.select("anchor", "doc_id").join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    asked = written(asked.join(lines, "doc_id", "left"))
+    small = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
+    found = written(listed(rows.join(small, "doc_id").select("doc_id", "text", "gone", "anchors")))
+    place = F.struct("doc_id", "start", "line")
+    first = found.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first")
+    later = found.join(first, "window").filter(place != F.col("first")).filter("doc_id != first.doc_id or start > first.start")
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "line", "first")).alias("found")).mapInArrow(merged, "doc_id long, line long, start long, n_words long, kept_doc long, kept_line long")
+
+
+def gone_lines(found: DataFrame) -> DataFrame:
+    """(doc_id, gone) of the removed paragraphs."""
+    return found.filter("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+
+
+def without(text: str, gone: list[int] | None, spans: list | None) -> str:
+    """A text without lines and passages of (start, n_words); lines that lose all their words go."""
+    gone, out, at = set(gone or ()), [], 0
+    removed = {k for s in spans or () for k in range(s["start"], s["start"] + s["n_words"])}
+    for number, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        words = [m.span() for m in WORD.finditer(line)]
+        stays = [at + k not in removed for k in range(len(words))]
+        at += len(words)
+        if number in gone:
+            continue
+        if all(stays):
+            out.append(line)
+            continue
+        runs: list[list[int]] = []
+        for k, (a, b) in enumerate(words):
+            if stays[k]:
+                if k and stays[k - 1]:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+        if runs:
+            out.append(b" ".join(line[a:b] for a, b in runs))
+    return b"\n".join(out).decode("utf-8", "surrogatepass")
+
+
 def remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the removed paragraphs, with ``n_chars`` renewed; documents that lose their last word go.
+    """``docs`` without the removed paragraphs and passages, with ``n_chars`` renewed; documents that lose their last word go.
 
     Columns other than text and n_chars stay as they are.
     """
-    gone = written(clusters(docs, percent).filter("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc_id", "gone_id"))
+    lines = written(gone_lines(clusters(docs, percent)))
+    spans = passages(docs, lines).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
+    gone = written(lines.join(spans, "doc_id", "full").withColumnRenamed("doc_id", "gone_id"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    small = F.broadcast(gone) if gone.count() <= 20_000 else gone
+    small = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
     rows = rows.join(small, F.col("row")["doc_id"] == F.col("gone_id"), "left")
-    cut = F.array_join(F.filter(F.split(F.col("row")["text"], "\n"), lambda x, k: ~F.array_contains("gone", k.cast("long"))), "\n")
-    text = F.when(F.col("gone").isNotNull(), cut).otherwise(F.col("row")["text"])
-    rows = rows.withColumn("new", text).filter(F.col("gone").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"text": F.col("new"), "n_chars": F.when(F.col("gone").isNotNull(), F.char_length("new").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    touched = F.col("gone_id").isNotNull() & F.col("row")["text"].isNotNull()
+    cut = F.udf(lambda t, g, s: None if t is None else without(t, g, s), "string", useArrow=True)
+    new = cut(F.when(touched, F.col("row")["text"]), "gone", "spans")
+    rows = rows.withColumn("new", new).withColumn("new", F.when(touched, F.col("new")).otherwise(F.col("row")["text"]))
+    rows = rows.filter(~touched | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col("new"), "n_chars": F.when(touched, F.char_length("new").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
     return rows.select(*((changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns))

@@ -71,9 +71,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph of all documents that has a near copy, with the one that stays in its place."""
-    rows = paragraphs.clusters(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("line").alias("paragraph"), "n_shingles", F.col("cluster_doc").alias("kept_doc_id"), F.col("cluster_line").alias("kept_paragraph"), "removed")
+    """Every paragraph of all documents that has a near copy, with the one that stays in its place, and every passage that
+    goes beside them, by its first word and length."""
+    docs = table(spark, sf_dir, "documents")
+    found = written(paragraphs.clusters(docs))
+    rows = found.select("doc_id", F.col("line").alias("paragraph"), "n_shingles", F.col("cluster_doc").alias("kept_doc_id"), F.col("cluster_line").alias("kept_paragraph"), "removed", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("n_words"))
+    spans = paragraphs.passages(docs, paragraphs.gone_lines(found))
+    return rows.unionByName(spans.select("doc_id", F.col("line").alias("paragraph"), F.lit(None).cast("long").alias("n_shingles"), F.col("kept_doc").alias("kept_doc_id"), F.col("kept_line").alias("kept_paragraph"), F.lit(True).alias("removed"), "start", "n_words"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,27 @@ def test_matches_brute_force(spark):
 def test_tuning():
     bands, rows = paragraphs.tuned(80)
     assert bands * rows <= 32 and 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def test_passages_inside_and_across_lines_go(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    p, q, own = some(69), some(50), [some(70) for _ in range(6)]
+    across = "\n".join(" ".join(p[k : k + 10]) for k in range(0, 69, 10))
+    loop = " ".join(["la", "le", "lu"] * 40)
+    docs = [
+        (0, " ".join(own[0] + p + own[1])),
+        (1, " ".join(own[2]) + "\n" + across.upper() + "\n" + " ".join(own[3][:20])),
+        (2, " ".join(own[4] + q[:49] + ["x"])),
+        (3, " ".join(own[5] + q)),
+        (4, " ".join(q + own[3])),
+        (5, loop),
+        (None, " ".join(p)),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    want = {0: docs[0][1], 1: " ".join(own[2]) + "\n" + " ".join(own[3][:20]), 2: docs[2][1], 3: docs[3][1], 4: " ".join(own[3]), 5: " ".join((["la", "le", "lu"] * 40)[:50]), None: " ".join(p)}
+    for sent in (20_000, 0):
+        monkeypatch.setattr(paragraphs, "MOST_SENT", sent)
+        left = {x.doc_id: x for x in paragraphs.remove(df).collect()}
+        assert {i: x.text for i, x in left.items()} == want
+        assert all(x.n_chars == len(x.text) for x in left.values())
