@@ -42,7 +42,7 @@ def annotate(det: DataFrame, symbols: DataFrame, structures: DataFrame, exact: D
         raise ValueError(f"no pipeline {pipeline!r}; there are {', '.join(PIPELINES)}")
     source, _ = PIPELINES[pipeline]
     kept = detections.non_max_suppression(det, threshold * (2 if source == "contour" else 1))
-    named = kept.join(det.select("det_id", "class_id"), "det_id").join(symbols, "class_id")
+    named = kept.join(det.select("image_id", "det_id", "class_id"), ["image_id", "det_id"]).join(symbols, "class_id")
     counts = named.groupBy("image_id", "symbol").agg(F.count("*").alias("n"))
     rows = composition.text(counts, "image_id").join(counts.groupBy("image_id").agg(F.sum("n").alias("symbols")), "image_id")
     gate = structures.select("image_id", F.col("text").alias("t"), F.col("n").alias("nodes"))

@@ -55,7 +55,7 @@ def assigned(cands: DataFrame, by: list[str]) -> DataFrame:
 
 def nearest_truth(truth: DataFrame, det: DataFrame) -> DataFrame:
     """For every detection the truth it overlaps most, the first of equals; null if it hits none."""
-    order = Window.partitionBy("d_det_id").orderBy(F.desc_nulls_last("inter"), "t_box_id")
+    order = Window.partitionBy("image_id", "d_det_id").orderBy(F.desc_nulls_last("inter"), "t_box_id")
     return paired(truth, det, "left").withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
 
 

@@ -106,7 +106,7 @@ def formula_text(spark, d):
 
 @query("structure_gate", f"WITH {DET}, {NODES}, a AS (SELECT image_id, count(*) AS n FROM det WHERE det_id < 1000000 GROUP BY 1), b AS (SELECT glycan_id, count(*) AS n FROM nodes GROUP BY 1) SELECT image_id, a.n AS symbols FROM a JOIN b ON a.image_id = b.glycan_id AND a.n = b.n")
 def structure_gate(spark, d):
-    a = derived.detections(spark, d).filter("det_id < 1000000").groupBy("image_id").agg(F.count("*").alias("symbols"))
+    a = derived.first_detections(spark, d).groupBy("image_id").agg(F.count("*").alias("symbols"))
     b = derived.nodes(spark, d).groupBy(F.col("glycan_id").alias("image_id")).agg(F.count("*").alias("n"))
     return a.join(b, "image_id").filter("symbols = n").select("image_id", "symbols")
 

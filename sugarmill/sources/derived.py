@@ -25,14 +25,19 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections: shifted truths, second ones, and false ones."""
-    t = truth(spark, sf_dir)
-    first = t.filter("box_id % 11 <> 0").selectExpr(
+def first_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifted truths, the first detection of each."""
+    return truth(spark, sf_dir).filter("box_id % 11 <> 0").selectExpr(
         "box_id as det_id", "image_id", "cast(case when box_id % 13 = 0 then (class_id + 1) % 8 else class_id end as int) as class_id",
         "cast(x + (box_id * 31) % 11 - 5 as int) as x", "cast(y + (box_id * 37) % 11 - 5 as int) as y",
         "cast(w + (box_id * 41) % 9 - 4 as int) as w", "cast(h + (box_id * 43) % 9 - 4 as int) as h", "cast((box_id * 7919) % 9901 as double) / 10000 as conf",
     )
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections: shifted truths, second ones, and false ones. From 1,000,000 orders on an id stands for one detection only within its image."""
+    t = truth(spark, sf_dir)
+    first = first_detections(spark, sf_dir)
     second = t.filter("box_id % 3 = 0").selectExpr(
         "1000000 + box_id as det_id", "image_id", "class_id", "cast(x + (box_id * 53) % 21 - 10 as int) as x", "cast(y + (box_id * 59) % 21 - 10 as int) as y", "w", "h",
         "cast((box_id * 104729) % 9901 as double) / 10000 as conf",
