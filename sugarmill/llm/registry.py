@@ -36,13 +36,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and perplexity verdict of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    scored = written(quality.score(docs, quality.fit(docs)).drop("text"))
+    model = quality.fit(docs)
+    scored = written(quality.score(docs, model).drop("text"))
     m = F.col("quality")
-    rows = quality.with_bands(scored, quality.bands(scored, F.col("lang"), m), F.col("lang"))
-    return rows.select(
+    lower, upper = quality.bands(scored, model, F.col("lang"), m)
+    return scored.select(
         "doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words",
-        quality.base_failed(m).alias("base_failed"), quality.verdict(m, F.col("lower"), F.col("upper")).alias("kept"),
-        F.exp("quality.log_ppl").alias("perplexity"), F.exp("lower").alias("lower_perplexity"), F.exp("upper").alias("upper_perplexity"),
+        quality.base_failed(m).alias("base_failed"), quality.verdict(m, lower, upper).alias("kept"),
+        F.exp("quality.log_ppl").alias("perplexity"), F.exp("quality.log_low").alias("low_perplexity"), F.exp(lower).alias("lower_perplexity"), F.exp(upper).alias("upper_perplexity"),
     )
 
 

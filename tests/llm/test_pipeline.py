@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -6,7 +7,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from sugarmill.llm import quality
 from tests.llm.test_ngram_join import brute_sets, roots
+from tests.llm.test_quality import brute_kept, brute_model
 
 
 def corpus():
@@ -54,7 +57,14 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
         again = {i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}
         return len(w) >= 50 and 100 * len(again) <= 50 * len(w)
 
-    left = {i: t for i, t in left.items() if passes(t)}
+    rows = [(i, left[i], "en") for i in sorted(left) if passes(left[i])]
+    prob = brute_model([(i, t, "en" if t is not None else None) for i, t in left.items()], quality.MIN_WORD, quality.MIN_PAIR)
+    measures = []
+    for _, t, _ in rows:
+        w = t.split()
+        p = [prob("en", a, b) for a, b in zip(["<begin>", *w], w)]
+        measures.append(("en", len(w), 0, *(-sum(math.log(x[k]) for x in p) / len(w) for k in (0, 1))))
+    left = {r[0]: r[1] for r in brute_kept(rows, measures)}
     assert seen["quality_rules"] == left
     ids = sorted(left)
     sets = [brute_sets(left[i], 5) for i in ids]
