@@ -1,16 +1,20 @@
 """Exact Jaccard self-join of word n-gram sets by universe-partition pigeonhole.
 
-Sets are put into bands by size; each band, and each border between bands, is a scheme. Sets that link differ in at
-most ``H`` n-grams, so when hashing deals the n-grams to more than ``H`` segments, one segment of both is the same.
+Sets are put into bands by size; each band is a scheme for the pairs whose larger set is in it, so a set takes part in its own
+band and in those that a larger set linked with it may be in. Sets that link differ in at most ``H`` n-grams, so when hashing deals the n-grams to more than ``H`` segments, one segment of both is the same.
 A scheme has ``q`` more segments than that, so that a set with at most ``q`` empty ones has an equal segment which
 is not empty; only sets with more empty ones also index those. For small sets an allocation by cost may instead
 take segments that tolerate one difference, indexed with all their one-deletion neighbours, which count twice.
 
-A set is indexed by the hash of each segment. Sets that meet in a bucket are candidates. First each is verified with the
-bucket's smallest, its pivot. Buckets of one pivot form a group; groups that still span several components are cut
-into blocks of bounded size, and blocks that span components are compared pair by pair of blocks, on the sets
-themselves, handing on a forest of links. So rows grow with the documents, not with the pairs of a group. Texts with
-equal sets are one class from the start.
+A set is indexed by the hash of each segment. Sets that meet in a bucket are candidates. First each is compared with the
+bucket's smallest, its pivot. Buckets whose other sets still span several components are open; their sets form a group by
+pivot, cut into blocks of bounded size, and blocks that span components are compared pair by pair of blocks, handing on a
+forest of links. So rows grow with the documents, not with the pairs of a group. Texts with equal sets are one class from
+the start.
+
+All comparisons come in two steps. A sketch has a bit for each of a few hundred cells, the parity of the n-grams that fall
+into it, so two sketches differ in no more bits than the sets differ in n-grams: a bound that is never wrong and sorts out most
+pairs. What it lets pass is verified on the sets.
 """
 
 from __future__ import annotations
@@ -33,11 +37,13 @@ from sugarmill.llm.components import components
 RATIO = 1.5
 #: Cost of a segment with at most one n-gram, in index rows.
 THIN = 4.0
-#: Bytes of sets in a block of a group; a larger set is a block of its own.
-BLOCK_BYTES = 1_000_000
+#: Bytes of sets, or of sketches, in a block of a group; a larger set is a block of its own.
+BLOCK_BYTES, SKETCH_BYTES = 1_000_000, 500_000
+#: Classes that a task indexes once only.
+CLASSES_HELD = 200_000
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
-WORDS_HELD = 200_000
+WORDS_HELD = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -159,15 +165,12 @@ def edges_until(size: int) -> list[int]:
 @lru_cache(maxsize=100_000)
 def schemes_of(size: int, percent: int) -> list[Scheme]:
     """The schemes that a set of this size takes part in."""
-    edges = edges_until(1 << max(size, 1).bit_length())
-    k = next(i for i in range(len(edges) - 1) if edges[i] <= size < edges[i + 1])
-    most = lambda s, r: (100 - percent) * (s + r) // (100 + percent)
-    found = [cached_scheme(2 * k, edges[k], edges[k + 1] - 1, most(edges[k + 1] - 1, edges[k + 1] - 1))]
-    for j in (k, k + 1):  # the borders below and above
-        border = edges[j]
-        low, high = -(-border * percent // 100), border * 100 // percent
-        if j and low <= size <= high and low < border:
-            found.append(cached_scheme(2 * j + 1, low, high, most(border - 1, high)))
+    edges = edges_until(1 << (2 * max(size, 1)).bit_length())
+    found = []
+    for k in range(len(edges) - 1):
+        if edges[k + 1] > size and edges[k] * percent <= 100 * size:
+            most = edges[k + 1] - 1
+            found.append(cached_scheme(k, -(-edges[k] * percent // 100), most, (100 - percent) * 2 * most // (100 + percent)))
     return found
 
 
@@ -211,25 +214,25 @@ def per_text(docs: DataFrame, n: int, of, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def keyed(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, fp) of every document."""
-
-    def of(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "fp"])
-
-    return per_text(docs, n, of, "doc_id long, n_shingles long, fp long")
-
+def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, fp, sigs) of every document; the index hashes stand only where a task first meets a set."""
 
-def indexed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, fp): every index hash of every set."""
-
-    def of(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        sigs = [signatures(s, percent) for s in sets if len(s)]
-        fps = np.array([fingerprint(s) for s in sets if len(s)], np.int64)
-        flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(fps, [len(s) for s in sigs]))], names=["sig", "fp"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, seen = Shingler(n), set()
+        for piece in slices(batches):
+            sets = [shingle(t or "") for t in piece.column(1).to_pylist()]
+            fps = [fingerprint(s) for s in sets]
+            sigs = []
+            for s, fp in zip(sets, fps, strict=True):
+                new = len(s) and fp not in seen
+                if new:
+                    if len(seen) >= CLASSES_HELD:
+                        seen.clear()
+                    seen.add(fp)
+                sigs.append(signatures(s, percent).view(np.int64) if new else None)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "sigs"])
 
-    return per_text(docs, n, of, "sig long, fp long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long, sigs array<long>")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -254,6 +257,71 @@ def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays(piece.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def width_of(size: int) -> int:
+    """The cells of a set's sketch."""
+    return max(512, 1 << (3 * size - 1).bit_length())
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """The parity of the n-grams in each cell."""
+    width = width_of(len(grams))
+    cells = np.bincount((mixed(grams ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
+
+
+def folded(x: bytes, width: int) -> bytes:
+    """A sketch over fewer cells."""
+    while len(x) > width:
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half]) ^ int.from_bytes(x[half:])).to_bytes(half)
+    return x
+
+
+def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, n, sketch, grams) of (fp, grams) rows."""
+    for piece in slices(batches):
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in piece.column(1)]
+        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), piece.column(1)], names=["fp", "n", "sketch", "grams"])
+
+
+def passing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, d) of those (a, b, na, nb, sa, sb) rows whose sketches allow a link; ``d`` bits differ."""
+    for piece in slices(batches):
+        na, nb = piece.column(2).to_pylist(), piece.column(3).to_pylist()
+        d, keep = [], []
+        for r, s, x, y in zip(na, nb, piece.column(4).to_pylist(), piece.column(5).to_pylist(), strict=True):
+            width = min(len(x), len(y))
+            d.append((int.from_bytes(folded(x, width)) ^ int.from_bytes(folded(y, width))).bit_count())
+            keep.append(d[-1] * (100 + percent) <= (100 - percent) * (r + s))
+        yield pa.RecordBatch.from_arrays([*piece.columns[:2], pa.array(d, pa.int64())], names=["a", "b", "d"]).filter(pa.array(keep, pa.bool_()))
+
+
+def likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For (low, a, b) rows of two blocks of (fp, c, n, data), data a sketch, the (low, fp) that may link with another component's."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            low = batch.column(0)[row].as_py()
+            sides = [batch.column(k)[row].values for k in (1, 2) if batch.column(k)[row].is_valid]
+            width = min(len(x) for side in sides for x in side.field("data").to_pylist())
+            parts = []
+            for side in sides:
+                bits = np.stack([np.unpackbits(np.frombuffer(folded(x, width), np.uint8)) for x in side.field("data").to_pylist()]).astype(np.float32)
+                parts.append((bits, side.field("fp").to_numpy(), side.field("c").to_numpy(), side.field("n").to_numpy()))
+            (x, fx, cx, nx), (y, fy, cy, ny) = parts[0], parts[-1]
+            hit = np.zeros(len(fy), bool)
+            found = []
+            ones = y.sum(axis=1)
+            for at in range(0, len(fx), 512):
+                part = slice(at, at + 512)
+                d = x[part].sum(axis=1)[:, None] + ones[None, :] - 2 * (x[part] @ y.T)
+                good = (d * (100 + percent) <= (100 - percent) * (nx[part, None] + ny[None, :])) & (cx[part, None] != cy[None, :])
+                found.append(fx[part][good.any(axis=1)])
+                hit |= good.any(axis=0)
+            fps = np.unique(np.concatenate([*found, fy[hit]]))
+            if len(fps):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), low)), pa.array(fps)], names=["low", "fp"])
+
+
 def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """For links between places 0 to n - 1, the smallest place that each reaches."""
     label = np.arange(n)
@@ -292,22 +360,19 @@ def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def blocked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For rows of two blocks of (fp, c, grams), a forest of the links between different components."""
+    """For (low, a, b) rows of two blocks of (fp, c, n, data), data a set, a forest of the links between different components."""
     for batch in batches:
-        for r in range(batch.num_rows):
-            i, j = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+        for row in range(batch.num_rows):
             sides = []
-            for k in (2,) if i == j else (2, 3):
-                rows = batch.column(k)[r].values
-                fps, comps = (rows.field(n).to_numpy() for n in ("fp", "c"))
-                sides.append((fps, comps, [np.frombuffer(x, np.uint64) for x in rows.field("grams").to_pylist()]))
+            for side in (batch.column(k)[row].values for k in (1, 2) if batch.column(k)[row].is_valid):
+                sides.append((side.field("fp").to_numpy(), side.field("c").to_numpy(), [np.frombuffer(x, np.uint64) for x in side.field("data").to_pylist()]))
             (fa, ca, sa), (fb, cb, sb) = sides[0], sides[-1]
             same = common(sa, sb)
             total = np.array([len(s) for s in sa])[:, None] + np.array([len(s) for s in sb])[None, :]
             x, y = np.nonzero((100 * same >= percent * (total - same)) & (ca[:, None] != cb[None, :]))
             if len(x):
-                ids = fa if i == j else np.concatenate([fa, fb])
-                root = spanning(x, y if i == j else y + len(fa), len(ids))
+                ids = fa if len(sides) == 1 else np.concatenate([fa, fb])
+                root = spanning(x, y if len(sides) == 1 else y + len(fa), len(ids))
                 moved = root != np.arange(len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
 
@@ -317,38 +382,76 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def of_ids(grams: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``grams`` whose ``fp`` is among ``ids``."""
+    return grams.select("fp", *columns).join(few(ids), "fp", "left_semi")
+
+
 def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (a, b) that link."""
-    rows = pairs.join(grams.select(F.col("fp").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("fp").alias("b"), F.col("grams").alias("gb")), "b")
+    wanted = of_ids(grams, written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()), "grams")
+    rows = pairs.join(wanted.select(F.col("fp").alias("a"), F.col("grams").alias("ga")), "a").join(wanted.select(F.col("fp").alias("b"), F.col("grams").alias("gb")), "b")
     return rows.select("a", "b", "ga", "gb").mapInArrow(lambda x: linked(x, percent), "a long, b long")
 
 
+def block_pairs(member: DataFrame, limit: int) -> DataFrame:
+    """(low, a, b): the pairs of blocks of each group that span components; ``b`` is null for a block by itself.
+
+    ``member`` is (low, fp, c, n, data). A component with more than ``limit`` bytes has blocks of its own, dealt by a hash;
+    the others are dealt to blocks by a hash of the component.
+    """
+    size = F.sum(F.octet_length("data"))
+    of_component = member.groupBy("low", "c").agg(size.alias("bytes"))
+    small = of_component.filter(F.col("bytes") <= limit).groupBy("low").agg(F.sum("bytes").alias("rest"))
+    parts = lambda x: F.ceil(x / limit).cast("long")
+    sized = of_component.join(small, "low", "left").select("low", "c", "bytes", F.coalesce("rest", F.lit(0)).alias("rest"))
+    large = F.col("bytes") > limit
+    placed = member.join(sized, ["low", "c"]).select(
+        "low", "fp", "c", "n", "data", F.when(large, F.col("c")).alias("own"),
+        F.when(large, F.pmod(F.xxhash64("fp"), parts(F.col("bytes")))).otherwise(F.pmod(F.xxhash64("c"), parts(F.greatest("rest", F.lit(1))))).alias("k"),
+    )
+    blocks = placed.groupBy("low", F.struct(F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNotNull().alias("is_own"), "k").alias("block"))
+    blocks = written(blocks.agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.collect_list(F.struct("fp", "c", "n", "data")).alias("sets")))
+    alone = blocks.filter("c0 < c1").select("low", F.col("sets").alias("a"), F.lit(None).cast(blocks.schema["sets"].dataType).alias("b"))
+    one = blocks.select("low", F.col("block").alias("i"), F.col("c0").alias("p0"), F.col("c1").alias("p1"))
+    two = blocks.select("low", F.col("block").alias("j"), F.col("c0").alias("q0"), F.col("c1").alias("q1"))
+    pairs = written(one.join(two, "low").filter("i < j and least(p0, q0) < greatest(p1, q1)").select("low", "i", "j"))
+    n = pairs.count()
+    if not n:
+        return alone
+    spread = pairs.repartition(max(1, min(2000, n // 16)), "low", "i", "j")
+    return alone.unionByName(spread.join(blocks.select("low", F.col("block").alias("i"), F.col("sets").alias("a")), ["low", "i"]).join(blocks.select("low", F.col("block").alias("j"), F.col("sets").alias("b")), ["low", "j"]).select("low", "a", "b"))
+
+
 def links(index: DataFrame, classes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(a, b) class fingerprints that link, enough of them to give all components.
 
     ``index`` is (sig, fp); ``classes`` is (fp, rep): fingerprint and where the class is first found; ``grams_of``
-    gives (fp, grams) for the classes it is handed.
+    gives (fp, grams) for the classes it is handed, each once.
     """
     bucket = Window.partitionBy("sig")
     shared = written(index.withColumn("low", F.min("fp").over(bucket)).withColumn("high", F.max("fp").over(bucket)).filter("low < high").select("sig", "fp", "low").distinct())
     involved = written(shared.select("fp").distinct().join(classes.select("fp", "rep"), "fp"))
-    grams = written(grams_of(involved).join(involved.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
-    found = cut(verified(shared.filter("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct(), grams, percent))
-    # what was not decided by pivots: groups whose other members are of two components or more
+    grams = written(grams_of(involved).mapInArrow(sketched, "fp long, n long, sketch binary, grams binary"))
+    met = shared.filter("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+    side = lambda x: grams.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    pairs = written(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: passing(x, percent), "a long, b long, d long"))
+    # each class with its likeliest pivot, then with those of other components
+    first = written(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"))
+    found = cut(verified(first, grams, percent))
     comp = components(found)
-    member = shared.filter("fp != low").select("low", "fp").distinct()
-    member = member.join(comp, F.col("fp") == comp.id, "left").select("low", "fp", F.coalesce("component", "fp").alias("c"))
-    open_groups = member.groupBy("low").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("low")
-    group = Window.partitionBy("low").orderBy("c", "fp")
-    sized = member.join(open_groups, "low", "left_semi").join(grams, "fp")
-    blocks = sized.withColumn("block", F.floor(F.sum(F.octet_length("grams")).over(group) / BLOCK_BYTES)).groupBy("low", "block").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.collect_list(F.struct("fp", "c", "grams")).alias("sets"))
-    blocks = written(blocks)
-    one = blocks.select("low", F.col("block").alias("i"), F.col("c0").alias("p0"), F.col("c1").alias("p1"))
-    two = blocks.select("low", F.col("block").alias("j"), F.col("c0").alias("q0"), F.col("c1").alias("q1"))
-    pairs = one.join(two, "low").filter("i <= j and least(p0, q0) < greatest(p1, q1)").select("low", "i", "j")
-    spread = pairs.repartition(max(1, min(2000, pairs.count() // 16)), "low", "i", "j")
-    rows = spread.join(blocks.select("low", F.col("block").alias("i"), F.col("sets").alias("a")), ["low", "i"]).join(blocks.select("low", F.col("block").alias("j"), F.col("sets").alias("b")), ["low", "j"])
-    more = rows.select("i", "j", "a", "b").mapInArrow(lambda x: blocked(x, percent), "a long, b long")
+    named = lambda df, x, c: df.join(comp.select(F.col("id").alias(x), F.col("component").alias(c)), x, "left").withColumn(c, F.coalesce(c, x))
+    rest = named(named(pairs.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").filter("ca != cb").select("a", "b")
+    found = cut(found.unionByName(verified(written(rest), grams, percent)))
+    # what pivots left open: buckets whose other members are of two components or more
+    comp = components(found)
+    member = written(named(shared.filter("fp != low"), "fp", "c"))
+    open_buckets = member.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("sig")
+    member = written(member.join(open_buckets, "sig", "left_semi").select("low", "fp", "c").distinct())
+    rows = member.join(grams.select("fp", "n", F.col("sketch").alias("data")), "fp").select("low", "fp", "c", "n", "data")
+    left = written(block_pairs(rows, SKETCH_BYTES).mapInArrow(lambda x: likely(x, percent), "low long, fp long").distinct())
+    rows = member.join(left, ["low", "fp"]).join(of_ids(grams, written(left.select("fp").distinct()), "n", "grams").withColumnRenamed("grams", "data"), "fp").select("low", "fp", "c", "n", "data")
+    more = block_pairs(rows, BLOCK_BYTES).mapInArrow(lambda x: blocked(x, percent), "a long, b long")
     return cut(found.unionByName(more))
 
 
@@ -359,15 +462,22 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     under its text's class but is never a component's name unless it stands alone. An empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = written(keyed(rows, n))
+    keys = written(keyed(rows, n, percent))
     classes = written(keys.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = links(indexed(rows, n, percent), classes, lambda involved: sets_of(rows.join(few(involved.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), n), percent)
+    again = keys.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+
+    def grams_of(involved: DataFrame) -> DataFrame:
+        chosen = rows.join(few(involved.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+        sets = of_ids(sets_of(chosen, n), involved.select("fp"), "grams")
+        return sets.dropDuplicates(["fp"]) if again else sets  # a set comes twice only where an id does
+
+    found = links(keys.select(F.explode("sigs").alias("sig"), "fp"), classes, grams_of, percent)
     reps = classes.select("fp", "rep")
     named = found.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
     comp = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     of_class = written(reps.join(comp, reps.rep == comp.id, "left").select("fp", F.coalesce("component", "rep").alias("component")))
     empty = keys.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = keys.filter("n_shingles > 0").join(of_class, "fp", "left")
+    full = keys.filter("n_shingles > 0").select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
     return full.select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionByName(empty)
 
 

@@ -24,14 +24,12 @@ from pyspark.sql import functions as F
 
 from sugarmill.llm.common import slices, written
 from sugarmill.llm.components import components
-from sugarmill.llm.ngram_join import Shingler, few, fingerprints, links, mixed
+from sugarmill.llm.ngram_join import Shingler, few, fingerprints, links, mixed, of_ids
 
 MIN_WORDS, SHINGLE, PERCENT = 25, 5, 80
 RECALL, MOST_HASHES = 0.999, 32
 #: Words of the shortest passage found inside and across lines, and of its parts that are looked up first.
 WINDOW, GRAM = 50, 20
-#: Documents with removed parts that are broadcast; more are joined by a shuffle.
-MOST_SENT = 20_000
 WORD = re.compile(rb"[^\t\n\r\x0b\x0c ]+")
 
 
@@ -91,24 +89,20 @@ def per_paragraph(docs: DataFrame, of, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, n, fp) of every paragraph."""
-
-    def of(ids: list, lines: list, grams: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(size, pa.int64()), pa.array(fingerprints(grams, size))], names=["doc_id", "line", "n", "fp"])
-
-    return per_paragraph(docs, of, "doc_id long, line long, n long, fp long")
-
-
-def indexed(docs: DataFrame, percent: int) -> DataFrame:
-    """(sig, fp): the band hashes of every paragraph."""
+def keyed(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line, n, fp, sigs) of every paragraph; the band hashes stand only where a slice first meets a set."""
     bands, rows = tuned(percent)
 
     def of(ids: list, lines: list, grams: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        sigs = band_hashes(grams, np.cumsum(size), bands, rows)
-        return pa.RecordBatch.from_arrays([pa.array(sigs.ravel().view(np.int64)), pa.array(np.repeat(fingerprints(grams, size), bands))], names=["sig", "fp"])
+        fps = fingerprints(grams, size)
+        sigs = band_hashes(grams, np.cumsum(size), bands, rows).view(np.int64)
+        new = np.zeros(len(fps), bool)
+        new[np.unique(fps, return_index=True)[1]] = True
+        offsets = np.concatenate([[0], np.cumsum(new * bands)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sigs[new].ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(size, pa.int64()), pa.array(fps), lists], names=["doc_id", "line", "n", "fp", "sigs"])
 
-    return per_paragraph(docs, of, "sig long, fp long")
+    return per_paragraph(docs, of, "doc_id long, line long, n long, fp long, sigs array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -128,15 +122,20 @@ def clusters(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     of null id are left alone; rows that repeat an id are the same document; other columns are left out; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    keys = written(keyed(rows))
+    keys = written(keyed(rows, percent))
     place = F.struct("doc_id", "line")
     classes = written(keys.groupBy("fp").agg(F.first("n").alias("n"), F.min(place).alias("place"), F.max(place).alias("last"))).withColumn("rep", F.col("place.doc_id"))
-    found = links(indexed(rows, percent), classes.select("fp", "rep"), lambda involved: sets_of(rows.join(few(involved.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")), percent)
+
+    def grams_of(involved: DataFrame) -> DataFrame:
+        chosen = rows.join(few(involved.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+        return of_ids(sets_of(chosen), involved.select("fp"), "grams").dropDuplicates(["fp"])
+
+    found = links(keys.select(F.explode("sigs").alias("sig"), "fp"), classes.select("fp", "rep"), grams_of, percent)
     comp = components(found).withColumnRenamed("id", "cid")
     joined = classes.join(comp, classes.fp == comp.cid, "left").select("fp", "n", "place", "last", F.coalesce("component", "fp").alias("c"))
     keeper = joined.groupBy("c").agg(F.min("place").alias("keeper"), F.max("last").alias("end")).filter("keeper < end")
     member = written(joined.join(keeper, "c").select("fp", "keeper"))
-    out = keys.join(member, "fp")
+    out = keys.drop("sigs").join(member, "fp")
     return out.select("doc_id", "line", F.col("n").alias("n_shingles"), F.col("keeper.doc_id").alias("cluster_doc"), F.col("keeper.line").alias("cluster_line"), (place != F.col("keeper")).alias("removed"))
 
 
@@ -194,7 +193,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def listed(docs: DataFrame) -> DataFrame:
-    """(window, doc_id, start, line): the windows of (doc_id, text, gone, anchors) rows that name one of the anchors and hold no word of a line that is gone."""
+    """(window, doc_id, start): the windows of (doc_id, text, gone, anchors) rows that name one of the anchors and hold no word of a line that is gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(1)
@@ -203,9 +202,7 @@ def listed(docs: DataFrame) -> DataFrame:
                 gone, wanted = set(piece.column(2)[k].as_py() or ()), np.sort(piece.column(3)[k].values.to_numpy().view(np.uint64))
                 lines = [x.encode("utf-8", "surrogatepass").lower().split() for x in (text or "").split("\n")]
                 size = np.array([len(x) for x in lines])
-                stays = np.repeat(np.array([x not in gone for x in range(len(lines))]), size)
-                line = np.repeat(np.arange(len(lines)), size)[stays]
-                place = np.flatnonzero(stays)
+                place = np.flatnonzero(np.repeat(np.array([x not in gone for x in range(len(lines))]), size))
                 if len(place) < WINDOW:
                     continue
                 h = shingle.hashed([w for x, ws in enumerate(lines) if x not in gone for w in ws])
@@ -214,45 +211,47 @@ def listed(docs: DataFrame) -> DataFrame:
                 found = np.flatnonzero(inside & (wanted[at] == least))
                 if len(found):
                     whole = rolled(h, WINDOW, chained)[found]
-                    yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(np.full(len(found), doc, np.int64)), pa.array(place[found].astype(np.int32)), pa.array(line[found].astype(np.int32))], names=["window", "doc_id", "start", "line"])
+                    yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(np.full(len(found), doc, np.int64)), pa.array(place[found].astype(np.int32))], names=["window", "doc_id", "start"])
 
-    return docs.mapInArrow(run, "window long, doc_id long, start int, line int")
+    return docs.mapInArrow(run, "window long, doc_id long, start int")
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, start, n_words, kept_doc, kept_line) of the passages that the (start, line, first) windows of a document make up."""
+    """(doc_id, start, n_words, kept_doc) of the passages that the (start, own) windows of a document make up; ``own`` is where
+    the same document has the window first, null if another has it."""
     for piece in slices(batches):
         out = []
-        for doc, found in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+        for doc, found, kept in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
             # of a text that repeats itself at a shorter distance, one window stays
-            starts = [max(x["start"], x["first"]["start"] + WINDOW) if x["first"]["doc_id"] == doc else x["start"] for x in found]
+            starts = [x["start"] if x["own"] is None else max(x["start"], x["own"] + WINDOW) for x in found]
             end = -1
             for start, x in sorted(zip(starts, found, strict=True), key=lambda y: (y[0], y[1]["start"])):
                 if start > end:
-                    out.append([doc, x["line"], start, 0, x["first"]["doc_id"], x["first"]["line"]])
+                    out.append([doc, start, 0, kept])
                 end = max(end, x["start"] + WINDOW)
-                out[-1][3] = end - out[-1][2]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "line", "start", "n_words", "kept_doc", "kept_line"])
+                out[-1][2] = end - out[-1][1]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_words", "kept_doc"])
 
 
 def passages(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, start, n_words, kept_doc, kept_line) of the passages of ``WINDOW`` words or more to remove beside whole lines.
+    """(doc_id, start, n_words, kept_doc) of the passages of ``WINDOW`` words or more to remove beside whole lines.
 
-    ``lines`` is (doc_id, gone), the removed lines by document. ``start`` counts the document's words, ``line`` is where the first
-    window begins, ``kept_doc`` and ``kept_line`` tell where that window stays. Rows that repeat an id are the same document.
+    ``lines`` is (doc_id, gone), the removed lines by document. ``start`` counts the document's words, ``kept_doc`` is the
+    first document in which a window of the document's passages stays. Rows that repeat an id are the same document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
     named = written(anchors(rows))
     twice = named.groupBy("anchor").agg(F.sum("c").alias("n")).filter("n > 1").select("anchor")
     asked = named.select("anchor", "doc_id").join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     asked = written(asked.join(lines, "doc_id", "left"))
-    small = F.broadcast(asked) if asked.count() <= MOST_SENT else asked
-    found = written(listed(rows.join(small, "doc_id").select("doc_id", "text", "gone", "anchors")))
-    place = F.struct("doc_id", "start", "line")
-    first = found.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first")
-    later = found.join(first, "window").filter(place != F.col("first")).filter("doc_id != first.doc_id or start > first.start")
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "line", "first")).alias("found")).mapInArrow(merged, "doc_id long, line long, start long, n_words long, kept_doc long, kept_line long")
+    found = written(listed(rows.join(asked, "doc_id").select("doc_id", "text", "gone", "anchors")))
+    first = found.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select("window", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    later = found.join(first, "window").filter("doc_id != first_doc or start > first_start")
+    own = F.when(F.col("doc_id") == F.col("first_doc"), F.col("first_start")).alias("own")
+    of_doc = later.groupBy("doc_id").agg(F.collect_set(F.struct("start", own)).alias("found"), F.min("first_doc").alias("kept"))
+    return of_doc.mapInArrow(merged, "doc_id long, start long, n_words long, kept_doc long")
 
 
 def gone_lines(found: DataFrame) -> DataFrame:
@@ -294,8 +293,7 @@ def remove(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spans = passages(docs, lines).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
     gone = written(lines.join(spans, "doc_id", "full").withColumnRenamed("doc_id", "gone_id"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    small = F.broadcast(gone) if gone.count() <= MOST_SENT else gone
-    rows = rows.join(small, F.col("row")["doc_id"] == F.col("gone_id"), "left")
+    rows = rows.join(gone, F.col("row")["doc_id"] == F.col("gone_id"), "left")
     touched = F.col("gone_id").isNotNull() & F.col("row")["text"].isNotNull()
     cut = F.udf(lambda t, g, s: None if t is None else without(t, g, s), "string", useArrow=True)
     new = cut(F.when(touched, F.col("row")["text"]), "gone", "spans")

@@ -78,7 +78,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(paragraphs.clusters(docs))
     rows = found.select("doc_id", F.col("line").alias("paragraph"), "n_shingles", F.col("cluster_doc").alias("kept_doc_id"), F.col("cluster_line").alias("kept_paragraph"), "removed", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("n_words"))
     spans = paragraphs.passages(docs, paragraphs.gone_lines(found))
-    return rows.unionByName(spans.select("doc_id", F.col("line").alias("paragraph"), F.lit(None).cast("long").alias("n_shingles"), F.col("kept_doc").alias("kept_doc_id"), F.col("kept_line").alias("kept_paragraph"), F.lit(True).alias("removed"), "start", "n_words"))
+    none = lambda name: F.lit(None).cast("long").alias(name)
+    return rows.unionByName(spans.select("doc_id", none("paragraph"), none("n_shingles"), F.col("kept_doc").alias("kept_doc_id"), none("kept_paragraph"), F.lit(True).alias("removed"), "start", "n_words"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sugarmill.llm import ngram_join as nj
 from sugarmill.llm.components import components
@@ -52,7 +53,7 @@ def test_matches_brute_force(spark, n, percent, seed):
     sets = [brute_sets(t, n) for t in texts]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     want = roots(len(texts), pairs)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumnRenamed("x", "y")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("fp", F.lit(1)).withColumn("Component_id", F.lit("c"))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join(docs, n, percent).collect()}
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
     kept = {r.doc_id for r in nj.keep_one(docs, n, percent).collect()}
@@ -73,8 +74,23 @@ def test_every_linked_pair_shares_a_signature():
             assert len(np.intersect1d(nj.signatures(np.unique(a), percent), nj.signatures(np.unique(b), percent)))
 
 
-def test_groups_that_pivots_do_not_decide(spark, monkeypatch):
+def test_sketches_never_miss():
+    rng = np.random.default_rng(6)
+    for _ in range(500):
+        a = rng.choice(1 << 40, int(rng.integers(1, 900)), replace=False).astype(np.uint64)
+        b = np.concatenate([a[int(rng.integers(0, len(a))) :], rng.choice(1 << 40, int(rng.integers(0, 90))).astype(np.uint64)])
+        b = np.unique(b)
+        x, y = nj.sketch(a), nj.sketch(b)
+        width = min(len(x), len(y))
+        apart = (int.from_bytes(nj.folded(x, width)) ^ int.from_bytes(nj.folded(y, width))).bit_count()
+        assert apart <= len(np.setxor1d(a, b))
+        assert len(b) and (nj.folded(x, 64) == nj.sketch(a) or len(x) > 64)
+
+
+@pytest.mark.parametrize("limit", [300, 500_000])
+def test_groups_that_pivots_do_not_decide(spark, monkeypatch, limit):
     monkeypatch.setattr(nj, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(nj, "SKETCH_BYTES", limit)
     rng = random.Random(9)
     base = [f"t{i}" for i in range(70)]
     texts = []
@@ -94,6 +110,13 @@ def test_large_group_and_empty_table(spark):
     texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) if i else " ".join(base) for i in range(60)] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.component_id for r in nj.join(docs).collect()} == {0}
+    more = [(None, texts[0]), (7, texts[1]), (7, texts[1]), (900, " ".join(f"u{i}" for i in range(80_000))), (901, " ".join(f"u{i}" for i in range(80_001))), (None, "alone " * 9), (None, None)]
+    rows = nj.join(spark.createDataFrame([*enumerate(texts), *more], "doc_id long, text string")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, set()).add((r.n_shingles, r.component_id))
+    assert len(rows) == len(texts) + len(more) and {c for _, c in got[7]} == {0} and {c for _, c in got[900] | got[901]} == {900}
+    assert got[None] == {(57, 0), (1, None), (0, None)}
     assert nj.join(docs.limit(0)).collect() == []
 
 

@@ -51,7 +51,7 @@ def test_tuning():
     assert bands * rows <= 32 and 1 - (1 - 0.8**rows) ** bands >= 0.999
 
 
-def test_passages_inside_and_across_lines_go(spark, monkeypatch):
+def test_passages_inside_and_across_lines_go(spark):
     rng = random.Random(5)
     some = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
     p, q, own = some(69), some(50), [some(70) for _ in range(6)]
@@ -68,8 +68,8 @@ def test_passages_inside_and_across_lines_go(spark, monkeypatch):
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
     want = {0: docs[0][1], 1: " ".join(own[2]) + "\n" + " ".join(own[3][:20]), 2: docs[2][1], 3: docs[3][1], 4: " ".join(own[3]), 5: " ".join((["la", "le", "lu"] * 40)[:50]), None: " ".join(p)}
-    for sent in (20_000, 0):
-        monkeypatch.setattr(paragraphs, "MOST_SENT", sent)
-        left = {x.doc_id: x for x in paragraphs.remove(df).collect()}
-        assert {i: x.text for i, x in left.items()} == want
-        assert all(x.n_chars == len(x.text) for x in left.values())
+    left = {x.doc_id: x for x in paragraphs.remove(df).collect()}
+    assert {i: x.text for i, x in left.items()} == want
+    assert all(x.n_chars == len(x.text) for x in left.values())
+    spans = {(x.doc_id, x.start, x.n_words, x.kept_doc) for x in paragraphs.passages(df, paragraphs.gone_lines(paragraphs.clusters(df))).collect()}
+    assert spans == {(1, 70, 69, 0), (4, 0, 50, 3), (5, 50, 70, 5)}
