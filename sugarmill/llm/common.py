@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,12 +51,19 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows, so that only a piece becomes Python objects. At the end, Arrow's unused memory goes
-    back to the machine: a Python worker outlives its task."""
+    """The batches in pieces of few rows, so that only a piece becomes Python objects. At the end, unused memory goes back
+    to the machine: a Python worker outlives its task."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    tidy()
+
+
+def tidy() -> None:
+    """Gives memory that is not in use back to the machine."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

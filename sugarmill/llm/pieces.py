@@ -1,18 +1,18 @@
 """Sampled segmentation into SentencePiece pieces, and lossless decoding.
 
-A text, with a space before it, is cut before each space and line feed into units; within a unit, the lattice has an
-edge for each piece that stands there. A forward pass sums the weights of all paths to each place, and a backward pass
+A text, with a space before it, is cut before each run of spaces and around each line feed into units, which no piece
+crosses; within a unit, the lattice has an edge for each piece that stands there. A forward pass sums the weights of all paths to each place, and a backward pass
 draws a path edge by edge, so a path's probability is in proportion to its weight. A draw is a hash of the row's key, the
 seed and the place, so a segmentation depends on these alone. A unit's forward sums depend on the unit alone and are
 kept for many units at once; the backward pass runs over all units of a slice of rows together.
 
 A character without a piece is written as the pieces of its bytes, as is U+2581, which stands for the space; decoding
 joins bytes and gives back every text. A piece's weight is the inverse of its rank in the vocabulary, raised to ``alpha``.
-Units longer than ``LONGEST`` characters are cut there.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +24,12 @@ from sugarmill.llm.common import slices
 from sugarmill.llm.ngram_join import mixed
 
 SPACE = "▁"
-LONGEST = 48
-#: Units that a worker keeps forward sums of.
-UNITS_HELD = 300_000
+#: Units of a text with a space before it.
+UNIT = re.compile(r"\n| *[^ \n]+| +")
+#: Units that a worker keeps forward sums of, and characters of all of them.
+UNITS_HELD, CHARACTERS_HELD = 350_000, 3_000_000
+#: Sums below this are scaled up.
+SMALL = 1e-120
 
 
 def stepped(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -58,19 +61,23 @@ class Vocabulary:
                 self.raw.append(b"")
             else:
                 self.raw.append(piece.replace(SPACE, " ").encode())
-                if SPACE not in piece[1:]:  # a unit has its space at the start
+                bare = piece.lstrip(SPACE)
+                if SPACE not in bare and "\n" not in piece:  # a unit has its spaces at the start
                     self.weight[piece.replace(SPACE, " ")] = (k, (1.0 / (k + 1)) ** alpha)
         self.longest = max(map(len, self.weight), default=1)
         self.fallback = (1.0 / len(self.raw)) ** alpha
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: by length: sorted hashes of pieces and of beginnings of longer ones, with ids (-1: no piece), weights, and whether there are longer ones
+        self.tables: list[tuple[np.ndarray, ...]] = []
         for n in range(1, self.longest + 1):
-            own = [(p, *x) for p, x in self.weight.items() if len(p) == n]
+            longer = {p[:n] for p in self.weight if len(p) > n}
+            own = sorted(longer.union(p for p in self.weight if len(p) == n))
             h = np.zeros(len(own), np.uint64)
-            c = codes("".join(p for p, _, _ in own)).reshape(-1, n)
+            c = codes("".join(own)).reshape(-1, n)
             for i in range(n):
                 h = stepped(h, c[:, i])
             at = np.argsort(h)
-            self.tables.append((h[at], np.array([k for _, k, _ in own], np.int32)[at], np.array([w for _, _, w in own])[at]))
+            found = [self.weight.get(p, (-1, 0.0)) for p in own]
+            self.tables.append((h[at], np.array([k for k, _ in found], np.int32)[at], np.array([w for _, w in found])[at], np.array([p in longer for p in own])[at]))
 
 
 class Lattices:
@@ -104,13 +111,14 @@ class Lattices:
         left = np.repeat(size, size) - place
         i, h = np.arange(len(c)), np.zeros(len(c), np.uint64)
         begin, length, piece, weight = [], [], [], []
-        for n, (keys, ids, weights) in enumerate(self.v.tables, 1):
+        for n, (keys, ids, weights, extends) in enumerate(self.v.tables, 1):
             if n > 1:
                 more = left[i] >= n
                 i, h = i[more], h[more]
             h = stepped(h, c[i + n - 1])
             at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            there = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+            hit = there & (ids[at] >= 0) if len(keys) else there
             if n == 1:
                 miss = i[~hit]
                 begin.append(miss)
@@ -121,6 +129,9 @@ class Lattices:
             length.append(np.full(int(hit.sum()), n))
             piece.append(ids[at[hit]].astype(np.int64))
             weight.append(weights[at[hit]])
+            if len(keys):
+                there &= extends[at]
+            i, h = i[there], h[there]
         begin, length, piece, weight = map(np.concatenate, (begin, length, piece, weight))
         group = begin + length - 1
         order = np.argsort(group, kind="stable")
@@ -140,6 +151,10 @@ class Lattices:
             after[g] = join.reduceat(part[edge], ends)
             on = g[left[g] > 1]
             before[on + 1] = after[on]
+            if e % 16 == 15:
+                low = on[after[on] < SMALL]
+                for k in range(min(self.v.longest, e + 1)):
+                    before[low + 1 - k] /= SMALL
         if self.best:
             share = np.where(part == after[group], 2.0, -1.0)
         else:
@@ -155,17 +170,7 @@ class Lattices:
 
 def units_of(text: str) -> list[str]:
     """The text's units; joined they are the text with a space before it."""
-    out = []
-    for k, line in enumerate((" " + text).split("\n")):
-        parts = line.split(" ")
-        if k:
-            out.append("\n")
-        if parts[0]:
-            out.append(parts[0])
-        out += [" " + p for p in parts[1:]]
-    if max(map(len, out), default=0) > LONGEST:
-        out = [u[i : i + LONGEST] for u in out for i in range(0, len(u), LONGEST)]
-    return out
+    return UNIT.findall(" " + text)
 
 
 def draws(row: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -176,7 +181,7 @@ def draws(row: np.ndarray, place: np.ndarray) -> np.ndarray:
 def encode_rows(lattices: Lattices, keys: list[int], texts: list[str]) -> list[bytes]:
     """The ids of each text, as little-endian 32-bit bytes."""
     units = [units_of(t) for t in texts]
-    if len(lattices.first) > UNITS_HELD:
+    if len(lattices.first) > UNITS_HELD or lattices.groups > CHARACTERS_HELD:
         lattices.clear()
     if new := set().union(*units).difference(lattices.first):
         lattices.add(list(new))
@@ -186,13 +191,14 @@ def encode_rows(lattices: Lattices, keys: list[int], texts: list[str]) -> list[b
     group = np.fromiter(map(lattices.first.__getitem__, flat), np.int64, len(flat))
     left = np.fromiter(map(len, flat), np.int64, len(flat))
     row = np.repeat(np.array(keys, np.uint64), n)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.cumsum(left) - left
+    begin -= np.repeat(begin[np.minimum(np.cumsum(n) - n, max(len(flat) - 1, 0))], n) if len(flat) else 0
     live = np.arange(len(flat))
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     while len(live):
         e = left[live]
         edge = starts[group[live] + e - 1].astype(np.int64)
-        u = draws(row[live], place[live] * 64 + e)
+        u = draws(row[live], begin[live] + e)
         more = np.flatnonzero(u >= shares[edge])
         while len(more):
             edge[more] += 1

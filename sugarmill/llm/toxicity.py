@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sugarmill.llm.common import slices
+from sugarmill.llm.common import free_name, slices, tidy
 
 #: Labelled rows used for fitting, about.
 SAMPLE = 40_000
@@ -360,13 +360,17 @@ def verdict(model: Model, docs: DataFrame, text: Column) -> Column:
             n = np.array(counts, float).reshape(-1, 4)
             names = ("exact", "obfuscated", "fuzzy", "quoted")
             yield pa.StructArray.from_arrays([pa.array(m.score(n)), *(pa.array(n[:, k].astype(np.int64)) for k in range(4)), pa.array(hits, pa.list_(hit))], names=["score", *names, "hits"])
+        tidy()
 
     return run(text.cast("string"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``toxicity``; other columns stay, repeated rows are scored each, an empty table stays empty."""
-    return docs.withColumn("toxicity", verdict(model, docs, F.col(text)))
+    """``docs`` with a struct ``toxicity``; other columns stay, repeated rows are scored each, an empty table stays empty.
+
+    Null and blank texts have no hits. If ``docs`` has a column ``toxicity``, it stays and the struct is named ``toxicity_``.
+    """
+    return docs.withColumn(free_name(docs, "toxicity"), verdict(model, docs, F.col(text)))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -44,3 +44,16 @@ def test_samples_follow_the_path_weights():
         assert abs(got[p] / n - w / total) < 0.015
     best = pieces.encode_rows(pieces.Lattices(v, True), [0], ["there"])[0]
     assert tuple(np.frombuffer(best, "<u4").tolist()) == max(all_paths, key=all_paths.get)
+
+
+def test_runs_of_spaces_and_long_units_have_their_lattice():
+    v = pieces.Vocabulary(MODEL, 0.5)
+    all_paths = dict(paths(v, "    there"))
+    assert any(v.raw[k] == b"  " for p in all_paths for k in p)
+    total, n = sum(all_paths.values()), 20000
+    got = Counter(tuple(np.frombuffer(x, "<u4").tolist()) for x in pieces.encode_rows(pieces.Lattices(v, False), pieces.row_keys(list(range(n)), 0), ["   there"] * n))
+    assert set(got) <= set(all_paths) and max(abs(got[p] / n - w / total) for p, w in all_paths.items()) < 0.015
+    text = "there" * 3000
+    for best in (False, True):
+        ids = np.frombuffer(pieces.encode_rows(pieces.Lattices(v, best), [1], [text])[0], "<u4")
+        assert b"".join(v.raw[k] for k in ids).decode() == " " + text and len(ids) < 12_000
