@@ -26,12 +26,63 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to
 
 
+#: Rows that go to or from a Python worker at once while a table is written.
+BATCH = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Paths that written() has made, one list for each open collected().
+_COLLECTING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Python workers get few rows at once; the session's own setting comes back after."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, BATCH)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    for paths in _COLLECTING:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes files of written()."""
+    sc = spark.sparkContext
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        removed(t.sparkSession, [t.written_path])
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths that written() makes within."""
+    paths: list[str] = []
+    _COLLECTING.append(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTING.remove(paths)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,7 +90,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sugarmill.llm.common import cut, slices, written
+from sugarmill.llm.common import cut, discard, slices, written
 from sugarmill.llm.components import components
 
 #: Size bands grow by this factor.
@@ -203,17 +203,6 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def per_text(docs: DataFrame, n: int, of, schema: str) -> DataFrame:
-    """Runs ``of(doc ids, sets)`` over slices of (doc_id, text) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
-        for piece in slices(batches):
-            yield of(piece.column(0), [shingle(t or "") for t in piece.column(1).to_pylist()])
-
-    return docs.mapInArrow(run, schema)
-
-
 def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, fp, sigs) of every document; the index hashes stand only where a task first meets a set."""
 
@@ -235,13 +224,26 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long, sigs array<long>")
 
 
+SETS = "fp long, n long, sketch binary, grams binary"
+
+
+def as_sets(fps: list[int] | np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """A batch of ``SETS``."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(fps, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "n", "sketch", "grams"]
+    )
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(fp, grams): the sets themselves, as bytes."""
+    """``SETS`` of every document."""
 
-    def of(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "grams"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for piece in slices(batches):
+            sets = [shingle(t or "") for t in piece.column(1).to_pylist()]
+            yield as_sets([fingerprint(s) for s in sets], sets)
 
-    return per_text(docs, n, of, "fp long, grams binary")
+    return docs.mapInArrow(run, SETS)
 
 
 def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -277,13 +279,6 @@ def folded(x: bytes, width: int) -> bytes:
     return x
 
 
-def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, n, sketch, grams) of (fp, grams) rows."""
-    for piece in slices(batches):
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in piece.column(1)]
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary()), piece.column(1)], names=["fp", "n", "sketch", "grams"])
-
-
 def passing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, d) of those (a, b, na, nb, sa, sb) rows whose sketches allow a link; ``d`` bits differ."""
     for piece in slices(batches):
@@ -423,16 +418,17 @@ def block_pairs(member: DataFrame, limit: int) -> DataFrame:
     return alone.unionByName(spread.join(blocks.select("low", F.col("block").alias("i"), F.col("sets").alias("a")), ["low", "i"]).join(blocks.select("low", F.col("block").alias("j"), F.col("sets").alias("b")), ["low", "j"]).select("low", "a", "b"))
 
 
-def links(index: DataFrame, classes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def links(index: DataFrame, classes: DataFrame, grams_of: Callable[[DataFrame], DataFrame], percent: int, indexed: Callable[[], None]) -> DataFrame:
     """(a, b) class fingerprints that link, enough of them to give all components.
 
     ``index`` is (sig, fp); ``classes`` is (fp, rep): fingerprint and where the class is first found; ``grams_of``
-    gives (fp, grams) for the classes it is handed, each once.
+    gives ``SETS`` for the classes it is handed, each once. ``indexed`` is called when the index has been read.
     """
     bucket = Window.partitionBy("sig")
     shared = written(index.withColumn("low", F.min("fp").over(bucket)).withColumn("high", F.max("fp").over(bucket)).filter("low < high").select("sig", "fp", "low").distinct())
+    indexed()
     involved = written(shared.select("fp").distinct().join(classes.select("fp", "rep"), "fp"))
-    grams = written(grams_of(involved).mapInArrow(sketched, "fp long, n long, sketch binary, grams binary"))
+    grams = written(grams_of(involved))
     met = shared.filter("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
     side = lambda x: grams.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = written(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda x: passing(x, percent), "a long, b long, d long"))
@@ -445,14 +441,17 @@ def links(index: DataFrame, classes: DataFrame, grams_of: Callable[[DataFrame],
     found = cut(found.unionByName(verified(written(rest), grams, percent)))
     # what pivots left open: buckets whose other members are of two components or more
     comp = components(found)
-    member = written(named(shared.filter("fp != low"), "fp", "c"))
-    open_buckets = member.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("sig")
-    member = written(member.join(open_buckets, "sig", "left_semi").select("low", "fp", "c").distinct())
+    of_bucket = written(named(shared.filter("fp != low"), "fp", "c"))
+    open_buckets = of_bucket.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("sig")
+    member = written(of_bucket.join(open_buckets, "sig", "left_semi").select("low", "fp", "c").distinct())
+    discard(of_bucket)
     rows = member.join(grams.select("fp", "n", F.col("sketch").alias("data")), "fp").select("low", "fp", "c", "n", "data")
     left = written(block_pairs(rows, SKETCH_BYTES).mapInArrow(lambda x: likely(x, percent), "low long, fp long").distinct())
     rows = member.join(left, ["low", "fp"]).join(of_ids(grams, written(left.select("fp").distinct()), "n", "grams").withColumnRenamed("grams", "data"), "fp").select("low", "fp", "c", "n", "data")
     more = block_pairs(rows, BLOCK_BYTES).mapInArrow(lambda x: blocked(x, percent), "a long, b long")
-    return cut(found.unionByName(more))
+    out = cut(found.unionByName(more))
+    discard(shared, involved, grams, pairs, first, member, left)
+    return out
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -462,16 +461,17 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     under its text's class but is never a component's name unless it stands alone. An empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = written(keyed(rows, n, percent))
+    with_sigs = written(keyed(rows, n, percent))
+    keys = written(with_sigs.drop("sigs"))
     classes = written(keys.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     again = keys.groupBy("doc_id").count().filter("count > 1").limit(1).count()
 
     def grams_of(involved: DataFrame) -> DataFrame:
         chosen = rows.join(few(involved.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-        sets = of_ids(sets_of(chosen, n), involved.select("fp"), "grams")
+        sets = of_ids(sets_of(chosen, n), involved.select("fp"), "n", "sketch", "grams")
         return sets.dropDuplicates(["fp"]) if again else sets  # a set comes twice only where an id does
 
-    found = links(keys.select(F.explode("sigs").alias("sig"), "fp"), classes, grams_of, percent)
+    found = links(with_sigs.select(F.explode("sigs").alias("sig"), "fp"), classes, grams_of, percent, lambda: discard(with_sigs))
     reps = classes.select("fp", "rep")
     named = found.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
     comp = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))

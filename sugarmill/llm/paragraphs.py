@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sugarmill.llm.common import slices, written
+from sugarmill.llm.common import discard, slices, written
 from sugarmill.llm.components import components
-from sugarmill.llm.ngram_join import Shingler, few, fingerprints, links, mixed, of_ids
+from sugarmill.llm.ngram_join import SETS, Shingler, as_sets, few, fingerprints, links, mixed, of_ids
 
 MIN_WORDS, SHINGLE, PERCENT = 25, 5, 80
 RECALL, MOST_HASHES = 0.999, 32
@@ -106,13 +106,12 @@ def keyed(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(fp, grams) of every paragraph, the set as bytes."""
+    """``SETS`` of every paragraph."""
 
     def of(ids: list, lines: list, grams: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        ends = np.cumsum(size).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(fingerprints(grams, size)), pa.array([grams[e - n : e].tobytes() for e, n in zip(ends, size.tolist(), strict=True)], pa.binary())], names=["fp", "grams"])
+        return as_sets(fingerprints(grams, size), np.split(grams, np.cumsum(size)[:-1]))
 
-    return per_paragraph(docs, of, "fp long, grams binary")
+    return per_paragraph(docs, of, SETS)
 
 
 def clusters(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,20 +121,21 @@ def clusters(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     of null id are left alone; rows that repeat an id are the same document; other columns are left out; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
-    keys = written(keyed(rows, percent))
+    with_sigs = written(keyed(rows, percent))
+    keys = written(with_sigs.drop("sigs"))
     place = F.struct("doc_id", "line")
     classes = written(keys.groupBy("fp").agg(F.first("n").alias("n"), F.min(place).alias("place"), F.max(place).alias("last"))).withColumn("rep", F.col("place.doc_id"))
 
     def grams_of(involved: DataFrame) -> DataFrame:
         chosen = rows.join(few(involved.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-        return of_ids(sets_of(chosen), involved.select("fp"), "grams").dropDuplicates(["fp"])
+        return of_ids(sets_of(chosen), involved.select("fp"), "n", "sketch", "grams").dropDuplicates(["fp"])
 
-    found = links(keys.select(F.explode("sigs").alias("sig"), "fp"), classes.select("fp", "rep"), grams_of, percent)
+    found = links(with_sigs.select(F.explode("sigs").alias("sig"), "fp"), classes.select("fp", "rep"), grams_of, percent, lambda: discard(with_sigs))
     comp = components(found).withColumnRenamed("id", "cid")
     joined = classes.join(comp, classes.fp == comp.cid, "left").select("fp", "n", "place", "last", F.coalesce("component", "fp").alias("c"))
     keeper = joined.groupBy("c").agg(F.min("place").alias("keeper"), F.max("last").alias("end")).filter("keeper < end")
     member = written(joined.join(keeper, "c").select("fp", "keeper"))
-    out = keys.drop("sigs").join(member, "fp")
+    out = keys.join(member, "fp")
     return out.select("doc_id", "line", F.col("n").alias("n_shingles"), F.col("keeper.doc_id").alias("cluster_doc"), F.col("keeper.line").alias("cluster_line"), (place != F.col("keeper")).alias("removed"))
 
 
@@ -245,7 +245,9 @@ def passages(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col
     twice = named.groupBy("anchor").agg(F.sum("c").alias("n")).filter("n > 1").select("anchor")
     asked = named.select("anchor", "doc_id").join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     asked = written(asked.join(lines, "doc_id", "left"))
+    discard(named)
     found = written(listed(rows.join(asked, "doc_id").select("doc_id", "text", "gone", "anchors")))
+    discard(asked)
     first = found.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select("window", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
     later = found.join(first, "window").filter("doc_id != first_doc or start > first_start")
