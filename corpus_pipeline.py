@@ -18,18 +18,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sugarmill.llm import ngram_join, packing, paragraphs, quality, registry, toxicity
-from sugarmill.llm.common import collected, removed, table, written
+from sugarmill.llm.common import BATCH, BATCH_SETTING, collected, removed, table, written
 
+#: Words in the token cache of a packing worker: the executors' memory is shared with what the stages before have grown to.
+CACHE_WORDS = 200_000
 _LEFT: list[str] = []
 
 
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes what the one before has left."""
+    """A stage that first deletes what the one before has left; rows go to Python workers in small batches from then on."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         removed(spark, _LEFT)
         _LEFT.clear()
+        spark.conf.set(BATCH_SETTING, BATCH)
         with collected() as paths:
             out = f(spark, docs, sf_dir)
         _LEFT.extend(paths)
@@ -66,7 +69,7 @@ def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str)
 @stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all sequences."""
-    pieces = packing.pack(docs, registry.tokenizer_path())
+    pieces = packing.pack(docs, registry.tokenizer_path(), cache_words=CACHE_WORDS)
     return pieces.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

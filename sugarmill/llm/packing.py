@@ -205,13 +205,13 @@ def pack_partition(encode: Callable[[list[str]], list[bytes]], batches: Iterator
         yield flush()
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of windows of ``window`` tokens.
 
     ``tokenizer`` is the path of a byte-level BPE file that every worker has. ``ids`` holds little-endian
     unsigned 32-bit ids; every document ends with ``end_id``. Null texts count as empty (one piece with the
     end only), null ids stay null, repeated rows are packed each, other columns are left out, an empty table
-    gives no pieces. A window is full or, for the last few of a partition, a power of two long.
+    gives no pieces. ``cache_words`` bounds the memory of a worker's tokens of words. A window is full or, for the last few of a partition, a power of two long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,19 +220,19 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        return pack_partition(cached(tokenizer).encode, batches, TaskContext.get().partitionId(), window, int(end_id).to_bytes(4, "little"))
+        return pack_partition(cached(tokenizer, cache_words).encode, batches, TaskContext.get().partitionId(), window, int(end_id).to_bytes(4, "little"))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-_CACHES: dict[str, WordCache] = {}
+_CACHES: dict[tuple[str, int], WordCache] = {}
 
 
-def cached(path: str) -> WordCache:
+def cached(path: str, limit: int = CACHE_WORDS) -> WordCache:
     """The worker's cache for a tokenizer file; it outlives a task."""
-    if path not in _CACHES:
-        _CACHES[path] = WordCache(path)
-    return _CACHES[path]
+    if (path, limit) not in _CACHES:
+        _CACHES[path, limit] = WordCache(path, limit)
+    return _CACHES[path, limit]
 
 
 def ids_crc32(ids: Column) -> Column:
