@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,18 +28,33 @@ def thresholds(det: DataFrame, places: int = 4) -> DataFrame:
     return det.select(F.round("conf", places).alias("cut")).distinct()
 
 
-def swept(cands: DataFrame, truth: DataFrame, det: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(cut, tp, fp, fn) for every confidence cut: assigned pairs, other detections, other truths.
+def grid(conf: Column, places: int) -> Column:
+    """The number of the last multiple of 10 ** -places that is not above ``conf``."""
+    k = F.floor(conf * 10**places)
+    at = lambda n: n / F.lit(float(10**places))
+    return F.when(at(k + 1) <= conf, k + 1).when(at(k) > conf, k - 1).otherwise(k)
 
-    Detections at or above each cut are counted from one histogram, so only candidate pairs meet the cuts.
+
+def swept(cands: DataFrame, truth: DataFrame, det: DataFrame, places: int = 4) -> DataFrame:
+    """(cut, tp, fp, fn) for every confidence, rounded, as a cut: assigned pairs, other detections, other truths.
+
+    An image's matching changes only at the confidences of its own candidates, so it is matched once for each of them and hands
+    on the change of its matches there. Changes and detections are summed by the ``10 ** places`` multiples that a cut can be
+    and then run down from the highest, so rows grow with the candidates, not with candidates times cuts.
     """
-    at_cut = cands.join(F.broadcast(cuts), cands.d_conf >= cuts.cut)
-    tp = overlap.assigned(at_cut, ["cut", "image_id"]).groupBy("cut").agg(F.count("*").alias("tp"))
-    histogram = det.groupBy("conf").agg(F.count("*").alias("n"))
-    seen = cuts.join(histogram, F.col("conf") >= F.col("cut"), "left").groupBy("cut").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("dets"))
-    total = truth.agg(F.count("*").alias("truths"))
-    rows = seen.join(tp, "cut", "left").crossJoin(F.broadcast(total)).withColumn("tp", F.coalesce("tp", F.lit(0)))  # one row of totals
-    return rows.select("cut", "tp", (F.col("dets") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp")).alias("fn"))
+    own = cands.select("image_id", F.col("d_conf").alias("cut")).distinct()
+    matched = overlap.assigned(cands.join(own, "image_id").filter("d_conf >= cut"), ["image_id", "cut"]).groupBy("image_id", "cut").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("image_id").orderBy(F.desc("cut"))
+    change = own.join(matched, ["image_id", "cut"], "left").select("image_id", "cut", F.coalesce("n", F.lit(0)).alias("n"))
+    change = change.select(grid(F.col("cut"), places).alias("k"), (F.col("n") - F.coalesce(F.lag("n").over(down), F.lit(0))).alias("tp"), F.lit(0).alias("dets"))
+    seen = det.select(grid(F.col("conf"), places).alias("k"), F.lit(0).alias("tp"), F.lit(1).alias("dets"))
+    asked = det.select(F.round(F.col("conf") * 10**places).cast("long").alias("k")).distinct().withColumn("cut", F.lit(True))
+    sums = change.unionByName(seen).groupBy("k").agg(F.sum("tp").alias("tp"), F.sum("dets").alias("dets"))
+    rows = sums.join(asked, "k", "full").select("k", "cut", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("dets", F.lit(0)).alias("dets"))
+    run = Window.orderBy(F.desc("k"))  # a row for each multiple
+    rows = rows.select("k", "cut", F.sum("tp").over(run).alias("tp"), F.sum("dets").over(run).alias("dets")).filter("cut")
+    rows = rows.crossJoin(F.broadcast(truth.agg(F.count("*").alias("truths"))))  # one row of totals
+    return rows.select((F.col("k") / F.lit(float(10**places))).alias("cut"), "tp", (F.col("dets") - F.col("tp")).alias("fp"), (F.col("truths") - F.col("tp")).alias("fn"))
 
 
 def precision_recall(counts: DataFrame) -> DataFrame:

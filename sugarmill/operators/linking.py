@@ -30,15 +30,21 @@ def windows(monos: DataFrame, factor: float = 1.2) -> DataFrame:
 
 
 def ray_links(monos: DataFrame, contours: DataFrame, distance: DataFrame) -> DataFrame:
-    """(image_id, a, b), a < b: rays from a symbol through the line contours in its window, in 40 steps, to the first other symbol hit."""
+    """(image_id, a, b), a < b: rays from a symbol through the line contours in its window, in 40 steps, to the first other symbol hit.
+
+    Only symbols whose box touches the box around the longest ray, a pixel wider for rounding, are tried step by step.
+    """
     seen = windows(monos, 1.5).join(contours, "image_id").filter("cx between x1 and x2 and cy between y1 and y2").join(distance, "image_id")
-    seen = seen.select("image_id", "mono_idx", "contour_idx", "cen_x", "cen_y", "cx", "cy", "distance", F.explode(F.sequence(F.lit(1), F.lit(196), F.lit(5))).alias("step"))
+    seen = seen.select("image_id", "mono_idx", "contour_idx", "cen_x", "cen_y", "cx", "cy", "distance")
     seen = seen.withColumn("len", F.greatest(F.sqrt(((F.col("cen_x") - F.col("cx")) * (F.col("cen_x") - F.col("cx")) + (F.col("cen_y") - F.col("cy")) * (F.col("cen_y") - F.col("cy"))).cast("double")), F.lit(1.0)))
-    reach = F.col("distance") * (F.col("step") / 100)
-    seen = seen.withColumns({"qx": (F.col("cx") + (F.col("cx") - F.col("cen_x")) / F.col("len") * reach).cast("int"), "qy": (F.col("cy") + (F.col("cy") - F.col("cen_y")) / F.col("len") * reach).cast("int")})
+    end = lambda axis, step: (F.col(f"c{axis}") + (F.col(f"c{axis}") - F.col(f"cen_{axis}")) / F.col("len") * (F.col("distance") * (step / 100))).cast("int")
+    seen = seen.withColumns({"fx": end("x", F.lit(196)), "fy": end("y", F.lit(196))})
     other = monos.select("image_id", F.col("mono_idx").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("w").alias("ow"), F.col("h").alias("oh"))
     hit = segment_hits_rectangle(*(F.col(c) for c in ("cen_x", "cen_y", "qx", "qy", "ox", "oy", "ow", "oh")))
-    first = seen.join(other, "image_id").filter("other <> mono_idx").filter(hit).groupBy("image_id", "mono_idx", "contour_idx").agg(F.min_by("other", F.struct("step", "other")).alias("target"))
+    near = seen.join(other, "image_id").filter("other <> mono_idx")
+    near = near.filter("ox <= greatest(cen_x, cx, fx) + 1 and ox + ow >= least(cen_x, cx, fx) - 1 and oy <= greatest(cen_y, cy, fy) + 1 and oy + oh >= least(cen_y, cy, fy) - 1")
+    tried = near.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(196), F.lit(5)))).withColumns({"qx": end("x", F.col("step")), "qy": end("y", F.col("step"))})
+    first = tried.filter(hit).groupBy("image_id", "mono_idx", "contour_idx").agg(F.min_by("other", F.struct("step", "other")).alias("target"))
     return first.select("image_id", F.least("mono_idx", "target").alias("a"), F.greatest("mono_idx", "target").alias("b")).distinct()
 
 

@@ -94,9 +94,9 @@ def expanded(parts: DataFrame, antennae: DataFrame, key: str) -> DataFrame:
 
 
 def instantiation_counts(options: DataFrame) -> DataFrame:
-    """(glycan_id, n): ways to give every floating root one of its candidate parents; rows (glycan_id, node, candidate)."""
+    """(glycan_id, n): ways to give every floating root one of its candidate parents; rows (glycan_id, node, candidate). Exact; beyond 64 bits it is an overflow error."""
     per_root = options.groupBy("glycan_id", "node").agg(F.count("*").alias("k"))
-    return per_root.groupBy("glycan_id").agg(F.round(F.exp(F.sum(F.log("k")))).cast("long").alias("n"))
+    return per_root.groupBy("glycan_id").agg(F.aggregate(F.collect_list("k"), F.lit(1).cast("long"), lambda n, k: n * k).alias("n"))
 
 
 def instantiations(options: DataFrame) -> DataFrame:

@@ -14,10 +14,14 @@ OUTCOMES = joins.NEAR + f""",
 nearest AS (SELECT *, CASE WHEN t_box_id IS NULL THEN ['FP'] WHEN t_class_id = d_class_id AND {joins.CURVE} THEN ['TP'] ELSE ['FP', 'FN'] END AS kinds FROM near WHERE n = 1),
 outcomes AS (SELECT image_id, unnest(kinds) AS outcome FROM nearest UNION ALL SELECT image_id, 'FN' FROM truth WHERE box_id NOT IN (SELECT t_box_id FROM pairs))"""
 COUNTS = "count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'FN') AS fn"
-#: Cuts of the curves: confidences to one place fewer than two keep the SQL check quick without leaving rows out.
-SWEEP = joins.CANDS + ", cuts AS (SELECT DISTINCT round(conf, 1) AS cut FROM det), at_cut AS (SELECT cut, c.* FROM cands c JOIN cuts ON c.d_conf >= cut), " + joins.assigned_sql("at_cut", "cut, image_id") + """,
-tps AS (SELECT cut, count(*) AS tp FROM assigned GROUP BY cut),
-counts AS (SELECT cuts.cut, coalesce(tp, 0) AS tp, (SELECT count(*) FROM det WHERE conf >= cuts.cut) - coalesce(tp, 0) AS fp, (SELECT count(*) FROM truth) - coalesce(tp, 0) AS fn FROM cuts LEFT JOIN tps USING (cut))"""
+#: Cuts of the curves: all confidences to four places. An image's matching changes at its own candidates' confidences only.
+SWEEP = joins.CANDS + ", own AS (SELECT DISTINCT image_id, d_conf AS cut FROM cands), at_cut AS (SELECT o.cut, c.* FROM cands c JOIN own o ON c.image_id = o.image_id AND c.d_conf >= o.cut), " + joins.assigned_sql("at_cut", "cut, image_id") + """,
+tps AS (SELECT image_id, cut, count(*) AS n FROM assigned GROUP BY ALL),
+changes AS (SELECT cut, n - coalesce(lag(n) OVER (PARTITION BY image_id ORDER BY cut DESC), 0) AS tp FROM (SELECT own.image_id, own.cut, coalesce(n, 0) AS n FROM own LEFT JOIN tps ON own.image_id = tps.image_id AND own.cut = tps.cut)),
+by_conf AS (SELECT conf, sum(tp) AS tp, sum(dets) AS dets FROM (SELECT cut AS conf, tp, 0 AS dets FROM changes UNION ALL SELECT conf, 0, 1 FROM det) GROUP BY conf),
+cuts AS (SELECT DISTINCT round(conf, 4) AS cut FROM det),
+sums AS (SELECT cut, coalesce(sum(tp), 0)::BIGINT AS tp, coalesce(sum(dets), 0)::BIGINT AS dets FROM cuts LEFT JOIN by_conf ON conf >= cut GROUP BY cut),
+counts AS (SELECT cut, tp, dets - tp AS fp, (SELECT count(*) FROM truth) - tp AS fn FROM sums)"""
 RATES = """, rates0 AS (SELECT 1 - coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS error_rate, tp + fp AS predictions FROM counts),
 rates AS (SELECT * FROM rates0 UNION ALL SELECT min(error_rate), 0 FROM rates0)"""
 STEPS = """, up AS (SELECT error_rate, max(predictions) OVER (ORDER BY error_rate, predictions ROWS UNBOUNDED PRECEDING) AS predictions FROM rates),
@@ -30,8 +34,7 @@ def outcomes(spark, d):
 
 
 def counts(spark, d):
-    det = derived.detections(spark, d)
-    return ops.swept(joins.cands(spark, d), derived.truth(spark, d), det, ops.thresholds(det, 1))
+    return ops.swept(joins.cands(spark, d), derived.truth(spark, d), derived.detections(spark, d))
 
 
 @query("eval_outcomes", f"WITH {OUTCOMES} SELECT image_id, outcome, count(*) AS n FROM outcomes GROUP BY ALL")
@@ -44,9 +47,9 @@ def eval_counts(spark, d):
     return ops.counted(outcomes(spark, d), ["image_id"])
 
 
-@query("eval_thresholds", f"WITH {DET} SELECT DISTINCT round(conf, 2) AS cut FROM det")
+@query("eval_thresholds", f"WITH {DET} SELECT DISTINCT round(conf, 4) AS cut FROM det")
 def eval_thresholds(spark, d):
-    return ops.thresholds(derived.detections(spark, d), 2)
+    return ops.thresholds(derived.detections(spark, d))
 
 
 @query("pr_curve", f"WITH RECURSIVE {SWEEP} SELECT * FROM (SELECT cut, tp, fp, fn, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS precision, tp / (tp + fn)::DOUBLE AS recall FROM counts) WHERE precision > 0 OR recall > 0")
