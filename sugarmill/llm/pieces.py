@@ -27,7 +27,7 @@ SPACE = "▁"
 #: Units of a text with a space before it.
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 #: Units that a worker keeps forward sums of, and characters of all of them.
-UNITS_HELD, CHARACTERS_HELD = 300_000, 2_200_000
+UNITS_HELD, CHARACTERS_HELD = 200_000, 1_500_000
 #: Sums below this are scaled up.
 SMALL = 1e-120
 
