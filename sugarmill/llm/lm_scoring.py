@@ -1,15 +1,15 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-Spark counts every token of the training documents. Tokens with at least ``min_word`` of all counts may stand in
-longer n-grams, and a bigram or trigram becomes an arc if it has at least ``min_arc`` of all counts, so there are at
-most ``1 / min_word`` such tokens and ``1 / min_arc`` arcs of an order, whatever the corpus: that part is broadcast.
-Smoothing is by absolute discounting: an arc's weight holds the discounted share and the context's left-over mass
-times the shorter context's probability; a state's failure arc holds the left-over mass. All tokens that training
-never saw are one kind, with the mass that discounting takes from the single counts.
-
-The counts of all other tokens grow with the corpus and are not broadcast. Documents are dealt to blocks of bounded
-size; a block asks for the counts of its distinct tokens by a join and is then scored with them, each document in one
-traversal from left to right.
+"""Language-model scoring with a weighted backoff automaton over all pairs of words.
+
+Documents are dealt to blocks of bounded size. A block states its distinct tokens and pairs as 64-bit hashes with their
+counts in its training texts; a window over each hash sums them over all blocks, and what differs from a block's own count
+goes back to it. So every token and every pair of the corpus counts, none is left out for being rare, what is gathered grows
+with the corpus, and nothing of it is broadcast or comes to the driver (four numbers do).
+
+A block then holds its part of the automaton: a state for each context of one token, an arc for each pair seen in training,
+and a failure arc to the state without context. Smoothing is hierarchical: an arc weighs (c(x, w) + strength * p(w)) /
+(c(x) + strength), a failure arc strength / (c(x) + strength), so the probabilities after any context sum to one. p(w) is by
+absolute discounting; all tokens that training never saw are one kind, with the mass that discounting takes. Each document is
+scored in one traversal from left to right. Two different tokens or pairs among 10^9 share a hash with a chance of about 0.1.
 """
 
 from __future__ import annotations
@@ -21,20 +21,33 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sugarmill.llm.common import slices, written
+from sugarmill.llm.common import slices
 
-MIN_WORD, MIN_ARC = 1e-4, 4e-6
+#: Weight of the shorter context, in occurrences of the longer one. Held-out log10 of sf0.1: -2.20 M at 2, -2.09 M at 8, -2.02 M at 30, -1.98 M at 100.
+STRENGTH = 30.0
 #: Tokens of a block of documents, about.
 BLOCK_TOKENS = 2_500_000
 HELD = 200_000
+#: Rows of a batch that goes back to Spark.
+OUT = 50_000
 #: The end of a text; words hold no line feed. It also stands before the first word.
 END = b"\n"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+@dataclass
+class Totals:
+    """Counts of the training texts: tokens, kinds of tokens, and the discount of a token's own probability."""
+
+    n_tokens: int = 0
+    n_kinds: int = 0
+    discount: float = 0.5
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that training leaves out: CRC-32 of the id as text, modulo 7, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -46,14 +59,25 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def pair_hashes(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of each pair of hashes; the order within a pair matters."""
+    k = x * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    k = (k ^ (k >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return k ^ (k >> np.uint64(29))
+
+
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """(token, c) of a table with one text column."""
+    """(token, c) of a table with one text column; tokens as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["token", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array(hashes(list(n)).view(np.int64)), pa.array(list(n.values()), pa.int64())], names=["token", "c"])
             n.clear()
             return out
 
@@ -65,220 +89,136 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         if n:
             yield flush()
 
-    return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
+    return texts.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
-def count_grams(texts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """(n, code, c): bigrams and trigrams of known ids only; the code counts in base ``len(ids)``."""
-    sent, base = texts.sparkSession.sparkContext.broadcast(ids), len(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        held: dict[int, list] = {2: [], 3: []}
-
-        def merged(n: int) -> tuple[np.ndarray, np.ndarray]:
-            codes, inverse = np.unique(np.concatenate([c for c, _ in held[n]]), return_inverse=True)
-            return codes, np.bincount(inverse, np.concatenate([k for _, k in held[n]])).astype(np.int64)
-
-        def flush(least: int) -> Iterator[pa.RecordBatch]:
-            for n in (2, 3):
-                if held[n]:
-                    held[n] = [merged(n)]
-                    if len(held[n][0][0]) > least:
-                        codes, c = held[n].pop()
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), n, np.int32)), pa.array(codes), pa.array(c)], names=["n", "code", "c"])
-
-        size = 0
-        for piece in slices(batches):
-            found = []
-            for t in piece.column(0).to_pylist():
-                found += [known[END], *(known.get(w, -1) for w in tokens(t or "")), -1]
-            x = np.array(found, np.int64)
-            two = (x[:-1] >= 0) & (x[1:] >= 0)
-            pair = x[:-1] * base + x[1:]
-            three = two[:-1] & two[1:]
-            for n, codes in ((2, pair[two]), (3, (pair[:-1] * base + x[2:])[three])):
-                u, c = np.unique(codes, return_counts=True)
-                held[n].append((u, c))
-                size += len(u)
-            if size > 4 * HELD:
-                yield from flush(2 * HELD)
-                size = sum(len(c) for n in held for c, _ in held[n])
-        yield from flush(-1)
-
-    return texts.mapInArrow(run, "n int, code long, c long").groupBy("n", "code").agg(F.sum("c").alias("c"))
+def fit(docs: DataFrame, text: str = "text") -> Totals:
+    """The totals of the training texts."""
+    single = lambda k: F.count(F.when(F.col("c") == k, 1))
+    r = count_tokens(docs.select(F.col(text).cast("string").alias("text"))).agg(F.sum("c").alias("n"), F.count("*").alias("v"), single(1).alias("n1"), single(2).alias("n2")).first()
+    return Totals(r.n or 0, r.v, r.n1 / (r.n1 + 2 * r.n2) if r.n1 and r.n2 else 0.5)
 
 
 @dataclass
-class Automaton:
-    """States with arcs and failure arcs. State 0 has no context; its arcs are the tokens' own probabilities."""
+class Block:
+    """Texts as ids of their distinct tokens. Id 0 is the end, so what stands before a text is the end of the one before it."""
+
+    ids: dict[bytes, int] = field(default_factory=lambda: {END: 0})
+    texts: list[np.ndarray] = field(default_factory=list)
+    train: list[bool] = field(default_factory=list)
+
+    def add(self, text: str, train: bool) -> None:
+        ids = self.ids
+        self.texts.append(np.array([ids.setdefault(w, len(ids)) for w in tokens(text)], np.int32))
+        self.train.append(train)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs as first * number of ids + second; hashes of the tokens by id and then of the pairs; their counts in training."""
+        base = len(self.ids)
+        w = np.concatenate(self.texts).astype(np.int64)
+        mask = np.repeat(np.array(self.train, np.float64), [len(t) for t in self.texts])
+        pairs, at = np.unique(np.concatenate([w[:1] * 0, w[:-1]]) * base + w, return_inverse=True)
+        h = hashes(list(self.ids))
+        c = np.concatenate([np.bincount(w, mask, base), np.bincount(at, mask)]).astype(np.int64)
+        return pairs, np.concatenate([h, pair_hashes(h[pairs // base], h[pairs % base])]).view(np.int64), c
+
+
+def stated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, c): hashes of the tokens and pairs of each block with their training counts; rows come block by block."""
+    now, held = None, Block()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        _, keys, c = held.counted()
+        for k in range(0, len(keys), OUT):
+            part = slice(k, k + OUT)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), now)), pa.array(keys[part]), pa.array(c[part])], names=["block", "key", "c"])
 
-    n_tokens: int = 0
-    n_kinds: int = 0
-    discount: float = 0.5
-    ids: dict[bytes, int] = field(default_factory=dict)
-    counts: list[int] = field(default_factory=list)
-    #: state * len(ids) + id -> (log10 weight, next state)
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)
-    failure: list[tuple[float, int]] = field(default_factory=lambda: [(0.0, 0)])
-    #: id -> the state of that one-token context
-    after: list[int] = field(default_factory=list)
-
-    def own(self, c: int) -> float:
-        """log10 of a token's own probability; never seen: all such tokens are one kind."""
-        if c:
-            return math.log10((c - self.discount) / max(self.n_tokens, 1))
-        return math.log10(max(self.discount * self.n_kinds, 1.0) / max(self.n_tokens, 1)) if self.n_tokens else 0.0
-
-    def start(self) -> int:
-        return self.after[self.ids[END]] if END in self.ids else 0
-
-    def traverse(self, words: list[int], own: list[float]) -> float:
-        """log10 probability of a text's tokens: ids (-1: in no longer n-gram) and their own log-probabilities."""
-        arcs, failure, after, base = self.arcs, self.failure, self.after, len(self.ids)
-        s, total = self.start(), 0.0
-        for w, p in zip(words, own, strict=True):
-            if w < 0:
-                while s:
-                    weight, s = failure[s]
-                    total += weight
-                total += p
-                continue
-            while s:
-                arc = arcs.get(s * base + w)
-                if arc is not None:
-                    total += arc[0]
-                    s = arc[1]
-                    break
-                weight, s = failure[s]
-                total += weight
-            else:
-                total += p
-                s = after[w]
-        return total
+    for piece in slices(batches):
+        for block, text, train in zip(piece.column("block").to_pylist(), piece.column("text").to_pylist(), piece.column("train").to_pylist(), strict=True):
+            if block != now:
+                if held.texts:
+                    yield from flush()
+                now, held = block, Block()
+            held.add(text or "", train)
+    if held.texts:
+        yield from flush()
 
 
-def discounted(n1: int, n2: int) -> float:
-    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-
-
-def built(n_tokens: int, n_kinds: int, discount: float, words: list[tuple[bytes, int]], grams: dict[int, list[tuple[int, int]]], off: dict[int, float]) -> Automaton:
-    """The automaton from the counts of frequent tokens and kept n-grams."""
-    a = Automaton(n_tokens, n_kinds, discount, {w: k for k, (w, _) in enumerate(words)}, [c for _, c in words])
-    base = len(words)
-    a.after = [0] * base
-    state: dict[tuple, int] = {(): 0}
-
-    def added(context: tuple) -> int:
-        if context not in state:
-            state[context] = len(a.failure)
-            a.failure.append((0.0, 0))
-        return state[context]
-
-    two = dict(grams[2])
-    end = a.ids.get(END, -1)
-    three = [(g, c) for g, c in grams[3] if g // base in two and (g // base) % base != end and g % (base * base) in two]
-    children: dict[tuple, list[tuple[int, int]]] = {}
-    for g, c in two.items():
-        children.setdefault((g // base,), []).append((g % base, c))
-    for g, c in three:
-        children.setdefault((g // base // base, g // base % base), []).append((g % base, c))
-    for context in sorted(children, key=len):
-        added(context)
-    for w in range(base):
-        a.after[w] = state.get((w,), 0)
-    probability: dict[tuple, float] = {}
-    own = lambda w: 10 ** a.own(a.counts[w])
-    for context in sorted(children, key=len):
-        total = a.counts[context[0]] if len(context) == 1 else two[context[0] * base + context[1]]
-        shares = [(w, max(c - off[len(context) + 1], 0.0) / total) for w, c in children[context]]
-        mass = max(1.0 - sum(p for _, p in shares), 1e-9)
-        s = state[context]
-        shorter = state.get(context[1:], 0) if len(context) == 2 else 0
-        a.failure[s] = (math.log10(mass), shorter)
-        for w, p in shares:
-            below = own(w) if len(context) == 1 else probability[context[1], w]
-            probability[(*context, w)] = p + mass * below
-            longest = (context[-1], w)
-            a.arcs[s * base + w] = (math.log10(p + mass * below), state.get(longest, a.after[w]))
-    return a
-
-
-def fit(docs: DataFrame, text: str = "text", min_word: float = MIN_WORD, min_arc: float = MIN_ARC) -> tuple[Automaton, DataFrame]:
-    """The automaton of the training texts, and (token, c) of all their tokens."""
-    texts = docs.select(F.col(text).cast("string").alias("text"))
-    counts = written(count_tokens(texts))
-    r = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2")).first()
-    n = r.n or 0
-    frequent = counts.filter((F.col("c") >= max(2.0, min_word * n)) | (F.col("token") == F.lit(END))).collect()  # at most 1 / min_word, and the end
-    words = sorted(((bytes(x.token), x.c) for x in frequent), key=lambda x: (-x[1], x[0]))
-    if not words:
-        return Automaton(), counts
-    grams = count_grams(texts, {w: k for k, (w, _) in enumerate(words)}).persist()
-    off = {x.n: discounted(x.n1, x.n2) for x in grams.groupBy("n").agg(F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2")).collect()}
-    kept: dict[int, list[tuple[int, int]]] = {2: [], 3: []}
-    for x in grams.filter(F.col("c") >= max(2.0, min_arc * n)).collect():  # at most 1 / min_arc of an order
-        kept[x.n].append((x.code, x.c))
-    grams.unpersist()
-    return built(n, r.v, discounted(r.n1, r.n2), words, kept, {2: 0.5, 3: 0.5} | off), counts
-
-
-def vocabulary(batches: Iterator[pa.RecordBatch], frequent: dict) -> Iterator[pa.RecordBatch]:
-    """(block, token): distinct tokens of rows with block and text that come block by block."""
-    now, seen = None, set()
-
-    def flush() -> pa.RecordBatch:
-        rest = list(seen.difference(frequent))
-        return pa.RecordBatch.from_arrays([pa.array([now] * len(rest), pa.int64()), pa.array(rest, pa.binary())], names=["block", "token"])
+@dataclass
+class Automaton:
+    """States with arcs and failure arcs. State 0 has no context and an arc for every token; state 1 + id has that token before it."""
+
+    #: log10 weight of the arcs of state 0, by id
+    own: list[float]
+    #: (state - 1) * number of ids + id -> log10 weight; the next state is 1 + id
+    arcs: dict[int, float]
+    #: log10 weight of each state's failure arc, which leads to state 0
+    failure: list[float]
+
+    def traverse(self, words: list[int]) -> float:
+        """log10 probability of a text's tokens."""
+        own, arcs, failure, base = self.own, self.arcs, self.failure, len(self.own)
+        state, total = 1, 0.0
+        for w in words:
+            weight = arcs.get((state - 1) * base + w)
+            total += failure[state] + own[w] if weight is None else weight
+            state = 1 + w
+        return total
 
-    for piece in slices(batches):
-        for block, text in zip(piece.column("block").to_pylist(), piece.column("text").to_pylist(), strict=True):
-            if block != now:
-                if seen:
-                    yield flush()
-                now, seen = block, set()
-            seen.update(tokens(text or ""))
-    if seen:
-        yield flush()
-
-
-def scored(a: Automaton, docs: pa.Table, asked: pa.Table) -> pa.Table:
-    """One row of ``SCORES`` for each (doc_id, text, held_out) of a block, given the (token, c) it asked for."""
-    count = dict(zip(asked.column("token").to_pylist(), asked.column("c").to_pylist(), strict=True))
-    bottom = a.n_tokens + a.n_kinds + 1
-    table = {w: (k, a.own(c), math.log10((c + 1) / bottom)) for (w, k), c in zip(a.ids.items(), a.counts, strict=True)}
-    table.update((w, (-1, a.own(c), math.log10((c + 1) / bottom))) for w, c in count.items())
-    unseen = (-1, a.own(0), math.log10(1 / bottom))
-    out = []
-    for batch in slices(iter(docs.to_batches())):
-        for doc, text, out_of in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-            words = tokens(text or "")
-            found = [table.get(w, unseen) for w in words]
-            ids, own, base = zip(*found, strict=True)
-            out.append((doc, out_of, len(words), len(words) - sum(x is unseen for x in found), a.n_tokens, math.fsum(base), a.traverse(ids, own)))
-    columns = list(zip(*out, strict=True)) if out else [[]] * 7
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
+def built(totals: Totals, base: int, pairs: np.ndarray, c: np.ndarray, strength: float) -> Automaton:
+    """The automaton of a block from the counts of its tokens, by id, and then of its pairs."""
+    one, two = c[:base].astype(float), c[base:].astype(float)
+    n = max(totals.n_tokens, 1)
+    rest = max(totals.discount * totals.n_kinds, 1.0) / n
+    own = np.where(one > 0, np.maximum(one - totals.discount, 1e-9) / n, rest)
+    x, w = pairs // base, pairs % base
+    seen = two > 0
+    weight = np.log10((two[seen] + strength * own[w[seen]]) / (one[x[seen]] + strength))
+    return Automaton(np.log10(own).tolist(), dict(zip(pairs[seen].tolist(), weight.tolist(), strict=True)), [0.0, *np.log10(strength / (one + strength)).tolist()])
 
-def score(docs: DataFrame, a: Automaton, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of every row, all as one kind of token where training never saw it.
 
-    Null texts count as empty and have the end only, repeated rows are scored each, null ids stay null and were not
-    trained on, other columns are left out, an empty table gives none.
+def scored(totals: Totals, docs: pa.Table, answers: pa.Table, strength: float) -> pa.Table:
+    """One row of ``SCORES`` for each (doc_id, text, held_out, train) of a block, given the (key, c) that differ from its own counts."""
+    names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    block = Block()
+    for batch in slices(iter(docs.select(["text", "train"]).to_batches())):
+        for text, train in zip(batch.column("text").to_pylist(), batch.column("train").to_pylist(), strict=True):
+            block.add(text or "", train)
+    if not block.texts:
+        return pa.table([pa.array([], k) for k in kinds], names=list(names))
+    base = len(block.ids)
+    pairs, keys, c = block.counted()
+    order = np.argsort(keys)
+    c[order[np.searchsorted(keys, answers.column("key").to_numpy(), sorter=order)]] = answers.column("c").to_numpy()
+    a = built(totals, base, pairs, c, strength)
+    known, plain = c[:base] > 0, np.log10((c[:base] + 1) / (totals.n_tokens + totals.n_kinds + 1))
+    size = [len(t) for t in block.texts]
+    columns = (
+        docs.column("doc_id"), docs.column("held_out"), size, [int(known[t].sum()) for t in block.texts], [totals.n_tokens] * len(size),
+        [math.fsum(plain[t]) for t in block.texts], [a.traverse(t.tolist()) for t in block.texts],
+    )
+    return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=list(names))
+
+
+def score(docs: DataFrame, totals: Totals, id_col: str = "doc_id", text_col: str = "text", strength: float = STRENGTH) -> DataFrame:
+    """Scores of every row under the model of those not held out, whose totals are given.
+
+    Null texts count as empty and have the end only, repeated rows are scored each, null ids stay null and are not trained on,
+    other columns are left out, an empty table gives none. A hash is stated once by a block, so a window over the most frequent
+    one has as many rows as there are blocks.
     """
-    n = max(1, math.ceil(a.n_tokens * 7 / 6 / BLOCK_TOKENS))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
+    n = max(1, math.ceil(totals.n_tokens * 7 / 6 / BLOCK_TOKENS))
+    out = held_out(F.col(id_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), out.alias("held_out"), (~out & F.col(id_col).isNotNull()).alias("train"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n))).repartition(n, "block")
-    sent = docs.sparkSession.sparkContext.broadcast(a)
     # all columns go along, so that both uses of the documents are one exchange
-    asked = rows.sortWithinPartitions("block").mapInArrow(lambda x: vocabulary(x, sent.value.ids), "block long, token binary")
-    answered = asked.join(counts, "token").select("block", "token", "c")
-    return rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda x, y: scored(sent.value, x, y), SCORES)
+    keys = rows.sortWithinPartitions("block").mapInArrow(stated, "block long, key long, c long")
+    answers = keys.withColumn("own", F.col("c")).withColumn("c", F.sum("own").over(Window.partitionBy("key"))).filter("c <> own").select("block", "key", "c")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: scored(totals, x, y, strength), SCORES)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all rows under the model of those not held out."""
-    a, counts = fit(docs.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()), text_col)
-    return score(docs, a, counts, id_col, text_col)
+    return score(docs, fit(docs.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()), text_col), id_col, text_col)

@@ -25,58 +25,52 @@ def corpus():
     return list(enumerate(texts + [None, "", " unseenword THE \n of"])) + [(None, "the cat")]
 
 
-def brute(train, min_word, min_arc):
-    """Probability of a token after two others, from dictionaries."""
+def brute(train, strength):
+    """Probability of a token after another one, from dictionaries."""
     seqs = [split(t) for t in train]
-    c1 = Counter(w for s in seqs for w in s)
-    n, v = sum(c1.values()), len(c1)
-    dis = lambda c: (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
-    often = {w for w, c in c1.items() if c >= max(2, min_word * n)} | {"\n"}
-    c2, c3 = Counter(), Counter()
+    c1, c2 = Counter(w for s in seqs for w in s), Counter()
     for s in seqs:
-        s = ["\n", *s]
-        c2.update(g for g in zip(s, s[1:]) if set(g) <= often)
-        c3.update(g for g in zip(s, s[1:], s[2:]) if set(g) <= often)
-    d1, d2, d3 = dis(c1), dis(c2), dis(c3)
-    c2 = {g: c for g, c in c2.items() if c >= max(2, min_arc * n)}
-    c3 = {g: c for g, c in c3.items() if c >= max(2, min_arc * n) and g[:2] in c2 and g[1] != "\n" and g[1:] in c2}
-
-    def p(u, x, w):
-        own = (c1[w] - d1) / n if c1[w] else max(d1 * v, 1) / n
-        inside = {g[1]: max(c - d2, 0) / c1[x] for g, c in c2.items() if g[0] == x}
-        if inside:
-            own = inside.get(w, 0) + max(1 - sum(inside.values()), 1e-9) * own
-        inside = {g[2]: max(c - d3, 0) / c2[g[:2]] for g, c in c3.items() if g[:2] == (u, x)}
-        if inside:
-            own = inside.get(w, 0) + max(1 - sum(inside.values()), 1e-9) * own
-        return own
+        c2.update(zip(["\n", *s], s))
+    n, v = sum(c1.values()), len(c1)
+    once, twice = (sum(c == k for c in c1.values()) for k in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(x, w):
+        own = (c1[w] - d) / n if c1[w] else max(d * v, 1) / n
+        return (c2[x, w] + strength * own) / (c1[x] + strength)
 
     return p, c1, n, v
 
 
 def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
-    monkeypatch.setattr(lm, "MIN_WORD", 0.01)
+    monkeypatch.setattr(lm, "OUT", 50)
     rows = corpus()
+    rows += [rows[5], rows[5]]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("x")).repartition(3)
-    a, counts = lm.fit(docs.filter(~lm.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()), min_word=0.01, min_arc=0.002)
-    p, c1, n, v = brute([t for i, t in rows if i is not None and not out(i)], 0.01, 0.002)
-    got = {r.doc_id: r for r in lm.score(docs, a, counts).collect()}
-    assert len(got) == len(rows)
-    better = 0.0
-    for i, text in rows:
-        s, r = ["\n", "\n", *split(text)], got[i]
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (out(i), len(s) - 2, n)
-        assert r.n_known == sum(c1[w] > 0 for w in s[2:])
-        assert abs(r.base_score - sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in s[2:])) < 1e-9
-        want = sum(math.log10(p(*(s[k - 2 : k] if k > 2 else ["", "\n"]), s[k])) for k in range(2, len(s)))
-        assert abs(r.score - want) < 1e-8, (i, r.score, want)
-        better += (r.score - r.base_score) * out(i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("x")).withColumn("Key", F.lit(1)).repartition(3)
+    p, c1, n, v = brute([t for i, t in rows if i is not None and not out(i)], lm.STRENGTH)
+    got = [r for r in lm.score_corpus(docs).collect()]
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    text, better = dict(rows), 0.0
+    for r in got:
+        s = ["\n", *split(text[r.doc_id])]
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (out(r.doc_id), len(s) - 1, n)
+        assert r.n_known == sum(c1[w] > 0 for w in s[1:])
+        assert abs(r.base_score - sum(math.log10((c1[w] + 1) / (n + v + 1)) for w in s[1:])) < 1e-9
+        want = sum(math.log10(p(x, w)) for x, w in zip(s, s[1:]))
+        assert abs(r.score - want) < 1e-8, (r.doc_id, r.score, want)
+        better += (r.score - r.base_score) * r.held_out
     assert better > 0
     names = {*c1, "unseen"}
-    for u, x in (("", "\n"), ("of", "the"), ("the", "cat"), ("big", "red")):
-        assert abs(sum(p(u, x, w) for w in names) - 1) < 1e-6
+    for x in ("\n", "of", "the", "big", "neverseen"):
+        assert abs(sum(p(x, w) for w in names) - 1) < 1e-6
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{k % 997}" for k in range(200_000))
+    got = {r.doc_id: r for r in lm.score_corpus(spark.createDataFrame([(0, long), (1, long), (2, "w1 w2")], "doc_id long, text string")).collect()}
+    assert got[0].n_tokens == 200_001 and got[0].score == got[1].score and got[0].score > got[0].base_score
 
 
 def test_empty(spark):
