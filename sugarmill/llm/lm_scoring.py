@@ -1,8 +1,8 @@
 """Language-model scoring with a weighted backoff automaton over all pairs of words.
 
 Documents are dealt to blocks of bounded size. A block states its distinct tokens and pairs as 64-bit hashes with their
-counts in its training texts; a window over each hash sums them over all blocks, and what differs from a block's own count
-goes back to it. So every token and every pair of the corpus counts, none is left out for being rare, what is gathered grows
+counts in its training texts, sorted and packed by ranges of hashes; the rows of a range are summed together, and the sums go
+back to each block in the order in which it stated the hashes. So every token and every pair of the corpus counts, none is left out for being rare, what is gathered grows
 with the corpus, and nothing of it is broadcast or comes to the driver (four numbers do).
 
 A block then holds its part of the automaton: a state for each context of one token, an arc for each pair seen in training,
@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugarmill.llm.common import slices
@@ -32,8 +32,6 @@ STRENGTH = 30.0
 #: Tokens of a block of documents, about.
 BLOCK_TOKENS = 2_500_000
 HELD = 200_000
-#: Rows of a batch that goes back to Spark.
-OUT = 50_000
 #: The end of a text; words hold no line feed. It also stands before the first word.
 END = b"\n"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -99,6 +97,16 @@ def fit(docs: DataFrame, text: str = "text") -> Totals:
     return Totals(r.n or 0, r.v, r.n1 / (r.n1 + 2 * r.n2) if r.n1 and r.n2 else 0.5)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """64-bit integers as bytes: first the lowest byte of each, then the next, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, size * 8, codec="zstd", asbytes=True), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
 @dataclass
 class Block:
     """Texts as ids of their distinct tokens. Id 0 is the end, so what stands before a text is the end of the one before it."""
@@ -120,18 +128,29 @@ class Block:
         pairs, at = np.unique(np.concatenate([w[:1] * 0, w[:-1]]) * base + w, return_inverse=True)
         h = hashes(list(self.ids))
         c = np.concatenate([np.bincount(w, mask, base), np.bincount(at, mask)]).astype(np.int64)
-        return pairs, np.concatenate([h, pair_hashes(h[pairs // base], h[pairs % base])]).view(np.int64), c
+        return pairs, np.concatenate([h, pair_hashes(h[pairs // base], h[pairs % base])]), c
 
 
-def stated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key, c): hashes of the tokens and pairs of each block with their training counts; rows come block by block."""
+ASKED = "block long, span long, size long, keys binary, counts binary"
+ANSWERED = "block long, span long, size long, counts binary"
+
+
+def stated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """``ASKED``: hashes of the tokens and pairs of each block with their training counts, a row for each range of hashes (by their
+    first ``bits`` bits) that the block has any of; rows come block by block."""
     now, held = None, Block()
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def flush() -> Iterator[pa.RecordBatch]:
         _, keys, c = held.counted()
-        for k in range(0, len(keys), OUT):
-            part = slice(k, k + OUT)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), now)), pa.array(keys[part]), pa.array(c[part])], names=["block", "key", "c"])
+        order = np.argsort(keys)
+        keys, c = keys[order], c[order]
+        cuts = [*np.searchsorted(keys, edges).tolist(), len(keys)]
+        rows = [(now, k, j - i, packed(np.diff(keys[i:j], prepend=np.uint64(0))), packed(c[i:j])) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        for k in range(0, len(rows), 100):
+            columns = zip(*rows[k : k + 100], strict=True)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["block", "span", "size", "keys", "counts"])
 
     for piece in slices(batches):
         for block, text, train in zip(piece.column("block").to_pylist(), piece.column("text").to_pylist(), piece.column("train").to_pylist(), strict=True):
@@ -144,6 +163,17 @@ def stated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def summed(asked: pa.Table) -> pa.Table:
+    """The rows of one range of hashes with the sums over all of them in place of the counts."""
+    size = asked.column("size").to_pylist()
+    keys = np.concatenate([np.cumsum(unpacked(x, n), dtype=np.uint64) for x, n in zip(asked.column("keys").to_pylist(), size, strict=True)])
+    own = np.concatenate([unpacked(x, n) for x, n in zip(asked.column("counts").to_pylist(), size, strict=True)])
+    _, at = np.unique(keys, return_inverse=True)
+    total = np.bincount(at, own.astype(float)).astype(np.uint64)[at]
+    ends = np.cumsum(size)
+    return asked.drop_columns(["keys", "counts"]).append_column("counts", pa.array([packed(total[e - n : e]) for e, n in zip(ends, size, strict=True)], pa.binary()))
+
+
 @dataclass
 class Automaton:
     """States with arcs and failure arcs. State 0 has no context and an arc for every token; state 1 + id has that token before it."""
@@ -179,7 +209,7 @@ def built(totals: Totals, base: int, pairs: np.ndarray, c: np.ndarray, strength:
 
 
 def scored(totals: Totals, docs: pa.Table, answers: pa.Table, strength: float) -> pa.Table:
-    """One row of ``SCORES`` for each (doc_id, text, held_out, train) of a block, given the (key, c) that differ from its own counts."""
+    """One row of ``SCORES`` for each (doc_id, text, held_out, train) of a block, given the ``ANSWERED`` rows of all its ranges."""
     names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     block = Block()
@@ -191,7 +221,8 @@ def scored(totals: Totals, docs: pa.Table, answers: pa.Table, strength: float) -
     base = len(block.ids)
     pairs, keys, c = block.counted()
     order = np.argsort(keys)
-    c[order[np.searchsorted(keys, answers.column("key").to_numpy(), sorter=order)]] = answers.column("c").to_numpy()
+    answers = answers.sort_by("span")
+    c[order] = np.concatenate([unpacked(x, n) for x, n in zip(answers.column("counts").to_pylist(), answers.column("size").to_pylist(), strict=True)])
     a = built(totals, base, pairs, c, strength)
     known, plain = c[:base] > 0, np.log10((c[:base] + 1) / (totals.n_tokens + totals.n_kinds + 1))
     size = [len(t) for t in block.texts]
@@ -206,16 +237,17 @@ def score(docs: DataFrame, totals: Totals, id_col: str = "doc_id", text_col: str
     """Scores of every row under the model of those not held out, whose totals are given.
 
     Null texts count as empty and have the end only, repeated rows are scored each, null ids stay null and are not trained on,
-    other columns are left out, an empty table gives none. A hash is stated once by a block, so a window over the most frequent
-    one has as many rows as there are blocks.
+    other columns are left out, an empty table gives none. There are about as many ranges as blocks, and a block states a hash once
+    however often it occurs, so a range has about as many hashes as a block.
     """
     n = max(1, math.ceil(totals.n_tokens * 7 / 6 / BLOCK_TOKENS))
     out = held_out(F.col(id_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), out.alias("held_out"), (~out & F.col(id_col).isNotNull()).alias("train"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n))).repartition(n, "block")
     # all columns go along, so that both uses of the documents are one exchange
-    keys = rows.sortWithinPartitions("block").mapInArrow(stated, "block long, key long, c long")
-    answers = keys.withColumn("own", F.col("c")).withColumn("c", F.sum("own").over(Window.partitionBy("key"))).filter("c <> own").select("block", "key", "c")
+    bits = max(1, math.ceil(math.log2(n)))
+    asked = rows.sortWithinPartitions("block").mapInArrow(lambda x: stated(x, bits), ASKED)
+    answers = asked.groupBy("span").applyInArrow(summed, ANSWERED)
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: scored(totals, x, y, strength), SCORES)
 
 

@@ -44,7 +44,6 @@ def brute(train, strength):
 
 def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 700)
-    monkeypatch.setattr(lm, "OUT", 50)
     rows = corpus()
     rows += [rows[5], rows[5]]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
