@@ -113,3 +113,22 @@ def instantiations(options: DataFrame) -> DataFrame:
         done = whole if done is None else done.unionByName(whole)
         level = level.join(rows.filter(F.col("k") == k + 1).select("glycan_id", "candidate"), "glycan_id").select("glycan_id", F.concat("choice", F.array("candidate")).alias("choice"))
     return done if done is not None else level
+
+
+def links_repaired(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (glycan_id, parent, child, parent_pos, child_pos) with a column ``reversed``; nodes are (glycan_id, node).
+
+    Where a glycan has several nodes without a parent, but not all are, and all of those but one have a single link, as its parent
+    and with both positions unknown, such links are turned round. All other glycans keep their links.
+    """
+    heads = nodes.join(links.select("glycan_id", F.col("child").alias("node")), ["glycan_id", "node"], "left_anti")
+    ends = links.select("glycan_id", F.explode(F.array("parent", "child")).alias("node")).groupBy("glycan_id", "node").agg(F.count("*").alias("degree"))
+    loose = links.filter("parent_pos is null and child_pos is null").select("glycan_id", F.col("parent").alias("node"), F.lit(1).alias("loose"))
+    heads = heads.join(ends, ["glycan_id", "node"], "left").join(loose, ["glycan_id", "node"], "left").withColumn("turn", F.coalesce((F.col("degree") == 1) & F.col("loose").isNotNull(), F.lit(False)))
+    heads = heads.dropDuplicates(["glycan_id", "node"])
+    every = nodes.groupBy("glycan_id").agg(F.count("*").alias("n_nodes"))
+    good = heads.groupBy("glycan_id").agg(F.count("*").alias("n_heads"), F.count_if("turn").alias("n_turn")).join(every, "glycan_id").filter("n_heads > 1 and n_heads < n_nodes and n_turn = n_heads - 1")
+    turned = heads.filter("turn").join(good, "glycan_id", "left_semi").select("glycan_id", F.col("node").alias("parent"), F.lit(True).alias("turned"))
+    rows = links.join(turned, ["glycan_id", "parent"], "left").withColumn("reversed", F.col("turned").isNotNull())
+    swap = lambda a, b: F.when(F.col("reversed"), F.col(b)).otherwise(F.col(a)).alias(a)
+    return rows.select("glycan_id", swap("parent", "child"), swap("child", "parent"), swap("parent_pos", "child_pos"), swap("child_pos", "parent_pos"), "reversed")

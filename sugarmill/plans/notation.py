@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sugarmill.operators import notation as ops
 from sugarmill.operators import structures
+from sugarmill.plans import base
 from sugarmill.plans.base import NODES, query
 from sugarmill.plans.trees import PRE
 from sugarmill.sources import derived, facts
@@ -97,3 +98,22 @@ def instantiations(spark, d):
 def undetermined_classes(spark, d):
     k = floating(spark, d).groupBy("glycan_id", "node", "class_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("candidate")), lambda c: c.cast("string")), ",").alias("parents"))
     return k.groupBy("glycan_id", "class_id", "parents").agg(F.min("node").alias("first_node"), F.count("*").alias("n"))
+
+
+LOOSE = f"""{base.NODES}, leafs AS (SELECT n.*, NOT EXISTS (FROM nodes c WHERE c.glycan_id = n.glycan_id AND c.parent = n.node) AND n.glycan_id % 3 < 2 AND n.node % 2 = 1 AS flip FROM nodes n WHERE n.parent IS NOT NULL),
+links AS (SELECT glycan_id, CASE WHEN flip THEN node ELSE parent END AS parent, CASE WHEN flip THEN parent ELSE node END AS child, CASE WHEN flip AND glycan_id % 3 = 0 THEN NULL ELSE parent_pos END AS parent_pos, CASE WHEN flip AND glycan_id % 3 = 0 THEN NULL ELSE 1 END AS child_pos FROM leafs)"""
+
+
+@base.query("wurcs_link_repair", f"""WITH {LOOSE},
+heads AS (SELECT glycan_id, node, (SELECT count(*) FROM links l WHERE l.glycan_id = n.glycan_id AND (l.parent = n.node OR l.child = n.node)) = 1 AND EXISTS (FROM links l WHERE l.glycan_id = n.glycan_id AND l.parent = n.node AND l.parent_pos IS NULL AND l.child_pos IS NULL) AS turn
+  FROM nodes n WHERE NOT EXISTS (FROM links l WHERE l.glycan_id = n.glycan_id AND l.child = n.node)),
+good AS (SELECT glycan_id FROM heads h GROUP BY 1 HAVING count(*) > 1 AND count(*) < (SELECT count(*) FROM nodes n WHERE n.glycan_id = h.glycan_id) AND count(*) FILTER (turn) = count(*) - 1),
+r AS (SELECT l.*, EXISTS (FROM heads h JOIN good USING (glycan_id) WHERE h.turn AND h.glycan_id = l.glycan_id AND h.node = l.parent) AS reversed FROM links l)
+SELECT glycan_id, CASE WHEN reversed THEN child ELSE parent END AS parent, CASE WHEN reversed THEN parent ELSE child END AS child, (CASE WHEN reversed THEN child_pos ELSE parent_pos END)::INT AS parent_pos, (CASE WHEN reversed THEN parent_pos ELSE child_pos END)::INT AS child_pos, reversed FROM r""")
+def wurcs_link_repair(spark, d):
+    n = derived.nodes(spark, d)
+    parents = n.filter("parent is not null").select("glycan_id", F.col("parent").alias("node"), F.lit(True).alias("has_child")).distinct()
+    links = n.filter("parent is not null").join(parents, ["glycan_id", "node"], "left").withColumn("flip", F.expr("has_child is null and glycan_id % 3 < 2 and node % 2 = 1"))
+    unknown = "if(flip and glycan_id % 3 = 0, null, {})"
+    links = links.selectExpr("glycan_id", "if(flip, node, parent) as parent", "if(flip, parent, node) as child", unknown.format("parent_pos") + " as parent_pos", unknown.format("1") + " as child_pos")
+    return ops.links_repaired(n.select("glycan_id", "node"), links)
