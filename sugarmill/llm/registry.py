@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarmill.llm import chat, embedding_join, html_text, lm_scoring, ngram_join, packing, paragraphs, pieces, quality, toxicity
+from sugarmill.llm import chat, embedding_join, html_text, lm_scoring, ngram_join, oracle, packing, paragraphs, pieces, quality, toxicity
 from sugarmill.llm.common import table, written
 
 
@@ -120,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name, where SQL can express it."""
-    return {}
+    return dict(oracle.ORACLE)
