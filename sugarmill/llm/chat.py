@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "</s>"
 #: Begins of strings that a template may use, here or elsewhere.
@@ -64,21 +65,17 @@ def format_chats(rows: DataFrame, parts: Column, conv: str = "conv_id", turn: st
     who = escaped(F.coalesce(F.col(role).cast("string"), F.lit("")))
     head = F.concat(F.lit(TURN), who, F.lit(BODY))
     one = F.struct(F.col(turn).cast("long").alias("turn"), who.alias("who"), visited(parts).alias("body"), F.octet_length(head).alias("head"), attachments(parts, F.col(turn)).alias("attached"))
-    chats = rows.select(F.col(conv).alias("conv_id"), one.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    length = lambda t: t["head"] + F.octet_length(t["body"]) + len(END)
-    # each turn's first byte: a running sum, carried beside the list of spans
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        span = F.struct((acc["at"] + t["head"]).cast("long").alias("start"), F.octet_length(t["body"]).cast("long").alias("length"))
-        spans = F.when(t["who"] == "assistant", F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + length(t)).cast("long").alias("at"), spans.alias("spans"))
-
+    # each turn's first byte is a running sum over its conversation, so that a long one costs its turns, not their square
+    before = Window.partitionBy("conv_id").orderBy("turn", "who", "body", "attached").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.col("head") + F.octet_length("body") + len(END)).over(before), F.lit(0)).cast("long")
+    placed = rows.select(F.col(conv).alias("conv_id"), one.alias("t")).select("conv_id", "t.*").withColumn("begin", begin)
+    chats = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("begin", "who", "body", "head", "attached"))).alias("turns"))
+    spoken = F.filter("turns", lambda t: t["who"] == "assistant")
     attached = F.flatten(F.transform("turns", lambda t: t["attached"]))
     return chats.select(
         "conv_id",
         F.array_join(F.transform("turns", lambda t: F.concat(F.lit(TURN), t["who"], F.lit(BODY), t["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("turns", start, step, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.transform(spoken, lambda t: F.struct((t["begin"] + t["head"]).alias("start"), F.octet_length(t["body"]).cast("long").alias("length"))).alias("loss_spans"),
         attached.alias("attachments"),
         F.aggregate(attached, F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("attachment_tokens"),
     )
@@ -93,5 +90,6 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    raw = formatted.cast("binary")
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string"))), "")
+    cut = lambda raw: F.transform(spans, lambda s: unescaped(F.substring(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string")))
+    # the bytes are an array's only element, so that they are made once and not for every span
+    return F.array_join(F.flatten(F.transform(F.array(formatted.cast("binary")), cut)), "")

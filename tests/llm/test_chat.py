@@ -48,3 +48,11 @@ def test_query_digests(spark, rows, tmp_path):
     assert got[-1].turns_sha256 == hashlib.sha256(b"user\n</s>[INST] ok [/INST]\nassistant\n</s>[INST] ok [/INST]\n").hexdigest()
     assert got[-1].loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest() and got[-1].loss_chars == 21
     assert set(got) == {-1, *(r[0] for r in rows)}
+
+
+def test_one_very_long_conversation(spark):
+    rows = spark.range(30_000).selectExpr("7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('text </s> ', id, repeat(' é', 20)) as text", "1 as begin", "2 as turns")
+    chats = chat.format_chats(rows, chat.text_part(F.col("text")))
+    r = chats.select(F.size(chat.read_turns(F.col("formatted"))).alias("n"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r.n == 30_000
+    assert r.loss == "".join(f"text </s> {i}" + " é" * 20 for i in range(1, 30_000, 2))
