@@ -64,8 +64,8 @@ def annotate(spark, d):
     return annotated(spark, d, "box-root")
 
 
-@query("annotate_by_pipeline", ANNOTATE.replace("conf > 0.3", "conf > 0.6"))
-def annotate_by_pipeline(spark, d):
+@query("annotate_strict", ANNOTATE.replace("conf > 0.3", "conf > 0.6"))
+def annotate_strict(spark, d):
     return annotated(spark, d, "contour-root")
 
 

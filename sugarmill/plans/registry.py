@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugarmill.plans import annotation, base, boxes, composition, detections, evaluation, notation, overlap, pixels, references, scans, trees  # noqa: F401  each module registers its queries
+from sugarmill.plans import annotation, base, boxes, chain, composition, detections, evaluation, notation, overlap, pixels, references, scans, trees  # noqa: F401  each module registers its queries
 from sugarmill.plans.base import Query
 
 
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end-to-end annotation."""
-    return queries()["annotate"](spark, sf_dir)
+    return queries()["annotate_chain"](spark, sf_dir)

@@ -19,7 +19,8 @@ DIST = MONOS + """, near AS (SELECT a.image_id, a.mono_idx, min(sqrt(((a.cen_x -
 dist AS (SELECT m.image_id, (coalesce(max(n.s), 0) + 100) / count(*) AS distance FROM monos m LEFT JOIN (SELECT image_id, sum(d) AS s FROM near GROUP BY 1) n USING (image_id) GROUP BY 1)"""
 WIN = "SELECT *, greatest(cen_x - radius, 0) AS x1, greatest(cen_y - radius, 0) AS y1, least(cen_x + radius, imwidth) AS x2, least(cen_y + radius, imheight) AS y2 FROM (SELECT *, CAST(trunc(sqrt((h * h + w * w)::DOUBLE) / 2 * {f}::DOUBLE) AS INT) AS radius FROM monos)"
 SIDES = " OR ".join(joins.side("q.cen_x", "q.cen_y", "q.qx", "q.qy", *r) for r in (("o.x", "o.y", "o.x + o.w", "o.y"), ("o.x", "o.y + o.h", "o.x + o.w", "o.y + o.h"), ("o.x", "o.y", "o.x", "o.y + o.h"), ("o.x + o.w", "o.y", "o.x + o.w", "o.y + o.h")))
-LINKS = DIST + f""", con AS (SELECT a.image_id, a.mono_idx AS contour_idx, (a.cen_x + b.cen_x) // 2 AS cx, (a.cen_y + b.cen_y) // 2 AS cy FROM monos a JOIN monos b ON a.image_id = b.image_id AND b.mono_idx = a.mono_idx + 1),
+CON = "con AS (SELECT a.image_id, a.mono_idx AS contour_idx, (a.cen_x + b.cen_x) // 2 AS cx, (a.cen_y + b.cen_y) // 2 AS cy FROM monos a JOIN monos b ON a.image_id = b.image_id AND b.mono_idx = a.mono_idx + 1)"
+LINKS = DIST + f""", {CON},
 s AS (SELECT m.image_id, m.mono_idx, c.contour_idx, m.cen_x, m.cen_y, c.cx, c.cy, d.distance, unnest(range(1, 200, 5)) AS step FROM ({WIN.format(f=1.5)}) m JOIN con c ON c.image_id = m.image_id AND c.cx BETWEEN x1 AND x2 AND c.cy BETWEEN y1 AND y2 JOIN dist d ON d.image_id = m.image_id),
 l AS (SELECT *, greatest(sqrt(((cen_x - cx) * (cen_x - cx) + (cen_y - cy) * (cen_y - cy))::DOUBLE), 1) AS len FROM s),
 q AS (SELECT *, CAST(trunc(cx + (cx - cen_x) / len * (distance * (step / 100::DOUBLE))) AS INT) AS qx, CAST(trunc(cy + (cy - cen_y) / len * (distance * (step / 100::DOUBLE))) AS INT) AS qy FROM l),
