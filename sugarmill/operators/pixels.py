@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sugarmill.functions.lineage import cut
-
 
 def hsv(df: DataFrame) -> DataFrame:
     """h in 0 to 180, s and v in 0 to 255, as 8-bit images have them."""
@@ -24,26 +26,50 @@ def coloured(df: DataFrame, colours: DataFrame) -> DataFrame:
     return df.join(F.broadcast(colours), inside).select("image_id", "y", "x", "colour").distinct()
 
 
+def first_of_region(ys: list, lows: list, highs: list) -> list:
+    """For each run of pixels, in the order of lines and columns, the first run that it is joined with."""
+    root = list(range(len(ys)))
+
+    def top(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    above = 0  # the first run that may touch the present one from the line before
+    for k, y in enumerate(ys):
+        while ys[above] < y - 1 or (ys[above] == y - 1 and highs[above] + 1 < lows[k]):
+            above += 1
+        at = above
+        while ys[at] == y - 1 and lows[at] <= highs[k] + 1:
+            one, two = top(at), top(k)
+            root[max(one, two)] = min(one, two)
+            at += 1
+    return [top(k) for k in range(len(ys))]
+
+
+def joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups (image_id, colour, runs) with ``first``, the place of each run's first."""
+    for batch in batches:
+        runs = batch.column("runs").to_pylist()
+        first = [first_of_region([r["y"] for r in g], [r["x1"] for r in g], [r["x2"] for r in g]) for g in runs]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.list_(pa.int32()))], names=[*batch.schema.names, "first"])
+
+
 def regions(pixels: DataFrame) -> DataFrame:
     """(image_id, colour, region, x, y, w, h, n): 8-connected regions with their boxes, from rows of (image_id, colour, y, x).
 
-    Rows of touching pixels become runs; runs of neighbouring lines that touch take the smaller label until none changes.
+    Rows of touching pixels become runs. An image bounds its runs of a colour, so they are joined in one pass after one shuffle;
+    a region is named by its first pixel.
     """
     line = Window.partitionBy("image_id", "colour", "y").orderBy("x")
     runs = pixels.withColumn("gap", F.col("x") - F.row_number().over(line)).groupBy("image_id", "colour", "y", "gap").agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.count("*").alias("n"))
-    runs = cut(runs.drop("gap").withColumn("label", F.col("y").cast("long") * 100000 + F.col("x1")))
-    above = runs.select("image_id", "colour", (F.col("y") + 1).alias("y"), F.col("x1").alias("u1"), F.col("x2").alias("u2"), F.col("label").alias("up"))
-    touch = runs.join(above, ["image_id", "colour", "y"]).filter("x1 <= u2 + 1 and u1 <= x2 + 1").select("image_id", "colour", F.col("label").alias("a"), F.col("up").alias("b"))
-    touch = cut(touch.unionByName(touch.select("image_id", "colour", F.col("b").alias("a"), F.col("a").alias("b"))))
-    names = cut(runs.select("image_id", "colour", F.col("label").alias("a"), F.col("label").alias("region")))
-    while True:
-        near = touch.join(names.select("image_id", "colour", F.col("a").alias("b"), F.col("region").alias("r")), ["image_id", "colour", "b"]).groupBy("image_id", "colour", "a").agg(F.min("r").alias("r"))
-        new = cut(names.join(near, ["image_id", "colour", "a"], "left").select("image_id", "colour", "a", F.least("region", F.coalesce("r", "region")).alias("region"), (F.col("r") < F.col("region")).alias("changed")))
-        names = new.drop("changed")
-        if new.filter("changed").isEmpty():
-            break
-    full = runs.join(names.withColumnRenamed("a", "label"), ["image_id", "colour", "label"])
-    return full.groupBy("image_id", "colour", "region").agg(F.min("x1").alias("x"), F.min("y").alias("y"), (F.max("x2") - F.min("x1") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.sum("n").alias("n"))
+    one = F.struct(*(F.col(c).cast("long").alias(c) for c in ("y", "x1", "x2", "n")))
+    groups = runs.groupBy("image_id", "colour").agg(F.array_sort(F.collect_list(one)).alias("runs"))
+    found = groups.mapInArrow(joined_runs, T.StructType([*groups.schema.fields, T.StructField("first", T.ArrayType(T.IntegerType()))]))
+    r = found.select("image_id", "colour", F.explode(F.arrays_zip("runs", "first")).alias("r"), "runs").select("image_id", "colour", "r.runs.*", F.col("runs")[F.col("r.first")].alias("begin"))
+    name = (F.col("begin.y") * 100000 + F.col("begin.x1")).alias("region")
+    sizes = [F.min("x1").cast("int").alias("x"), F.min("y").cast("int").alias("y"), (F.max("x2") - F.min("x1") + 1).cast("int").alias("w"), (F.max("y") - F.min("y") + 1).cast("int").alias("h"), F.sum("n").alias("n")]
+    return r.groupBy("image_id", "colour", "begin").agg(*sizes).select("image_id", "colour", name, "x", "y", "w", "h", "n")
 
 
 def shaped(df: DataFrame, image_area: float, squareness: float = 0.25, share: float = 1000.0, fill: float = 500.0) -> DataFrame:
