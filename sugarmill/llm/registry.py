@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarmill.llm import chat, embedding_join, html_text, lm_scoring, ngram_join, oracle, packing, paragraphs, pieces, quality, sharding, toxicity
+from sugarmill.llm import chat, embedding_join, html_text, lm_scoring, ngram_join, oracle, packing, paragraphs, pieces, quality, sharding, toxicity, whitening
 from sugarmill.llm.common import table, written
 
 
@@ -102,6 +102,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on the 16 leading components of the distinct ones, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=16).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of equal row counts along a Hilbert curve over language, source and length."""
     placed = sharding.place(table(spark, sf_dir, "documents"), ("lang", "source", "n_chars"), 24, "rows")
@@ -121,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_embedding_whitening": op11_embedding_whitening,
         "op12_sharding": op12_sharding,
     }
 
