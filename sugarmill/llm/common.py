@@ -47,12 +47,13 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(BATCH_SETTING, before)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: cuts lineage, survives lost executors. Files of very wide
+    rows have few of them each, as a reader takes thousands of a file's rows at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     for paths in _COLLECTING:
         paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugarmill.llm import chat, embedding_join, html_text, lm_scoring, ngram_join, oracle, packing, paragraphs, pieces, quality, sharding, toxicity, whitening
+from sugarmill.llm import chat, embedding_join, html_text, lm_scoring, ngram_join, oracle, packing, paragraphs, phrases, pieces, quality, sharding, toxicity, whitening
 from sugarmill.llm.common import table, written
 
 
@@ -113,6 +113,11 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language of all documents."""
+    return phrases.mine(table(spark, sf_dir, "documents"), support=10, share=50, best=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
     return {
@@ -128,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_lm_scoring": op10_lm_scoring,
         "op11_embedding_whitening": op11_embedding_whitening,
         "op12_sharding": op12_sharding,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
