@@ -42,8 +42,8 @@ size AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY 1),
 two AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS a FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM said) GROUP BY ALL HAVING count(*) >= 10),
 three AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS a FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM said) GROUP BY ALL HAVING count(*) >= 10),
 inside AS (SELECT lang, w1, w2, max(a) AS longer FROM (SELECT lang, w1, w2, a FROM three UNION ALL SELECT lang, w2, w3, a FROM three) GROUP BY ALL),
-cuts AS (SELECT t.lang, w1 || ' ' || w2 AS phrase, 1 AS k, a, x.f AS l, y.f AS r FROM two t JOIN one x ON x.lang = t.lang AND x.word = w1 JOIN one y ON y.lang = t.lang AND y.word = w2
-    LEFT JOIN inside USING (lang, w1, w2) WHERE longer IS NULL OR 100 * longer < 50 * a
+cuts AS (SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, 1 AS k, a, x.f AS l, y.f AS r FROM two t JOIN one x ON x.lang = t.lang AND x.word = t.w1 JOIN one y ON y.lang = t.lang AND y.word = t.w2
+    LEFT JOIN inside i ON i.lang = t.lang AND i.w1 = t.w1 AND i.w2 = t.w2 WHERE longer IS NULL OR 100 * longer < 50 * a
   UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.a, x.f, y.a FROM three t JOIN one x ON x.lang = t.lang AND x.word = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
   UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.a, x.a, y.f FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.word = t.w3),
 lowest AS (SELECT lang, phrase, a, l, r, ({OP13_SCORE})::BIGINT AS score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY {OP13_SCORE}, k) = 1)
