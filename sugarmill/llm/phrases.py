@@ -30,9 +30,11 @@ from sugarmill.llm.common import slices, tidy, written
 from sugarmill.llm.lm_scoring import packed, pair_hashes, unpacked
 
 SUPPORT, SHARE, BEST = 10, 50, 2000
-SHARDS = 4
+SHARDS = 2
 #: Tokens of a block, about; bytes of text looked at once; hashes of a range, about.
 BLOCK_TOKENS, CHUNK, RANGE = 1_500_000, 1 << 20, 2_000_000
+#: Hashes that a task holds until it states them, each once.
+HELD = 1_500_000
 #: A filter has 2 ** 27 bits (16 MB); there is one for each shard and level.
 FILTER_BITS = 27
 #: Languages and shards whose totals are broadcast; more are joined by shuffling.
@@ -183,6 +185,31 @@ def each_block(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[d
     tidy()
 
 
+class Held:
+    """What a task has counted and not yet handed on, by language, shard and support: hashes, counts, and columns that belong to a hash."""
+
+    def __init__(self) -> None:
+        self.parts: dict[tuple[str, int, int], list[tuple[np.ndarray, ...]]] = {}
+        self.size = 0
+
+    def add(self, row: dict, *columns: np.ndarray) -> bool:
+        """Takes hashes, counts and more; whether it holds enough to hand on."""
+        self.parts.setdefault((row["lang"], row["shard"], row["least"]), []).append(columns)
+        self.size += len(columns[0])
+        return self.size > HELD
+
+    def merged(self) -> Iterator[tuple[tuple[str, int, int], list[np.ndarray]]]:
+        """Each key with its columns, a hash once with the sum of its counts. Hashes that meet by chance stay apart where columns differ."""
+        for key, parts in self.parts.items():
+            hashes, counts, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+            kept, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+            if all((x[first][of] == x).all() for x in more):
+                yield key, [kept, np.bincount(of, counts, len(kept)).astype(np.int64), *(x[first] for x in more)]
+            else:
+                yield key, [hashes, counts, *more]
+        self.parts, self.size = {}, 0
+
+
 def counted(blocks: DataFrame, support: int, shards: int, seed: int) -> DataFrame:
     """(lang, h1, h2, h3, a): all phrases of two or three words that occur ``support`` times or more in a language, as hashes of words."""
     spark = blocks.sparkSession
@@ -193,32 +220,51 @@ def counted(blocks: DataFrame, support: int, shards: int, seed: int) -> DataFram
     span_bits = min(FILTER_BITS - 3, max(0, ceil(log2(max(1, total) / RANGE))))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
         for row, b in each_block(batches, seed):
-            yield stated(in_language(b.pair_hashes, row["lang"]), b.pair_counts, row["shard"], row["least"], span_bits)
+            if held.add(row, in_language(b.pair_hashes, row["lang"]), b.pair_counts):
+                yield from (stated(h, c, shard, least, span_bits) for (_, shard, least), (h, c) in held.merged())
+        yield from (stated(h, c, shard, least, span_bits) for (_, shard, least), (h, c) in held.merged())
 
     two = filters(rows.mapInArrow(pairs, STATED), shards, span_bits)
     sent = [spark.sparkContext.broadcast(x) for x in two]
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
         for row, b in each_block(batches, seed):
             p, w, n = b.triples(passes(in_language(b.pair_hashes, row["lang"]), sent[row["shard"]].value))
-            yield stated(in_language(b.triple_hashes(p, w), row["lang"]), n, row["shard"], row["least"], span_bits)
+            if held.add(row, in_language(b.triple_hashes(p, w), row["lang"]), n):
+                yield from (stated(h, c, shard, least, span_bits) for (_, shard, least), (h, c) in held.merged())
+        yield from (stated(h, c, shard, least, span_bits) for (_, shard, least), (h, c) in held.merged())
 
     three = filters(rows.mapInArrow(triples, STATED), shards, span_bits)
     any_two, any_three = (spark.sparkContext.broadcast(np.bitwise_or.reduce(x)) for x in (two, three))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two, three = Held(), Held()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for held in (two, three):
+                for (lang, _, _), (_, c, *words) in held.merged():
+                    last = [pa.array(x) for x in words] if held is three else [*(pa.array(x) for x in words), pa.nulls(len(c), pa.int64())]
+                    columns = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(c), np.int32)), [lang]).dictionary_decode(), *last, pa.array(c)]
+                    for at in range(0, len(c), 100_000):
+                        yield pa.RecordBatch.from_arrays([x.slice(at, 100_000) for x in columns], names=["lang", "h1", "h2", "h3", "c"])
+
         for row, b in each_block(batches, seed):
-            ok = passes(in_language(b.pair_hashes, row["lang"]), any_two.value)
+            row |= {"shard": 0, "least": 0}  # counts are of all shards
+            h = b.hashes.view(np.int64)
+            words = lambda x, b=b, h=h: (h[b.pairs[x] // b.base], h[b.pairs[x] % b.base])
+            own = in_language(b.pair_hashes, row["lang"])
+            ok = passes(own, any_two.value)
             p, w, n = b.triples(ok)
-            good = passes(in_language(b.triple_hashes(p, w), row["lang"]), any_three.value)
-            p, w, n = p[good], w[good], n[good]
-            words = lambda x: (b.hashes[b.pairs[x] // b.base].view(np.int64), b.hashes[b.pairs[x] % b.base].view(np.int64))
-            for first, second, third, c in ((*words(np.flatnonzero(ok)), None, b.pair_counts[ok]), (*words(p), b.hashes[w].view(np.int64), n)):
-                lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(c), np.int32)), [row["lang"]]).dictionary_decode()
-                last = pa.nulls(len(c), pa.int64()) if third is None else pa.array(third)
-                for at in range(0, len(c), 100_000):
-                    yield pa.RecordBatch.from_arrays([x.slice(at, 100_000) for x in (lang, pa.array(first), pa.array(second), last, pa.array(c.astype(np.int64)))], names=["lang", "h1", "h2", "h3", "c"])
+            own_three = in_language(b.triple_hashes(p, w), row["lang"])
+            good = passes(own_three, any_three.value)
+            p, w = p[good], w[good]
+            full = two.add(row, own[ok], b.pair_counts[ok], *words(np.flatnonzero(ok)))
+            if three.add(row, own_three[good], n[good], *words(p), h[w]) or full:
+                yield from flush()
+        yield from flush()
 
     found = rows.mapInArrow(candidates, "lang string, h1 long, h2 long, h3 long, c long")
     out = written(found.groupBy("lang", "h1", "h2", "h3").agg(F.sum("c").alias("a")).filter(F.col("a") >= support))
