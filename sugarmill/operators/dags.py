@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sugarmill.functions.lineage import cut
+
 
 def refined(colours: Column, links: Column) -> Column:
     """Colours after as many rounds as there are residues; links are (p, c, label) with places in the list of colours."""
@@ -49,7 +51,8 @@ def equal_candidates(nodes: DataFrame, links: DataFrame, key: str = "glycan_id",
     """(key, class_id, n_nodes, n_colours, decided): glycans that may be equal share a class, named after its least key; they are equal
     where ``decided``. ``nodes`` is (key, node, label), ``links`` is (key, parent, child, label). With ``single_out`` glycans that refinement
     leaves open are refined again with one residue singled out."""
-    rows = graphs(nodes, links, key).withColumn("final", refined(F.col("colours"), F.col("links")))
+    # cut, as an optimiser that puts one expression into another would refine anew for each link
+    rows = cut(graphs(nodes, links, key).withColumn("final", refined(F.col("colours"), F.col("links"))))
     n, kinds = F.size("nodes"), F.size(F.array_distinct("final"))
     heads = F.size(F.array_distinct(F.transform("links", lambda e: e["c"])))
     tree = (F.size("links") == n - 1) & (heads == n - 1)
@@ -62,7 +65,7 @@ def equal_candidates(nodes: DataFrame, links: DataFrame, key: str = "glycan_id",
         open_ = rows.filter("not plain").withColumn("shared", shared)
         places = F.filter(F.sequence(F.lit(0), F.size("final") - 1), lambda i: F.get("final", i) == F.col("shared"))
         marked = lambda i: F.transform("final", lambda x, j: F.when(i == j, F.md5(F.concat(x, F.lit("!")))).otherwise(x))
-        tried = open_.withColumn("tried", F.transform(places, lambda i: refined(marked(i), F.col("links"))))
+        tried = cut(open_.withColumn("places", places).withColumn("tried", F.transform("places", lambda i: refined(marked(i), F.col("links")))))
         tried = tried.withColumn("decided", F.forall("tried", lambda c: F.size(F.array_distinct(c)) == F.size(c)))
         least = F.array_min(F.transform("tried", lambda c: certificate(c, F.col("links"))))
         tried = tried.withColumn("certificate", F.when(F.col("decided"), F.concat("certificate", least)).otherwise(F.col("certificate")))
