@@ -11,6 +11,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sugarmill.functions.lineage import cut
 from sugarmill.operators.notation import links_repaired
 
 WHOLE = r"^WURCS=2\.0/(\d+),(\d+),(\d+)(\+?)/((?:\[[^\]]+\])+)/(\d+(?:-\d+)*)/(.*)$"
@@ -114,7 +115,12 @@ def links(docs: DataFrame, key: str, text: str) -> DataFrame:
     ``parent_pos`` lists the alternatives, null where the position is unknown. A simple link whose second end is neither 1 nor 2
     nor unknown, and whose first is 1, goes from the second to the first.
     """
-    rows = read_links(docs, key, text).filter("kind in ('simple', 'positions', 'bridge', 'parents')")
+    return links_of(cut(read_links(docs, key, text)), key)
+
+
+def links_of(items: DataFrame, key: str) -> DataFrame:
+    """The rows of ``links`` from those of ``read_links``."""
+    rows = items.filter("kind in ('simple', 'positions', 'bridge', 'parents')")
     first = F.get("many", F.lit(0))
     up = (F.col("kind") == "simple") & first["pos"].isNotNull() & ~first["pos"].isin(1, 2)
     listed = lambda p: F.when(p.isNotNull(), F.array(p))
@@ -147,9 +153,10 @@ def rejects(docs: DataFrame, key: str, text: str) -> DataFrame:
     composition has no link at all. Floating substituents count as links and only stand in compositions.
     """
     texts = opened(docs, key, text)
-    items = read_links(docs, key, text).groupBy(key).agg(F.bool_or(F.col("kind") == "order").alias("order"), F.bool_or(F.col("kind") == "unsupported").alias("odd"), F.count_if(F.col("kind") == "floating").alias("n_floating"))
+    read = cut(read_links(docs, key, text))
+    items = read.groupBy(key).agg(F.bool_or(F.col("kind") == "order").alias("order"), F.bool_or(F.col("kind") == "unsupported").alias("odd"), F.count_if(F.col("kind") == "floating").alias("n_floating"))
     nodes = residues(docs, key, text).select(F.col(key).alias("glycan_id"), F.col("residue").alias("node"))
-    own = links(docs, key, text).select(F.col(key).alias("glycan_id"), "parent", "child", F.col("parent_pos")[0].alias("parent_pos"), "child_pos")
+    own = links_of(read, key).select(F.col(key).alias("glycan_id"), "parent", "child", F.col("parent_pos")[0].alias("parent_pos"), "child_pos")
     there = nodes.select("glycan_id", F.col("node").alias("n"))
     lost = lambda c: own.join(there, (own["glycan_id"] == there["glycan_id"]) & (own[c] == there["n"]), "left_anti").select(F.col("glycan_id").alias(key))
     lost = lost("parent").unionByName(lost("child")).distinct().withColumn("lost", F.lit(True))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from sugarmill.functions.lineage import shared_dir
 from sugarmill.operators import detections as ops
 from sugarmill.plans.base import DET, TRUTH, query
 from sugarmill.sources import derived
+from sugarmill.streaming import arriving
 
 RAW = DET + """,
 raw AS (SELECT det_id, image_id, 640 AS imwidth, 400 AS imheight,
@@ -82,3 +86,24 @@ def image_has_glycan(spark, d):
 @query("best_detection", f"WITH {DET}, b AS (SELECT image_id, det_id, class_id, conf, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS n FROM det WHERE class_id = 3) SELECT t.image_id, b.det_id, b.class_id, b.conf FROM (SELECT DISTINCT image_id FROM truth) t LEFT JOIN b ON t.image_id = b.image_id AND b.n = 1")
 def best_detection(spark, d):
     return ops.best(images(spark, d), derived.detections(spark, d).filter("class_id = 3"))
+
+
+#: The decoded boxes of network rows, not padded, and what suppression keeps of them.
+BOXED = f"""{RAW},
+a AS (SELECT det_id, image_id, list_max(scores) AS conf, imwidth, imheight, trunc(rel_cen_x * 840) - 100 AS cx, trunc(rel_cen_y * 600) - 100 AS cy, trunc(rel_w * 840) AS w, trunc(rel_h * 600) AS h FROM raw),
+b AS (SELECT * EXCLUDE (cx, cy), greatest(trunc(cx - w / 2), 0) AS x, greatest(trunc(cy - h / 2), 0) AS y FROM a),
+c AS (SELECT * EXCLUDE (w, h), CASE WHEN x + w >= imwidth THEN imwidth - x ELSE w END AS w, CASE WHEN y + h >= imheight THEN imheight - y ELSE h END AS h FROM b),
+e AS (SELECT *, w * h > 0.64::DOUBLE * imwidth * imheight AS big FROM c),
+boxed AS (SELECT det_id, image_id, conf, CAST(CASE WHEN big THEN 0 ELSE x END AS INT) AS x, CAST(CASE WHEN big THEN 0 ELSE y END AS INT) AS y, CAST(CASE WHEN big THEN imwidth WHEN w <= 0 THEN 1 ELSE w END AS INT) AS w, CAST(CASE WHEN big THEN imheight WHEN h <= 0 THEN 1 ELSE h END AS INT) AS h FROM e)"""
+
+
+@query("stream_annotations", NMS.replace(f"WITH RECURSIVE {DET}", f"WITH RECURSIVE {BOXED}").replace("FROM det WHERE", "FROM boxed WHERE"))
+def stream_annotations(spark, d):
+    """The kept detections of images that arrive as files over half a day, some late and some again; the rows are those of one batch over all."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = raw(spark, d)
+    at = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, pmod(xxhash64(image_id), 43200))"
+    whole = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in rows.columns if c != "image_id")))).alias("rows")).withColumn("ts", F.expr(at))
+    again = whole.filter("image_id % 10 = 0")
+    whole.unionByName(again).withColumn("part", F.expr("cast(pmod(xxhash64(image_id, rand(7)), 12) as int)")).repartition(12, "part").drop("part").write.parquet(f"{folder}/in")
+    return arriving.suppressed(spark, f"{folder}/in", whole.schema, folder)

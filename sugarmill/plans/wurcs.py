@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sugarmill.functions.lineage import cut
 from sugarmill.operators import wurcs as ops
 from sugarmill.plans.base import NODES, query
 from sugarmill.sources import derived
@@ -93,7 +94,7 @@ def wurcs_unique_residues(spark, d):
 @query("wurcs_round_trip", f"WITH {TEXTS} SELECT DISTINCT glycan_id, TRUE AS same FROM coded WHERE odd NOT IN (4, 5, 6, 7, 8, 10)")
 def wurcs_round_trip(spark, d):
     """Texts that can be read and link all residues, written again from what was read."""
-    given = texts(spark, d)
-    whole = given.join(ops.rejects(given, "glycan_id", "text"), "glycan_id", "left_anti").join(ops.floating(given, "glycan_id", "text"), "glycan_id", "left_anti")
+    given = cut(texts(spark, d))
+    whole = cut(given.join(ops.rejects(given, "glycan_id", "text"), "glycan_id", "left_anti").join(ops.floating(given, "glycan_id", "text"), "glycan_id", "left_anti"))
     back = ops.written(ops.residues(whole, "glycan_id", "text"), ops.links(whole, "glycan_id", "text"), "glycan_id")
     return whole.join(back.withColumnRenamed("text", "again"), "glycan_id", "left").select("glycan_id", F.col("text").eqNullSafe(F.col("again")).alias("same"))
