@@ -67,3 +67,22 @@ def result_ids(figures: DataFrame) -> DataFrame:
 def on_page(low: str, high: str, share: Column) -> Column:
     """A share of a figure's side as a page coordinate."""
     return F.col(low) + share * (F.col(high) - F.col(low))
+
+
+RESULTS = "image_id long, name string, glycans array<struct<det_id: long, class_id: int, conf: double, bbox: array<int>>>"
+
+
+def results(detections: DataFrame) -> DataFrame:
+    """``RESULTS``: a nested record for each image, detections by id. An image bounds its detections."""
+    one = F.struct("det_id", "class_id", "conf", F.array("x", "y", "w", "h").alias("bbox"))
+    return detections.groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("glycans")).select("image_id", F.concat(F.lit("image"), F.col("image_id").cast("string"), F.lit(".png")).alias("name"), "glycans")
+
+
+def write_results(detections: DataFrame, path: str) -> None:
+    """Writes the records as JSON lines; what is in ``path`` is replaced."""
+    results(detections).write.mode("overwrite").json(path)
+
+
+def read_results(spark, path: str) -> DataFrame:
+    """The records of ``write_results``; lines that are no record are left out."""
+    return spark.read.schema(RESULTS).option("mode", "DROPMALFORMED").json(path)

@@ -119,6 +119,16 @@ def results_nested(spark, d):
     return nested.select("image_id", F.array_join(F.transform("glycans", lambda g: F.concat_ws(":", g["det_id"].cast("string"), g["class_id"].cast("string"))), ",").alias("glycans"), F.size("glycans").cast("long").alias("n"))
 
 
+@query("results_json", f"WITH {DET} SELECT image_id, count(*) AS n, max(conf) AS best, string_agg(det_id || ':' || class_id, ',' ORDER BY det_id) AS glycans, 'image' || image_id || '.png' AS name FROM det GROUP BY 1")
+def results_json(spark, d):
+    """One JSON record an image with its detections, written to the shared folder and read back."""
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    ops.write_results(derived.detections(spark, d), path)
+    back = ops.read_results(spark, path)
+    text = F.array_join(F.transform("glycans", lambda g: F.concat_ws(":", g["det_id"].cast("string"), g["class_id"].cast("string"))), ",")
+    return back.select("image_id", F.size("glycans").cast("long").alias("n"), F.array_max(F.transform("glycans", lambda g: g["conf"])).alias("best"), text.alias("glycans"), "name")
+
+
 @query("object_type", "SELECT url, page_id, CASE WHEN url ILIKE '%.png' OR url ILIKE '%.jpg' OR url ILIKE '%.jpeg' THEN 'png' WHEN url ILIKE '%.pdf' THEN 'pdf' END AS kind FROM (SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.jpeg' WHEN 3 THEN '.pdf' ELSE '.txt' END AS url FROM pages)")
 def object_type(spark, d):
     p = derived.table(spark, d, "pages").selectExpr("page_id", "concat(url, case page_id % 5 when 0 then '.png' when 1 then '.JPG' when 2 then '.jpeg' when 3 then '.pdf' else '.txt' end) as url")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sugarmill.operators import composition as ops
-from sugarmill.operators import structures
+from sugarmill.operators import iupac, structures
 from sugarmill.plans.base import DET, NODES, SYMBOL, TRUTH, query
 from sugarmill.sources import derived, facts
 
@@ -198,3 +198,17 @@ def isotope_cluster(spark, d):
     t = rows.select("glycan_id", F.expr("kc + kh + kn + k7 + 2 * k8").alias("neutrons"), F.expr(_P).alias("p")).filter("p > 1e-5")
     s = t.groupBy("glycan_id", "neutrons").agg(F.sum("p").alias("p"))
     return s.select("glycan_id", "neutrons", F.round(F.col("p") / F.sum("p").over(Window.partitionBy("glycan_id")), 6).alias("share"))
+
+
+#: Residues with the odd symbols that a reader meets: substituents, classes, unknown ones, none.
+ODD_SYMBOLS = """CASE (glycan_id * 3 + node) % 12 WHEN 0 THEN symbol || '+S' WHEN 1 THEN symbol || ' + P+Me' WHEN 2 THEN 'Hex' WHEN 3 THEN 'GlcA' WHEN 4 THEN 'Xyl' WHEN 5 THEN 'Foo' WHEN 6 THEN NULL WHEN 7 THEN symbol || '+Foo' WHEN 8 THEN 'S' WHEN 9 THEN 'ManN' ELSE symbol END"""
+IUPAC = f"""WITH {GSYM}, odd AS (SELECT glycan_id, {ODD_SYMBOLS} AS symbol, class_id % 2 = 0 AS mono FROM gs),
+parts AS (SELECT glycan_id, mono, symbol IS NULL AS none, list_transform(string_split(symbol, '+'), lambda x: trim(x)) AS p FROM odd),
+said AS (SELECT glycan_id, unnest(CASE WHEN none AND mono THEN ['Xxx'] WHEN none THEN ['X'] WHEN NOT list_contains({iupac.RESIDUES + iupac.SUBSTITUENTS}, p[1]) OR len(list_filter(p[2:], lambda x: NOT list_contains({iupac.SUBSTITUENTS}, x))) > 0 THEN ['Xxx'] ELSE p END) AS name FROM parts)
+SELECT glycan_id, """
+IUPAC += ", ".join(f"count(*) FILTER (name IN ({', '.join(map(repr, iupac.CLASSES.get(c, [c])))})) AS \"{c}\"" for c in iupac.COLUMNS[:-1]) + f""", count(*) FILTER (name IN ({', '.join(map(repr, [*iupac.RESIDUES, 'Xxx']))})) AS "Count" FROM said GROUP BY 1"""
+
+
+@query("iupac_composition_full", IUPAC)
+def iupac_composition_full(spark, d):
+    return iupac.composition(glycan_symbols(spark, d).select("glycan_id", F.expr(ODD_SYMBOLS).alias("symbol"), F.expr("class_id % 2 = 0").alias("monosaccharide")), "glycan_id")

@@ -95,3 +95,39 @@ def palette_jitter(spark, d):
     rows = derived.truth(spark, d).select("image_id").distinct().crossJoin(facts.colours(spark))  # seven colour ranges
     draw = lambda a, k: f"case when colour = 'black' then 0 else {a}_lo + (image_id * {k} + {a}_lo) % ({a}_hi - {a}_lo) end as {a}"
     return rows.selectExpr("image_id", "colour", draw("h", 7919), draw("s", 104729), draw("v", 1299709))
+
+
+def area_sql(pixels: str) -> str:
+    """Regions of (image_id, colour, y, x) rows with their areas, border pixels found one by one."""
+    return PIX + f""", lab AS ({pixels}),
+edge AS (SELECT p.*, NOT (EXISTS (SELECT 1 FROM lab q WHERE q.image_id = p.image_id AND q.colour = p.colour AND q.y = p.y AND q.x = p.x - 1) AND EXISTS (SELECT 1 FROM lab q WHERE q.image_id = p.image_id AND q.colour = p.colour AND q.y = p.y AND q.x = p.x + 1)
+  AND EXISTS (SELECT 1 FROM lab q WHERE q.image_id = p.image_id AND q.colour = p.colour AND q.y = p.y - 1 AND q.x = p.x) AND EXISTS (SELECT 1 FROM lab q WHERE q.image_id = p.image_id AND q.colour = p.colour AND q.y = p.y + 1 AND q.x = p.x)) AS border FROM lab p),
+runs0 AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, colour, y ORDER BY x) AS gap FROM edge),
+runs AS (SELECT image_id, colour, y, min(x) AS x1, max(x) AS x2, count(*) AS n, count(*) FILTER (border) AS borders, y::BIGINT * 100000 + min(x) AS label FROM runs0 GROUP BY image_id, colour, y, gap),
+touch AS (SELECT a.image_id, a.colour, a.label AS a, b.label AS b FROM runs a JOIN runs b ON a.image_id = b.image_id AND a.colour = b.colour AND abs(a.y - b.y) = 1 AND a.x1 <= b.x2 + 1 AND b.x1 <= a.x2 + 1),
+spread AS (SELECT image_id, colour, label, label AS other FROM runs UNION SELECT s.image_id, s.colour, s.label, t.b FROM spread s JOIN touch t ON t.image_id = s.image_id AND t.colour = s.colour AND t.a = s.other),
+named AS (SELECT image_id, colour, label, min(other) AS region FROM spread GROUP BY ALL),
+area AS (SELECT r.image_id, r.colour, n.region, min(x1) AS x, min(y) AS y, max(x2) - min(x1) + 1 AS w, max(y) - min(y) + 1 AS h, sum(r.n)::BIGINT AS n, sum(r.n) - sum(borders) / 2::DOUBLE - 1 AS area FROM runs r JOIN named n USING (image_id, colour, label) GROUP BY ALL)"""
+
+
+COLOURED = "SELECT image_id, colour, y, x FROM col WHERE colour <> 'black'"
+DARK = "SELECT image_id, 'dark' AS colour, y, x FROM pix WHERE floor((r * 299 + g * 587 + b * 114 + 500) / 1000) <= 230"
+
+
+def with_areas(spark, d):
+    return ops.areas(coloured(spark, d).filter("colour <> 'black'"))
+
+
+@query("region_area", f"WITH RECURSIVE {area_sql(COLOURED)} SELECT image_id, colour, region // 100000 AS begin_y, region % 100000 AS begin_x, w, h, n, area FROM area")
+def region_area(spark, d):
+    return with_areas(spark, d).select("image_id", "colour", F.col("begin.y").alias("begin_y"), F.col("begin.x1").alias("begin_x"), "w", "h", "n", "area")
+
+
+@query("region_filter_area", f"WITH RECURSIVE {area_sql(COLOURED)} SELECT image_id, colour, x, y, w, h FROM area WHERE abs(log2(w / h::DOUBLE)) <= 0.25 AND 1e6 * area / 2560 >= 1000 AND 1000.0::DOUBLE * area / (w * h) >= 500")
+def region_filter_area(spark, d):
+    return ops.shaped(with_areas(spark, d), 2560.0, size="area").select("image_id", "colour", "x", "y", "w", "h")
+
+
+@query("largest_dark_region", f"WITH RECURSIVE {area_sql(DARK)} SELECT image_id, x, y, w, h, n, area FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, region DESC) AS k FROM area) WHERE k = 1")
+def largest_dark_region(spark, d):
+    return ops.largest_dark(pixels(spark, d)).select("image_id", "x", "y", "w", "h", "n", "area")

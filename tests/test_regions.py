@@ -49,3 +49,20 @@ def test_regions_of_images_and_colours(spark):
     got = sorted(tuple(r) for r in pixels.regions(spark.createDataFrame(rows, "image_id long, colour string, y int, x int")).collect())
     assert got == [(1, "blue", 0, 0, 0, 1, 1, 1), (1, "red", 0, 0, 0, 5, 5, 16), (1, "red", 200002, 2, 2, 1, 1, 1), (2, "red", 0, 0, 0, 2, 2, 2), (2, "red", 300000, 0, 3, 1, 1, 1)]
     assert pixels.regions(spark.createDataFrame([], "image_id long, colour string, y int, x int")).count() == 0
+
+
+def test_areas_of_shapes(spark):
+    """Outlines through the middles of border pixels: a square of 4 x 4 pixels encloses 9, a line nothing; holes stay open."""
+    shapes = {
+        1: [(y, x) for y in range(4) for x in range(4)], 2: [(0, x) for x in range(9)], 3: [(5, 5)],
+        4: [(y, x) for y in range(5) for x in range(5) if (y, x) != (2, 2)], 5: [(y, x) for y in range(6) for x in range(3 + (y % 2) * 4)],
+    }
+    rows = spark.createDataFrame([(i, "red", y, x) for i, points in shapes.items() for y, x in points], "image_id long, colour string, y int, x int")
+    got = {r["image_id"]: (r["n"], r["area"]) for r in pixels.areas(rows).collect()}
+    want = {}
+    for i, points in shapes.items():
+        there = set(points)
+        border = sum(not {(y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)} <= there for y, x in points)
+        want[i] = (len(points), len(points) - border / 2 - 1)
+    assert got == want
+    assert got[1] == (16, 9.0) and pixels.areas(rows.limit(0)).count() == 0
