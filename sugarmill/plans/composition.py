@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sugarmill.operators import composition as ops
-from sugarmill.operators import iupac, structures
+from sugarmill.operators import isotopes, iupac, structures
 from sugarmill.plans.base import DET, NODES, SYMBOL, TRUTH, query
 from sugarmill.sources import derived, facts
 
@@ -212,3 +212,20 @@ IUPAC += ", ".join(f"count(*) FILTER (name IN ({', '.join(map(repr, iupac.CLASSE
 @query("iupac_composition_full", IUPAC)
 def iupac_composition_full(spark, d):
     return iupac.composition(glycan_symbols(spark, d).select("glycan_id", F.expr(ODD_SYMBOLS).alias("symbol"), F.expr("class_id % 2 = 0").alias("monosaccharide")), "glycan_id")
+
+
+_LN = "lgamma(n{0} + 1) - lgamma(n{0} - k{0} + 1) - lgamma(k{0} + 1) + k{0} * ln({1}::DOUBLE) + (n{0} - k{0}) * ln({2}::DOUBLE)"
+ISO_ALL = GEL + f""", w AS (SELECT glycan_id, coalesce(max(native) FILTER (element = 'C'), 0) AS nc, coalesce(max(native) FILTER (element = 'H'), 0) AS nh, coalesce(max(native) FILTER (element = 'N'), 0) AS nn, coalesce(max(native) FILTER (element = 'O'), 0) AS no FROM gel GROUP BY 1),
+k AS (SELECT unnest(range(6)) AS k), ways AS (SELECT a.k AS kc, b.k AS kh, c.k AS kn, d.k AS k7, e.k AS k8 FROM k a, k b, k c, k d, k e WHERE a.k + b.k + c.k + d.k + 2 * e.k <= 5),
+lnp AS (SELECT glycan_id, {_LN.format('c', 0.0107, 0.9893)} + {_LN.format('h', 0.000115, 0.999885)} + {_LN.format('n', 0.00368, 0.99632)}
+  + lgamma(no + 1) - lgamma(no - k7 - k8 + 1) - lgamma(k7 + 1) - lgamma(k8 + 1) + k7 * ln(0.00038::DOUBLE) + k8 * ln(0.00205::DOUBLE) + (no - k7 - k8) * ln(0.99757::DOUBLE) AS l,
+  12.0::DOUBLE * nc + 1.007825035::DOUBLE * nh + 14.003074002::DOUBLE * nn + 15.99491463::DOUBLE * no AS light, kc * 1.003354826::DOUBLE + kh * 1.006276744::DOUBLE + kn * 0.997034968::DOUBLE + k7 * 1.00421657::DOUBLE + k8 * 2.00424567::DOUBLE AS more
+  FROM w, ways WHERE kc <= nc AND kh <= nh AND kn <= nn AND k7 + k8 <= no),
+peaks AS (SELECT glycan_id, light, floor(more + 0.5)::INT AS peak, sum(exp(l)) AS p, sum(exp(l) * (light + more)) / sum(exp(l)) AS mass FROM lnp WHERE l > ln(1e-5::DOUBLE) GROUP BY ALL)
+SELECT glycan_id, peak, round(mass, 5) AS mass, round(mass - light, 5) AS shift, round(coalesce(mass - lag(mass) OVER (PARTITION BY glycan_id ORDER BY peak), 0), 5) AS spacing, round(p / sum(p) OVER (PARTITION BY glycan_id), 6) AS share, round(100 * p / max(p) OVER (PARTITION BY glycan_id), 4) AS percent FROM peaks"""
+
+
+@query("isotope_peaks", f"WITH {ISO_ALL}")
+def isotope_peaks(spark, d):
+    rows = isotopes.clusters(glycan_elements_of(spark, d).select("glycan_id", "element", F.col("native").alias("n")), facts.isotopes(spark), "glycan_id")
+    return rows.select("glycan_id", "peak", *(F.round(c, k).alias(c) for c, k in (("mass", 5), ("shift", 5), ("spacing", 5), ("share", 6), ("percent", 4))))

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 ELEMENTS = [("H", 1.007825035, 1.00794), ("C", 12.0, 12.0107), ("N", 14.003074, 14.0067), ("O", 15.99491463, 15.9994), ("Na", 22.9897677, 22.98977), ("P", 30.973762, 30.973761), ("S", 31.9720707, 32.065)]
 # Shares of isotopes by neutrons above the lightest.
 ISOTOPES = [("H", 0, 0.999885), ("H", 1, 0.000115), ("C", 0, 0.9893), ("C", 1, 0.0107), ("N", 0, 0.99632), ("N", 1, 0.00368), ("O", 0, 0.99757), ("O", 1, 0.00038), ("O", 2, 0.00205)]
+# Masses and shares of isotopes by neutrons above the lightest.
+ISOTOPE_MASSES = [
+    ("H", 0, 1.007825035, 0.999885), ("H", 1, 2.014101779, 0.000115), ("C", 0, 12.0, 0.9893), ("C", 1, 13.003354826, 0.0107), ("N", 0, 14.003074002, 0.99632), ("N", 1, 15.00010897, 0.00368),
+    ("O", 0, 15.99491463, 0.99757), ("O", 1, 16.9991312, 0.00038), ("O", 2, 17.9991603, 0.00205),
+]
 # Element counts of units, native and added by permethylation.
 UNITS = [
     ("HEX", "C", 6, 3), ("HEX", "H", 10, 6), ("HEX", "O", 5, 0),
@@ -41,6 +46,10 @@ def elements(spark: SparkSession) -> DataFrame:
     return small(spark, ELEMENTS, "element string, mono double, average double")
 
 
+def isotopes(spark: SparkSession) -> DataFrame:
+    return small(spark, ISOTOPE_MASSES, "element string, neutrons int, mass double, share double")
+
+
 def units(spark: SparkSession) -> DataFrame:
     return small(spark, UNITS, "unit string, element string, native int, permethyl_added int")
 
