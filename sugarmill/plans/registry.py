@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugarmill.plans import annotation, base, boxes, chain, composition, dags, detections, evaluation, notation, overlap, pixels, references, residues, scans, trees, undetermined, wurcs  # noqa: F401  each module registers its queries
+from sugarmill.plans import annotation, base, boxes, chain, composition, dags, detections, evaluation, files, notation, overlap, pixels, references, residues, scans, trees, undetermined, wurcs  # noqa: F401  each module registers its queries
 from sugarmill.plans.base import Query
 
 

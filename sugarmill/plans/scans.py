@@ -5,30 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sugarmill.operators import textforms as ops
+from sugarmill.plans import files
 from sugarmill.plans.base import NODES, SYMBOL, TRUTH, query
 from sugarmill.plans.composition import GSYM, RES, residues
 from sugarmill.sources import derived, facts
+from sugarmill.sources import files as sources
 
-LINES = TRUTH + ", lines AS (SELECT image_id, CASE WHEN box_id % 9 = 0 THEN '  ' ELSE concat_ws(' ', class_id, (x + w // 2) / 640::DOUBLE, (y + h // 2) / 400::DOUBLE, w / 640::DOUBLE, h / 400::DOUBLE) END AS value FROM truth)"
-
-
-def truth_lines(spark, d):
-    t = derived.truth(spark, d)
-    row = F.expr("concat_ws(' ', class_id, cast((x + w div 2) / 640D as string), cast((y + h div 2) / 400D as string), cast(w / 640D as string), cast(h / 400D as string))")
-    return t.select("image_id", F.when(F.col("box_id") % 9 == 0, "  ").otherwise(row).alias("value"))
 
 
 @query("scan_truth", f"WITH {TRUTH} SELECT image_id, class_id, (x + w // 2) / 640::DOUBLE AS rel_cen_x, (y + h // 2) / 400::DOUBLE AS rel_cen_y, w / 640::DOUBLE AS rel_w, h / 400::DOUBLE AS rel_h FROM truth WHERE box_id % 9 <> 0")
 def scan_truth(spark, d):
-    return ops.truth_rows(truth_lines(spark, d), "image_id")
+    return ops.truth_rows(sources.folder_lines(spark, files.label_files(spark, d), "txt", "image_id"), "image_id")
 
 
 @query("scan_truth_composition", f"WITH {TRUTH}, {SYMBOL} SELECT image_id, symbol, count(*)::INT AS n FROM truth JOIN dim_symbol USING (class_id) GROUP BY ALL")
 def scan_truth_composition(spark, d):
-    n = derived.truth(spark, d).join(derived.dim_symbol(spark), "class_id").groupBy("image_id", "symbol").agg(F.count("*").alias("n"))
-    text = n.groupBy("image_id").agg(F.concat(F.lit("composition : found symbols "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "n"))), lambda x: F.concat_ws(" ", x["symbol"], x["n"].cast("string"))), " ")).alias("value"))
-    other = text.select("image_id", F.lit("name : image").alias("value"))
-    return ops.composition_rows(text.unionByName(other), "image_id")
+    return ops.composition_rows(sources.folder_lines(spark, files.log_files(spark, d), "txt", "image_id"), "image_id")
 
 
 @query("sidecar_pairs", "SELECT p.page_id, p.name, o.o_orderkey AS log_id FROM (SELECT page_id, page_id || '.a.png' AS name FROM pages) p JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'old' ELSE '' END || o_orderkey || '.log' AS log FROM orders) o ON split_part(p.name, '.', 1) = split_part(o.log, '.', 1)")
