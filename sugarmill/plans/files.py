@@ -1,4 +1,4 @@
-"""Queries over folders of files: label and log files, tables among them, and pictures. The query writes them to the shared folder first."""
+"""Queries over folders of label, log and picture files, which the query writes to the shared folder first."""
 
 from __future__ import annotations
 
@@ -20,32 +20,39 @@ def new_folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def named(kind: str):
+    return F.concat(F.col("image_id").cast("string"), F.lit(f".{kind}")).alias("name")
+
+
+def image_of(rows):
+    """Rows of files with the image that their name is made of."""
+    return rows.withColumn("image_id", F.col("stem").cast("long")).drop("stem")
+
+
 def label_files(spark, d) -> str:
     """A folder with a label file of each image: a line for each truth box, some of them blank."""
-    t = derived.truth(spark, d)
     row = F.expr("concat_ws(' ', class_id, cast((x + w div 2) / 640D as string), cast((y + h div 2) / 400D as string), cast(w / 640D as string), cast(h / 400D as string))")
+    lines = derived.truth(spark, d).select("image_id", F.when(F.col("box_id") % 9 == 0, "  ").otherwise(row).alias("line"))
     path = new_folder(spark, "labels")
-    files.write_each(t.select("image_id", F.when(F.col("box_id") % 9 == 0, "  ").otherwise(row).alias("value")), "image_id", path)
+    files.write_files(lines.groupBy("image_id").agg(F.array_join(F.collect_list("line"), "\n").alias("content")).select(named("txt"), "content"), path)
     return path
 
 
 def log_files(spark, d) -> str:
-    """A folder with a log of each image: its name and the counts of its symbols."""
+    """A folder with a log of each image, its name and the counts of its symbols, and a note of the same name beside it."""
     n = derived.truth(spark, d).join(derived.dim_symbol(spark), "class_id").groupBy("image_id", "symbol").agg(F.count("*").alias("n"))
     counted = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "n"))), lambda x: F.concat_ws(" ", x["symbol"], x["n"].cast("string"))), " ")
-    text = n.groupBy("image_id").agg(F.concat(F.lit("composition : found symbols "), counted).alias("value"))
+    text = n.groupBy("image_id").agg(F.concat(F.lit("name : image\ncomposition : found symbols "), counted, F.lit("\n")).alias("content"))
     path = new_folder(spark, "logs")
-    files.write_each(text.unionByName(text.select("image_id", F.lit("name : image").alias("value"))), "image_id", path)
+    each = text.select("image_id", F.inline(F.array(F.struct(named("log"), "content"), F.struct(named("note"), F.lit("seen").alias("content")))))
+    files.write_files(each, path)
     return path
 
 
-@query("folder_scan", f"WITH {TRUTH}, {SYMBOL}, n AS (SELECT image_id, symbol, count(*) AS n FROM truth JOIN dim_symbol USING (class_id) GROUP BY ALL) SELECT image_id, 'txt' AS type, len('name : image') + 1 + len('composition : found symbols ' || string_agg(symbol || ' ' || n, ' ')) + 1 AS n_bytes FROM n GROUP BY 1")
+@query("folder_scan", f"WITH {TRUTH}, {SYMBOL}, n AS (SELECT image_id, symbol, count(*) AS n FROM truth JOIN dim_symbol USING (class_id) GROUP BY ALL) SELECT image_id, 'log' AS type, len('name : image') + 1 + len('composition : found symbols ' || string_agg(symbol || ' ' || n, ' ')) + 1 AS n_bytes FROM n GROUP BY 1")
 def folder_scan(spark, d):
-    """The logs of a folder that holds a table of the boxes too."""
-    path = log_files(spark, d)
-    derived.truth(spark, d).write.csv(f"{path}/boxes")
-    found = files.folder_files(spark, path, "txt")
-    return found.select(F.regexp_extract("path", r"image_id=(\d+)", 1).cast("long").alias("image_id"), "type", "n_bytes")
+    """The logs of a folder that holds notes too."""
+    return image_of(files.folder_files(spark, log_files(spark, d), "log")).select("image_id", "type", "n_bytes")
 
 
 @query("image_pixels", f"WITH {pixels.PIX} SELECT * FROM pix")
@@ -53,5 +60,5 @@ def image_pixels(spark, d):
     """The drawn pixels of every image, read from a picture of it."""
     path = new_folder(spark, "pictures")
     drawn = ops.bitmaps(pixels.pixels(spark, d), "image_id", WIDTH, HEIGHT)
-    files.write_each(drawn.select("image_id", F.col("picture").cast("string").alias("value")), "image_id", path)
-    return ops.picture_pixels(files.folder_pictures(spark, path).withColumn("image_id", F.col("image_id").cast("long")), "image_id")
+    files.write_files(drawn.select(named("bmp"), "picture"), path, content="picture")
+    return ops.picture_pixels(image_of(files.folder_pictures(spark, path, "bmp")), "image_id")

@@ -1,8 +1,12 @@
-"""Folders of label, log and image files: listed by type, read as lines or as decoded pictures, written one file for each key."""
+"""Folders of label, log and image files: listed by type, read as lines or as decoded pictures, and written."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,22 +24,39 @@ def folder_files(spark: SparkSession, path: str, *types: str) -> DataFrame:
     return reader.load(path).select("path", F.split(name, "\\.")[0].alias("stem"), kind.alias("type"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified"))
 
 
-def folder_lines(spark: SparkSession, path: str, kind: str, key: str, key_type: str = "long") -> DataFrame:
-    """(key, value): the lines of all files of one type under ``path/key=...``, each with the key of its folder."""
-    return spark.read.schema(f"value string, {key} {key_type}").option("pathGlobFilter", f"*.{kind}").text(path).select(key, "value")
+def folder_lines(spark: SparkSession, path: str, *types: str) -> DataFrame:
+    """(stem, value): the lines of a folder's files of these types, each with its file's name up to the first dot."""
+    rows = spark.read.option("pathGlobFilter", f"*.{{{','.join(types)}}}").text(path)
+    return rows.select(F.split("_metadata.file_name", "\\.")[0].alias("stem"), "value")
 
 
-def folder_pictures(spark: SparkSession, path: str) -> DataFrame:
-    """(key columns of the folder, origin, height, width, channels, data) of all files that Spark's image source reads (PNG, JPEG, BMP, GIF).
+def folder_pictures(spark: SparkSession, path: str, *types: str) -> DataFrame:
+    """(stem, origin, height, width, channels, data) of a folder's files of these types, as Spark's image source reads them (PNG, JPEG, BMP, GIF).
 
     Data are lines of pixels from the top, a pixel's bytes blue, green, red. A file that is no picture has height and width -1 and empty data.
-    No key may be named ``image``, as the source's own column is.
     """
-    rows = spark.read.format("image").load(path)
-    keys = [c for c in rows.columns if c != "image"]
-    return rows.select(*keys, "image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    rows = spark.read.format("image").option("pathGlobFilter", f"*.{{{','.join(types)}}}").load(path)
+    stem = F.split(F.element_at(F.split("image.origin", "/"), -1), "\\.")[0].alias("stem")
+    return rows.select(stem, "image.origin", "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def write_files(rows: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
+    """A file of its own in the folder ``path`` for each row, from a column of names and one of bytes or text; null is an empty file.
+
+    Each task writes its own rows' files under hidden names and moves them, so that a task that is run again leaves whole files. Names must
+    be distinct; of two rows with one name either stays. ``path`` is a folder that all executors share, as a path or a URI.
+    """
+    where = path.removeprefix("file:") if path.startswith("file:/") else path
+
+    def run(part: Iterator[Row]) -> None:
+        from pyarrow import fs
 
+        store, folder = fs.FileSystem.from_uri(re.sub("^/+", "/", where) if where.startswith("/") else where)
+        store.create_dir(folder, recursive=True)
+        for r in part:
+            hidden = f"{folder}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(hidden) as out:
+                out.write(bytes(r[1] or b""))
+            store.move(hidden, f"{folder}/{r[0]}")
 
-def write_each(rows: DataFrame, key: str, path: str) -> None:
-    """The string column ``value`` of all rows of a key as lines of one text file under ``path/key=...``."""
-    rows.select(key, "value").repartition(key).write.partitionBy(key).text(path)
+    rows.select(F.col(name).cast("string"), F.col(content).cast("binary")).foreachPartition(run)

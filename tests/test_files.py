@@ -39,7 +39,7 @@ def test_scan_reads_no_content(spark, folder):
 
 
 def test_pixels_of_a_picture(spark, folder):
-    pictures = files.folder_pictures(spark, f"{folder}/*.png").unionByName(files.folder_pictures(spark, f"{folder}/deep/*.png"))
+    pictures = files.folder_pictures(spark, folder, "png").unionByName(files.folder_pictures(spark, f"{folder}/deep", "png", "jpg"))
     assert sorted((r.height, r.width) for r in pictures.collect()) == [(-1, -1), (2, 3)]
     got = {(r.y, r.x): (r.r, r.g, r.b) for r in ops.picture_pixels(pictures, "origin").collect()}
     assert got == {(y, x): c for y, line in enumerate(COLOURS) for x, c in enumerate(line) if c != (255, 255, 255)}
@@ -51,15 +51,19 @@ def test_round_trip(spark, tmp_path, width):
     spots = [(7, 0, 0, 1, 2, 3), (7, 1, 2, 10, 128, 255), (7, 1, 2, 10, 128, 255), (8, 0, 0, 0, 0, 0), (8, 0, 99, 1, 1, 1), (8, -1, 0, 1, 1, 1), (9, 5, 5, 1, 1, 1)]
     pixels = spark.createDataFrame(spots, "id long, y int, x int, b int, g int, r int")
     path = str(tmp_path / "out")
-    files.write_each(ops.bitmaps(pixels, "id", width, 2).select("id", F.col("picture").cast("string").alias("value")), "id", path)
-    back = ops.picture_pixels(files.folder_pictures(spark, path), "id").collect()
-    assert sorted(map(tuple, back)) == [(7, 0, 0, 1, 2, 3), (7, 1, 2, 10, 128, 255), (8, 0, 0, 0, 0, 0)]
-
-
-def test_lines(spark, tmp_path):
-    rows = [(1, "0 0.5 0.5 0.1 0.1"), (1, "  "), (1, ""), (2, None), (3, "ä")]
-    path = str(tmp_path / "out")
-    files.write_each(spark.createDataFrame(rows, "id long, value string"), "id", path)
-    got = sorted(map(tuple, files.folder_lines(spark, path, "txt", "id").collect()))
-    assert got == [(1, ""), (1, "  "), (1, "0 0.5 0.5 0.1 0.1"), (2, ""), (3, "ä")]
-    assert files.folder_lines(spark, path, "log", "id").count() == 0
+    drawn = ops.bitmaps(pixels, "id", width, 2).select(F.concat("id", F.lit(".bmp")).alias("file"), "picture")
+    for _ in range(2):  # a second run leaves the same files
+        files.write_files(drawn, path, "file", "picture")
+    back = ops.picture_pixels(files.folder_pictures(spark, path, "bmp"), "stem").collect()
+    assert sorted(map(tuple, back)) == [("7", 0, 0, 1, 2, 3), ("7", 1, 2, 10, 128, 255), ("8", 0, 0, 0, 0, 0)]
+    assert files.folder_files(spark, path).count() == 2
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_lines(spark, tmp_path, scheme):
+    rows = [("1.a.txt", "0 0.5\n  \n\n"), ("2.txt", None), ("3.txt", "ä\r\nb"), ("4.log", "no")]
+    path = f"{scheme}{tmp_path}/out"
+    files.write_files(spark.createDataFrame(rows, "name string, content string"), path)
+    got = sorted(map(tuple, files.folder_lines(spark, path, "txt").collect()))
+    assert got == [("1", ""), ("1", "  "), ("1", "0 0.5"), ("3", "b"), ("3", "ä")]
+    assert files.folder_lines(spark, path, "csv").count() == 0
