@@ -39,11 +39,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs)
     scored = written(quality.score(docs, model).drop("text"))
     m = F.col("quality")
-    lower, upper = quality.bands(scored, model, F.col("lang"), m)
+    edges = quality.bands(scored, model, F.col("lang"), m)
     return scored.select(
         "doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words",
-        quality.base_failed(m).alias("base_failed"), quality.verdict(m, lower, upper).alias("kept"),
-        F.exp("quality.log_ppl").alias("perplexity"), F.exp("quality.log_low").alias("low_perplexity"), F.exp(lower).alias("lower_perplexity"), F.exp(upper).alias("upper_perplexity"),
+        quality.base_failed(m).alias("base_failed"), quality.verdict(m, *edges).alias("kept"), quality.sign_failed(m).alias("sign_failed"),
+        F.exp("quality.log_ppl").alias("perplexity"), F.exp("quality.log_low").alias("low_perplexity"),
+        *(F.exp(x).alias(n) for n, x in zip(("lower_perplexity", "upper_perplexity", "upper_low_perplexity"), edges, strict=True)),
     )
 
 
