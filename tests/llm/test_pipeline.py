@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -63,7 +64,9 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
     for _, t, _ in rows:
         w = t.split()
         p = [prob("en", a, b) for a, b in zip(["<begin>", *w], w)]
-        measures.append(("en", len(w), 0, *(-sum(math.log(x[k]) for x in p) / len(w) for k in (0, 1))))
+        ppl, low = (-sum(math.log(x[k]) for x in p) / len(w) for k in (0, 1))
+        signs = sum(not any(c.isalnum() for c in x) for x in w)
+        measures.append(("en", SimpleNamespace(n_words=len(w), n_repeat_words=0, n_sign_words=signs, log_ppl=ppl, log_low=low)))
     left = {r[0]: r[1] for r in brute_kept(rows, measures)}
     assert seen["quality_rules"] == left
     ids = sorted(left)
