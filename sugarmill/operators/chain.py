@@ -67,13 +67,13 @@ def trees(symbols: DataFrame, contours: DataFrame, det: DataFrame, methods: tupl
 
 def structure_keys(rows: DataFrame) -> DataFrame:
     """(glycan_id, text): the canonical text of each tree."""
-    texts = structures.canonical(rows, "symbol", rows)
+    texts = structures.canonical(rows, "symbol")
     return texts.join(rows.filter("parent is null").select("glycan_id", "node"), ["glycan_id", "node"]).select("glycan_id", "text")
 
 
 def residue_order(rows: DataFrame) -> DataFrame:
     """Trees with ``residue``, a number from 1 in a walk from the root: children by their subtree's text, then number."""
-    named = rows.join(structures.canonical(rows, "symbol", rows), ["glycan_id", "node"])
+    named = rows.join(structures.canonical(rows, "symbol"), ["glycan_id", "node"])
     up = structures.closure(rows).select("glycan_id", F.col("ancestor").alias("on"), F.col("descendant").alias("node"), "distance")
     step = F.struct((-F.col("distance")).alias("k"), "text", "on")
     paths = up.join(named.select("glycan_id", F.col("node").alias("on"), "text"), ["glycan_id", "on"]).groupBy("glycan_id", "node").agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: F.struct(s["text"].alias("text"), s["on"].alias("on"))).alias("path"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,23 +29,51 @@ def windows(monos: DataFrame, factor: float = 1.2) -> DataFrame:
     })
 
 
+#: Steps of a ray beyond its line, in hundredths of the mean distance.
+STEPS = (1, 196, 5)
+FAR = 1e9
+
+
+def crossing(at: tuple[str, str], by: tuple[str, str], box: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """The distances at which a ray from a point along a unit vector enters and leaves a box; entering lies behind leaving where it misses."""
+    ends = []
+    for axis in (0, 1):
+        m, u, low, high = F.col(at[axis]), F.col(by[axis]), box[axis], box[axis + 2]
+        inside = m.between(low, high)
+        near = F.when(u > 0, (low - m) / u).when(u < 0, (high - m) / u).when(inside, -FAR).otherwise(FAR)
+        far = F.when(u > 0, (high - m) / u).when(u < 0, (low - m) / u).when(inside, FAR).otherwise(-FAR)
+        ends.append((near, far))
+    return F.greatest(ends[0][0], ends[1][0]), F.least(ends[0][1], ends[1][1])
+
+
 def ray_links(monos: DataFrame, contours: DataFrame, distance: DataFrame) -> DataFrame:
     """(image_id, a, b), a < b: rays from a symbol through the line contours in its window, in 40 steps, to the first other symbol hit.
 
-    Only symbols whose box touches the box around the longest ray, a pixel wider for rounding, are tried step by step.
+    A step's end is cut to whole pixels, so a ray lies within a pixel of the straight one. It can't hit before the straight one
+    enters the box two pixels wider, and has hit once that one is two pixels inside: only the steps between are tried.
     """
     seen = windows(monos, 1.5).join(contours, "image_id").filter("cx between x1 and x2 and cy between y1 and y2").join(distance, "image_id")
     seen = seen.select("image_id", "mono_idx", "contour_idx", "cen_x", "cen_y", "cx", "cy", "distance")
     seen = seen.withColumn("len", F.greatest(F.sqrt(((F.col("cen_x") - F.col("cx")) * (F.col("cen_x") - F.col("cx")) + (F.col("cen_y") - F.col("cy")) * (F.col("cen_y") - F.col("cy"))).cast("double")), F.lit(1.0)))
-    end = lambda axis, step: (F.col(f"c{axis}") + (F.col(f"c{axis}") - F.col(f"cen_{axis}")) / F.col("len") * (F.col("distance") * (step / 100))).cast("int")
-    seen = seen.withColumns({"fx": end("x", F.lit(196)), "fy": end("y", F.lit(196))})
+    seen = seen.withColumns({"ux": (F.col("cx") - F.col("cen_x")) / F.col("len"), "uy": (F.col("cy") - F.col("cen_y")) / F.col("len")})
+    first, last, by = STEPS
+    most = (last - first) // by
+    reach = lambda step: (F.col("distance") * (step / 100))
+    end = lambda axis, step: (F.col(f"c{axis}") + F.col(f"u{axis}") * reach(step)).cast("int")
+    number = lambda t: F.least(F.greatest(F.ceil(((t - F.col("len")) * 100 / F.col("distance") - first) / by), F.lit(0)), F.lit(most))
+    grown = lambda k: (F.col("ox") - k, F.col("oy") - k, F.col("ox") + F.col("ow") + k, F.col("oy") + F.col("oh") + k)
     other = monos.select("image_id", F.col("mono_idx").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("w").alias("ow"), F.col("h").alias("oh"))
     hit = segment_hits_rectangle(*(F.col(c) for c in ("cen_x", "cen_y", "qx", "qy", "ox", "oy", "ow", "oh")))
     near = seen.join(other, "image_id").filter("other <> mono_idx")
-    near = near.filter("ox <= greatest(cen_x, cx, fx) + 1 and ox + ow >= least(cen_x, cx, fx) - 1 and oy <= greatest(cen_y, cy, fy) + 1 and oy + oh >= least(cen_y, cy, fy) - 1")
-    tried = near.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(196), F.lit(5)))).withColumns({"qx": end("x", F.col("step")), "qy": end("y", F.col("step"))})
-    first = tried.filter(hit).groupBy("image_id", "mono_idx", "contour_idx").agg(F.min_by("other", F.struct("step", "other")).alias("target"))
-    return first.select("image_id", F.least("mono_idx", "target").alias("a"), F.greatest("mono_idx", "target").alias("b")).distinct()
+    enters, leaves = crossing(("cen_x", "cen_y"), ("ux", "uy"), grown(2))
+    near = near.withColumns({"enters": enters, "leaves": leaves}).filter((F.col("enters") <= F.col("leaves")) & (F.col("leaves") >= 0) & (F.col("enters") <= F.col("len") + reach(F.lit(last))))
+    enters, leaves = crossing(("cen_x", "cen_y"), ("ux", "uy"), grown(-2))
+    outside = ~(F.col("cen_x").between(F.col("ox"), F.col("ox") + F.col("ow")) & F.col("cen_y").between(F.col("oy"), F.col("oy") + F.col("oh")))
+    sure = F.when(outside & (enters <= leaves) & (enters >= 0), number(enters)).otherwise(most)
+    near = near.withColumns({"least": number(F.col("enters")) * by + first, "sure": sure * by + first})
+    tried = near.withColumn("step", F.explode(F.sequence("least", F.greatest("least", "sure"), F.lit(by).cast("long")))).withColumns({"qx": end("x", F.col("step")), "qy": end("y", F.col("step"))})
+    first_hit = tried.filter(hit).groupBy("image_id", "mono_idx", "contour_idx").agg(F.min_by("other", F.struct("step", "other")).alias("target"))
+    return first_hit.select("image_id", F.least("mono_idx", "target").alias("a"), F.greatest("mono_idx", "target").alias("b")).distinct()
 
 
 def orientation_vote(links: DataFrame, monos: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,24 +28,24 @@ def preorder(nodes: DataFrame) -> DataFrame:
     return paths.select("glycan_id", "node", (F.size("path") - 1).alias("depth"), (F.row_number().over(Window.partitionBy("glycan_id").orderBy("path")) - 1).alias("place"))
 
 
-def canonical(nodes: DataFrame, label: str, depths: DataFrame) -> DataFrame:
+def canonical(nodes: DataFrame, label: str, depths: DataFrame | None = None) -> DataFrame:
     """(glycan_id, node, text): each subtree as text with its children's texts sorted, from the deepest level up.
 
-    ``depths`` is (glycan_id, node, depth). Equal texts are isomorphic unordered trees with equal labels.
+    ``depths`` is (glycan_id, node, depth); without it the nodes have their depth. Equal texts are isomorphic unordered trees
+    with equal labels. A tree's nodes, bounded by the notation or the detector, are folded in one row after one exchange.
     """
-    rows = cut(nodes.select("glycan_id", "node", "parent", F.col(label).alias("label")).join(depths.select("glycan_id", "node", "depth"), ["glycan_id", "node"]))
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    done, below = None, None
-    for k in range(deepest, -1, -1):
-        level = rows.filter(F.col("depth") == k)
-        if below is None:
-            level = level.withColumn("children", F.lit(""))
-        else:
-            kids = below.groupBy("glycan_id", F.col("parent").alias("node")).agg(F.array_join(F.array_sort(F.collect_list("text")), ",").alias("children"))
-            level = level.join(kids, ["glycan_id", "node"], "left").withColumn("children", F.coalesce("children", F.lit("")))
-        below = cut(level.select("glycan_id", "node", "parent", F.concat("label", F.lit("("), "children", F.lit(")")).alias("text")))
-        done = below if done is None else done.unionByName(below)
-    return done.select("glycan_id", "node", "text")
+    rows = nodes if depths is None else nodes.join(depths.select("glycan_id", "node", "depth"), ["glycan_id", "node"])
+    one = F.struct((-F.col("depth")).alias("k"), F.col("node").alias("node"), F.col("parent").alias("parent"), F.col(label).alias("label"))
+    trees = rows.groupBy("glycan_id").agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    key = rows.schema["node"].dataType.simpleString()
+
+    def grow(done: Column, r: Column) -> Column:
+        below = F.transform(F.filter(done, lambda t: t["parent"] == r["node"]), lambda t: t["text"])
+        text = F.concat(r["label"], F.lit("("), F.array_join(F.array_sort(below), ","), F.lit(")"))
+        return F.concat(done, F.array(F.struct(r["node"].cast(key).alias("node"), r["parent"].cast(key).alias("parent"), text.alias("text"))))
+
+    folded = F.aggregate("rows", F.expr(f"cast(array() as array<struct<node:{key},parent:{key},text:string>>)"), grow)
+    return trees.select("glycan_id", F.explode(folded).alias("t")).select("glycan_id", "t.node", "t.text")
 
 
 def fragments(nodes: DataFrame, max_cleavages: int | None = None) -> DataFrame:
@@ -73,16 +73,24 @@ def fragments(nodes: DataFrame, max_cleavages: int | None = None) -> DataFrame:
 
 
 def rooted(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """(glycan_id, node, parent, depth): undirected links (glycan_id, a, b) walked away from the root, each node once, by its smallest parent."""
-    both = links.select("glycan_id", "a", "b").unionByName(links.select("glycan_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = cut(roots.select("glycan_id", "node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth")))
-    frontier = seen
-    while True:
-        ahead = frontier.select("glycan_id", F.col("node").alias("a"), "depth").join(both, ["glycan_id", "a"]).groupBy("glycan_id", F.col("b").alias("node")).agg(F.min("a").alias("parent"), (F.min("depth") + 1).alias("depth"))
-        frontier = cut(ahead.join(seen.select("glycan_id", "node"), ["glycan_id", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
+    """(glycan_id, node, parent, depth): undirected links (glycan_id, a, b) walked away from the root, each node once, by its smallest parent.
+
+    A glycan's links, bounded by the detector, are walked in one row: as many rounds as it has links, those after the last node do nothing.
+    """
+    there = F.struct(F.col("b").cast("long").alias("to"), F.col("a").cast("long").alias("at"))
+    back = F.struct(F.col("a").cast("long").alias("to"), F.col("b").cast("long").alias("at"))
+    edges = links.groupBy("glycan_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(there, back))))).alias("edges"))
+    start = F.struct(F.col("node").cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"))
+    rows = roots.groupBy("glycan_id").agg(F.collect_list(start).alias("seen")).join(edges, "glycan_id", "left")
+
+    def step(seen: Column, k: Column) -> Column:
+        is_edge = lambda e: F.exists(seen, lambda s: (s["node"] == e["at"]) & (s["depth"] == k - 1)) & ~F.exists(seen, lambda s: s["node"] == e["to"])
+        ahead = F.transform(F.array(F.filter("edges", is_edge)), lambda es: F.filter(es, lambda e, i: (i == 0) | (F.get(es, i - 1)["to"] != e["to"])))[0]
+        more = F.concat(seen, F.transform(ahead, lambda e: F.struct(e["to"].alias("node"), e["at"].alias("parent"), k.alias("depth"))))
+        return F.when(F.element_at(seen, -1)["depth"] == k - 1, more).otherwise(seen)
+
+    rounds = F.when(F.size("edges") > 0, F.sequence(F.lit(1), F.size("edges"))).otherwise(F.expr("cast(array() as array<int>)"))
+    return rows.select("glycan_id", F.explode(F.aggregate(rounds, F.col("seen"), step)).alias("s")).select("glycan_id", "s.*")
 
 
 def tree_checks(nodes: DataFrame, links: DataFrame, walked: DataFrame) -> DataFrame:
