@@ -34,15 +34,13 @@ STEPS = (1, 196, 5)
 FAR = 1e9
 
 
-def crossing(at: tuple[str, str], by: tuple[str, str], box: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
-    """The distances at which a ray from a point along a unit vector enters and leaves a box; entering lies behind leaving where it misses."""
+def crossing(at: tuple[str, str], inverse: tuple[str, str], box: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """The distances at which a ray from a point enters and leaves a box, by one over its direction, null for none; entering lies behind leaving where it misses."""
     ends = []
     for axis in (0, 1):
-        m, u, low, high = F.col(at[axis]), F.col(by[axis]), box[axis], box[axis + 2]
-        inside = m.between(low, high)
-        near = F.when(u > 0, (low - m) / u).when(u < 0, (high - m) / u).when(inside, -FAR).otherwise(FAR)
-        far = F.when(u > 0, (high - m) / u).when(u < 0, (low - m) / u).when(inside, FAR).otherwise(-FAR)
-        ends.append((near, far))
+        m, by, low, high = F.col(at[axis]), F.col(inverse[axis]), box[axis], box[axis + 2]
+        inside, one, two = m.between(low, high), (low - m) * by, (high - m) * by
+        ends.append((F.coalesce(F.least(one, two), F.when(inside, -FAR).otherwise(FAR)), F.coalesce(F.greatest(one, two), F.when(inside, FAR).otherwise(-FAR))))
     return F.greatest(ends[0][0], ends[1][0]), F.least(ends[0][1], ends[1][1])
 
 
@@ -57,21 +55,24 @@ def ray_links(monos: DataFrame, contours: DataFrame, distance: DataFrame) -> Dat
     seen = seen.withColumn("len", F.greatest(F.sqrt(((F.col("cen_x") - F.col("cx")) * (F.col("cen_x") - F.col("cx")) + (F.col("cen_y") - F.col("cy")) * (F.col("cen_y") - F.col("cy"))).cast("double")), F.lit(1.0)))
     seen = seen.withColumns({"ux": (F.col("cx") - F.col("cen_x")) / F.col("len"), "uy": (F.col("cy") - F.col("cen_y")) / F.col("len")})
     first, last, by = STEPS
-    most = (last - first) // by
-    reach = lambda step: (F.col("distance") * (step / 100))
-    end = lambda axis, step: (F.col(f"c{axis}") + F.col(f"u{axis}") * reach(step)).cast("int")
-    number = lambda t: F.least(F.greatest(F.ceil(((t - F.col("len")) * 100 / F.col("distance") - first) / by), F.lit(0)), F.lit(most))
-    grown = lambda k: (F.col("ox") - k, F.col("oy") - k, F.col("ox") + F.col("ow") + k, F.col("oy") + F.col("oh") + k)
-    other = monos.select("image_id", F.col("mono_idx").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("w").alias("ow"), F.col("h").alias("oh"))
-    hit = segment_hits_rectangle(*(F.col(c) for c in ("cen_x", "cen_y", "qx", "qy", "ox", "oy", "ow", "oh")))
+    end = lambda axis, step: (F.col(f"c{axis}") + F.col(f"u{axis}") * (F.col("distance") * (step / 100))).cast("int")
+    seen = seen.withColumns({"fx": end("x", F.lit(last)), "fy": end("y", F.lit(last)), "mx": F.col("cen_x").cast("double"), "my": F.col("cen_y").cast("double"), "ix": F.when(F.col("ux") != 0, 1 / F.col("ux")), "iy": F.when(F.col("uy") != 0, 1 / F.col("uy"))})
+    number = lambda t: F.least(F.greatest(F.ceil(((t - F.col("len")) * 100 / F.col("distance") - first) / by), F.lit(0)), F.lit((last - first) // by)) * by + first
+    ox, oy, ow, oh = (F.col(c) for c in ("ox", "oy", "ow", "oh"))
+    grown = lambda k: (ox - k, oy - k, ox + ow + k, oy + oh + k)
+    boxes = (F.col(c).cast("double").alias(f"o{c}") for c in "xywh")
+    other = monos.select("image_id", F.col("mono_idx").alias("other"), *boxes)
     near = seen.join(other, "image_id").filter("other <> mono_idx")
-    enters, leaves = crossing(("cen_x", "cen_y"), ("ux", "uy"), grown(2))
-    near = near.withColumns({"enters": enters, "leaves": leaves}).filter((F.col("enters") <= F.col("leaves")) & (F.col("leaves") >= 0) & (F.col("enters") <= F.col("len") + reach(F.lit(last))))
-    enters, leaves = crossing(("cen_x", "cen_y"), ("ux", "uy"), grown(-2))
+    near = near.filter("ox <= greatest(cen_x, cx, fx) + 1 and ox + ow >= least(cen_x, cx, fx) - 1 and oy <= greatest(cen_y, cy, fy) + 1 and oy + oh >= least(cen_y, cy, fy) - 1")
+    for name, k in (("wide", 2), ("narrow", -2)):
+        near = near.withColumns(dict(zip((name, name + "_end"), crossing(("mx", "my"), ("ix", "iy"), grown(k)), strict=True)))
     outside = ~(F.col("cen_x").between(F.col("ox"), F.col("ox") + F.col("ow")) & F.col("cen_y").between(F.col("oy"), F.col("oy") + F.col("oh")))
-    sure = F.when(outside & (enters <= leaves) & (enters >= 0), number(enters)).otherwise(most)
-    near = near.withColumns({"least": number(F.col("enters")) * by + first, "sure": sure * by + first})
-    tried = near.withColumn("step", F.explode(F.sequence("least", F.greatest("least", "sure"), F.lit(by).cast("long")))).withColumns({"qx": end("x", F.col("step")), "qy": end("y", F.col("step"))})
+    sure = F.when(outside & F.expr("narrow <= narrow_end and narrow >= 0"), number(F.col("narrow"))).otherwise(last)
+    near = near.withColumns({"least": number(F.col("wide")), "sure": sure})
+    # ends are worked out with the steps, and a miss has none: as filters both would be written out in each use
+    steps = F.when(F.expr("wide <= wide_end and wide_end >= 0"), F.sequence("least", F.greatest("least", "sure"), F.lit(by).cast("long")))
+    tried = near.select("image_id", "mono_idx", "contour_idx", "mx", "my", "other", "ox", "oy", "ow", "oh", F.explode(F.transform(steps, lambda s: F.struct(s.alias("step"), end("x", s).cast("double").alias("qx"), end("y", s).cast("double").alias("qy")))).alias("s")).select("*", "s.*")
+    hit = segment_hits_rectangle(*(F.col(c) for c in ("mx", "my", "qx", "qy", "ox", "oy", "ow", "oh")))
     first_hit = tried.filter(hit).groupBy("image_id", "mono_idx", "contour_idx").agg(F.min_by("other", F.struct("step", "other")).alias("target"))
     return first_hit.select("image_id", F.least("mono_idx", "target").alias("a"), F.greatest("mono_idx", "target").alias("b")).distinct()
 

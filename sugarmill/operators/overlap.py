@@ -88,7 +88,16 @@ def segment_hits(px, py, qx, qy, ax, ay, bx, by) -> Column:
 
 
 def segment_hits_rectangle(px, py, qx, qy, x, y, w, h) -> Column:
-    """Whether a segment meets any of a rectangle's four sides."""
-    sides = [(x, y, x + w, y), (x, y + h, x + w, y + h), (x, y, x, y + h), (x + w, y, x + w, y + h)]
-    hits = [segment_hits(px, py, qx, qy, *s) for s in sides]
-    return hits[0] | hits[1] | hits[2] | hits[3]
+    """Whether a segment meets any of a rectangle's four sides; parallel ones do not.
+
+    In doubles, which hold these products of whole pixels exactly, and without dividing: longer code would not be compiled to machine code.
+    """
+    px, py, qx, qy, x, y, w, h = (c.cast("double") for c in (px, py, qx, qy, x, y, w, h))
+
+    def side(pa, qa, pb, qb, at, low, size) -> Column:
+        da, db = qa - pa, qb - pb
+        v, one, two = (at - pb) * da, (low - pa) * db, (low + size - pa) * db
+        return (db != 0) & (size != 0) & at.between(F.least(pb, qb), F.greatest(pb, qb)) & v.between(F.least(one, two), F.greatest(one, two))
+
+    hits = [side(px, qx, py, qy, at, x, w) for at in (y, y + h)] + [side(py, qy, px, qx, at, y, h) for at in (x, x + w)]
+    return F.coalesce(hits[0] | hits[1] | hits[2] | hits[3], F.lit(False))
