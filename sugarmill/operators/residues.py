@@ -90,3 +90,22 @@ def determined(rows: DataFrame) -> Column:
     for k in known:
         out = out & k
     return F.coalesce(out, F.lit(False))
+
+
+def predicates(rows: DataFrame) -> DataFrame:
+    """Residues with ``noring`` (both ends of the ring known as 0) and a row for each kind of modification with its number; kind is null and n 0 where there is none."""
+    kinds = rows.withColumns({"kinds": F.transform(F.coalesce("mods", F.expr("cast(array() as array<string>)")), lambda m: F.substring_index(m, ":", -1)), "noring": F.coalesce((F.col("ring_start") == 0) & (F.col("ring_end") == 0), F.lit(False))})
+    each = kinds.select("residue", "noring", "kinds", F.explode_outer(F.array_distinct("kinds")).alias("kind"))
+    return each.select("residue", "noring", "kind", F.size(F.filter("kinds", lambda k: k == F.col("kind"))).cast("long").alias("n"))
+
+
+def listing(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(glycan_id, node, parents, children): what a residue is linked to, by number; ``->`` is a settled link, ``~>`` one of several possible.
+
+    ``links`` is (glycan_id, parent, child, settled). Residues without links have empty lists.
+    """
+    ends = F.array(F.struct(F.col("parent").alias("node"), F.lit(True).alias("down"), F.col("child").alias("other"), "settled"), F.struct(F.col("child").alias("node"), F.lit(False).alias("down"), F.col("parent").alias("other"), "settled"))
+    each = links.select("glycan_id", F.explode(ends).alias("e")).select("glycan_id", "e.*")
+    named = lambda down: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("down") == down, F.struct("other", "settled")))), lambda x: F.concat(F.when(x["settled"], "->").otherwise("~>"), x["other"].cast("string"))), ",")
+    found = each.groupBy("glycan_id", "node").agg(named(F.lit(False)).alias("parents"), named(F.lit(True)).alias("children"))
+    return nodes.select("glycan_id", "node").join(found, ["glycan_id", "node"], "left").fillna("", ["parents", "children"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sugarmill.operators import residues as ops
-from sugarmill.plans.base import query
+from sugarmill.plans.base import NODES, query
 from sugarmill.sources import derived
 
 #: Residues of all orders with unknown fields here and there.
@@ -70,3 +70,27 @@ def residue_class_visible_root(spark, d):
 def residue_determined(spark, d):
     rows = given(spark, d)
     return rows.select("residue", ops.determined(rows).alias("determined"))
+
+
+@query("residue_predicates", """WITH r AS (SELECT o_orderkey AS residue, CASE o_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 1 END AS ring_start, CASE o_orderkey % 3 WHEN 0 THEN 0 ELSE 5 END AS ring_end,
+  CASE o_custkey % 4 WHEN 0 THEN ['6:d'] WHEN 1 THEN ['3:d', '6:d', '1:aldi'] WHEN 2 THEN ['?:keto', '1:a'] ELSE [] END AS mods FROM orders),
+k AS (SELECT residue, split_part(unnest(mods), ':', 2) AS kind FROM r), c AS (SELECT residue, kind, count(*) AS n FROM k GROUP BY ALL)
+SELECT residue, coalesce(ring_start = 0 AND ring_end = 0, FALSE) AS noring, kind, coalesce(n, 0) AS n FROM r LEFT JOIN c USING (residue)""")
+def residue_predicates(spark, d):
+    """Residues without a ring and the number of each kind of modification."""
+    return ops.predicates(derived.table(spark, d, "orders").selectExpr(
+        "o_orderkey as residue", "case o_custkey % 5 when 0 then null when 1 then 0 else 1 end as ring_start", "case o_orderkey % 3 when 0 then 0 else 5 end as ring_end",
+        "case o_custkey % 4 when 0 then array('6:d') when 1 then array('3:d', '6:d', '1:aldi') when 2 then array('?:keto', '1:a') else cast(array() as array<string>) end as mods",
+    ))
+
+
+@query("residue_listing", f"""WITH {NODES}, l AS (SELECT glycan_id, parent, node AS child, NOT (glycan_id % 5 = 0 AND node = 4) AS settled FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT glycan_id, 1, 4, FALSE FROM nodes WHERE glycan_id % 5 = 0 AND node = 4 AND parent <> 1),
+e AS (SELECT glycan_id, parent AS node, TRUE AS down, child AS other, settled FROM l UNION ALL SELECT glycan_id, child, FALSE, parent, settled FROM l)
+SELECT n.glycan_id, n.node, coalesce(string_agg(CASE WHEN settled THEN '->' ELSE '~>' END || other, ',' ORDER BY other, settled) FILTER (NOT down), '') AS parents, coalesce(string_agg(CASE WHEN settled THEN '->' ELSE '~>' END || other, ',' ORDER BY other, settled) FILTER (down), '') AS children
+FROM nodes n LEFT JOIN e ON e.glycan_id = n.glycan_id AND e.node = n.node GROUP BY 1, 2""")
+def residue_listing(spark, d):
+    """Every residue's parents and children with the state of each link; one node in five glycans has two possible parents."""
+    n = derived.nodes(spark, d)
+    open_ = "glycan_id % 5 = 0 and node = 4"
+    tree = n.filter("parent is not null").selectExpr("glycan_id", "parent", "node as child", f"not ({open_}) as settled")
+    return ops.listing(n, tree.unionByName(n.filter(f"{open_} and parent <> 1").selectExpr("glycan_id", "1L as parent", "node as child", "false as settled")))
