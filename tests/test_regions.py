@@ -66,3 +66,13 @@ def test_areas_of_shapes(spark):
         want[i] = (len(points), len(points) - border / 2 - 1)
     assert got == want
     assert got[1] == (16, 9.0) and pixels.areas(rows.limit(0)).count() == 0
+
+
+def test_colours_of_a_pixel_in_one_pass(spark):
+    """Ranges that overlap, of one colour or of two; the pixels themselves are not shuffled."""
+    ranges = spark.createDataFrame([("red", 0, 0, 0, 19, 255, 255), ("red", 10, 0, 0, 30, 255, 255), ("warm", 0, 0, 0, 40, 255, 255), ("blue", 87, 0, 0, 134, 255, 255)], "colour string, h_lo int, s_lo int, v_lo int, h_hi int, s_hi int, v_hi int")
+    rows = spark.createDataFrame([(1, 0, k, h, 9, 9) for k, h in enumerate((15, 25, 35, 87, 134, 150))], "image_id long, y int, x int, h int, s int, v int")
+    found = pixels.coloured(rows, ranges)
+    assert sorted((r.x, r.colour) for r in found.collect()) == [(0, "red"), (0, "warm"), (1, "red"), (1, "warm"), (2, "warm"), (3, "blue"), (4, "blue")]
+    assert "hashpartitioning(image_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert pixels.coloured(rows, ranges.limit(0)).count() == 0
