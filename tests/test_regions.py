@@ -76,3 +76,11 @@ def test_colours_of_a_pixel_in_one_pass(spark):
     assert sorted((r.x, r.colour) for r in found.collect()) == [(0, "red"), (0, "warm"), (1, "red"), (1, "warm"), (2, "warm"), (3, "blue"), (4, "blue")]
     assert "hashpartitioning(image_id" not in found._jdf.queryExecution().executedPlan().toString()
     assert pixels.coloured(rows, ranges.limit(0)).count() == 0
+
+
+def test_boxes_are_dealt_by_image_before_they_are_painted(spark):
+    from sugarmill.plans import pixels as plans
+    from tests.test_oracle import SF_DIR
+
+    plan = plans.coloured(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
