@@ -18,12 +18,28 @@ def picture_pixels(pictures: DataFrame, *keys: str, paper: str | None = PAPER) -
     be read or have no pixels give no rows.
     """
     lines = pictures.filter("channels = 3 and height > 0 and width > 0").select(*keys, "width", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    lines = lines.select(*keys, "y", "width", F.expr("hex(substring(data, y * width * 3 + 1, width * 3))").alias("line"))
-    spots = F.expr("transform(sequence(0, width - 1), x -> struct(x as x, substring(line, x * 6 + 1, 6) as spot))")
+    return drawn(lines.select(*keys, "y", "width", F.expr("substring(data, y * width * 3 + 1, width * 3)").alias("line")), keys, paper)
+
+
+def drawn(lines: DataFrame, keys: tuple[str, ...], paper: str | None) -> DataFrame:
+    """(keys, y, x, b, g, r) of (keys, y, width, line), lines as bytes of b, g, r; without the colour ``paper``. Lines of paper alone go first."""
+    if paper is not None:
+        lines = lines.filter(F.col("line") != F.unhex(F.repeat(F.lit(paper), F.col("width"))))
+    rows = lines.select(*keys, "y", "line", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    rows = rows.select(*keys, "y", "x", F.expr("substring(line, x * 3 + 1, 3)").alias("spot"))
     if paper is not None:
-        spots = F.filter(spots, lambda s: s["spot"] != paper)
-    rows = lines.select(*keys, "y", F.inline(spots))
-    return rows.select(*keys, "y", "x", *(F.conv(F.substring("spot", at, 2), 16, 10).cast("int").alias(c) for at, c in ((1, "b"), (3, "g"), (5, "r"))))
+        rows = rows.filter(F.col("spot") != F.unhex(F.lit(paper)))
+    return rows.select(*keys, "y", "x", *(F.conv(F.hex(F.substring("spot", at, 1)), 16, 10).cast("int").alias(c) for at, c in ((1, "b"), (2, "g"), (3, "r"))))
+
+
+def bitmap_pixels(files: DataFrame, *keys: str, paper: str | None = PAPER) -> DataFrame:
+    """As ``picture_pixels``, from the bytes (``content``) of uncompressed 24-bit BMP files; others give no rows and need ``folder_pictures``."""
+    number = lambda at, n: F.expr(f"cast(conv(concat_ws('', reverse(transform(sequence(0, {n - 1}), k -> hex(substring(content, {at + 1} + k, 1))))), 16, 10) as bigint)")
+    heads = files.filter("length(content) >= 54 and hex(substring(content, 1, 2)) = '424D'").select(*keys, "content", number(10, 4).alias("start"), number(18, 4).cast("int").alias("width"), number(22, 4).alias("high"), number(28, 2).alias("bits"), number(30, 4).alias("packed"))
+    # a height of 2^31 or more is negative: lines stand from the first to the last
+    sized = heads.filter("bits = 24 and packed = 0 and width > 0 and high > 0").selectExpr("*", "high >= 2147483648 as down", "cast(if(high >= 2147483648, 4294967296 - high, high) as int) as height", "(3 * width + 3) div 4 * 4 as stride")
+    lines = sized.select(*keys, "width", "height", "down", "start", "stride", "content", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    return drawn(lines.select(*keys, "y", "width", F.expr("substring(content, cast(start + if(down, y, height - 1 - y) * stride + 1 as int), width * 3)").alias("line")), keys, paper)
 
 
 def bitmaps(pixels: DataFrame, key: str, width: int, height: int, paper: str = PAPER) -> DataFrame:

@@ -15,12 +15,12 @@ from sugarmill.sources import files as sources
 
 @query("scan_truth", f"WITH {TRUTH} SELECT image_id, class_id, (x + w // 2) / 640::DOUBLE AS rel_cen_x, (y + h // 2) / 400::DOUBLE AS rel_cen_y, w / 640::DOUBLE AS rel_w, h / 400::DOUBLE AS rel_h FROM truth WHERE box_id % 9 <> 0")
 def scan_truth(spark, d):
-    return ops.truth_rows(files.image_of(sources.folder_lines(spark, files.label_files(spark, d), "txt")), "image_id")
+    return ops.truth_rows(files.image_of(sources.folder_lines(spark, files.label_files(spark, d), "txt", deep=True)), "image_id")
 
 
 @query("scan_truth_composition", f"WITH {TRUTH}, {SYMBOL} SELECT image_id, symbol, count(*)::INT AS n FROM truth JOIN dim_symbol USING (class_id) GROUP BY ALL")
 def scan_truth_composition(spark, d):
-    return ops.composition_rows(files.image_of(sources.folder_lines(spark, files.log_files(spark, d), "log")), "image_id")
+    return ops.composition_rows(files.image_of(sources.folder_lines(spark, files.log_files(spark, d), "log", deep=True)), "image_id")
 
 
 @query("sidecar_pairs", "SELECT p.page_id, p.name, o.o_orderkey AS log_id FROM (SELECT page_id, page_id || '.a.png' AS name FROM pages) p JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'old' ELSE '' END || o_orderkey || '.log' AS log FROM orders) o ON split_part(p.name, '.', 1) = split_part(o.log, '.', 1)")

@@ -67,3 +67,24 @@ def test_lines(spark, tmp_path, scheme):
     got = sorted(map(tuple, files.folder_lines(spark, path, "txt").collect()))
     assert got == [("1", ""), ("1", "  "), ("1", "0 0.5"), ("3", "b"), ("3", "ä")]
     assert files.folder_lines(spark, path, "csv").count() == 0
+
+
+def test_files_of_many_folders_are_listed_by_tasks(spark, tmp_path):
+    """The driver plans no file: what is scanned is the listing, whatever the number of files."""
+    rows = [(f"{k // 10}/{k}.txt", f"{k}\n") for k in range(40)] + [("3/x.log", "no"), ("_h/9.txt", "no")]
+    files.write_files(spark.createDataFrame(rows, "name string, content string"), str(tmp_path))
+    found = files.folder_files(spark, str(tmp_path), "txt")
+    assert found.count() == 40 and not any("/txt" in f or f.endswith(".txt") for f in found.inputFiles())
+    assert sorted(int(r.stem) == int(r.value) and int(r.value) for r in files.folder_lines(spark, str(tmp_path), "txt", deep=True).collect()) == list(range(40))
+    assert files.folder_lines(spark, str(tmp_path), "txt").count() == 0
+    assert {bytes(r.content) for r in files.folder_contents(spark, str(tmp_path), "log", deep=True).collect()} == {b"no"}
+
+
+@pytest.mark.parametrize("width", [3, 4, 5])
+def test_bitmaps_as_the_picture_source_reads_them(spark, tmp_path, width):
+    spots = spark.createDataFrame([(7, 0, 0, 1, 2, 3), (7, 1, 2, 10, 128, 255), (8, 0, 0, 0, 0, 0)], "id long, y int, x int, b int, g int, r int")
+    files.write_files(ops.bitmaps(spots, "id", width, 2).select(F.concat("id", F.lit(".bmp")).alias("name"), F.col("picture").alias("content")), str(tmp_path))
+    (tmp_path / "9.bmp").write_bytes(b"no picture")
+    want = sorted(map(tuple, ops.picture_pixels(files.folder_pictures(spark, str(tmp_path), "bmp"), "stem", paper=None).collect()))
+    assert len(want) == 4 * width
+    assert sorted(map(tuple, ops.bitmap_pixels(files.folder_contents(spark, str(tmp_path), "bmp"), "stem", paper=None).collect())) == want
