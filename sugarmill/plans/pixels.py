@@ -26,15 +26,10 @@ named AS (SELECT image_id, colour, label, min(other) AS region FROM spread GROUP
 reg AS (SELECT r.image_id, r.colour, n.region, min(x1) AS x, min(y) AS y, max(x2) - min(x1) + 1 AS w, max(y) - min(y) + 1 AS h, sum(r.n)::BIGINT AS n FROM runs r JOIN named n USING (image_id, colour, label) GROUP BY ALL)"""
 
 
-#: Boxes whose pixels one task paints.
-BOXES = 20_000
-
-
 def pixels(spark, d):
     """The pixels of all images. Boxes are dealt by image before they are painted, so that neither pixels nor their runs are shuffled."""
     t = derived.truth(spark, d).select("image_id", "class_id", "x", "y", "w", "h")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-t.count() // BOXES))
-    at = t.repartition(tasks, "image_id").selectExpr("*", "explode(sequence(0, h div 10 - 1)) as dy").selectExpr("*", "explode(sequence(0, w div 10 - 1)) as dx")
+    at = derived.dealt(t).selectExpr("*", "explode(sequence(0, h div 10 - 1)) as dy").selectExpr("*", "explode(sequence(0, w div 10 - 1)) as dx")
     p = at.groupBy("image_id", F.expr("cast(y div 10 + dy as int)").alias("y"), F.expr("cast(x div 10 + dx as int)").alias("x")).agg(F.max("class_id").alias("c"))
     return p.selectExpr(
         "image_id", "y", "x", "case c when 0 then 200 when 1 then 160 when 3 then 60 when 6 then 210 when 7 then 235 else 20 end as b",
