@@ -23,13 +23,15 @@ def hsv(df: DataFrame) -> DataFrame:
 def coloured(df: DataFrame, colours: DataFrame) -> DataFrame:
     """Each (pixel, colour) whose range holds the pixel; a pixel may have several colours. ``colours`` is a small fixed table.
 
-    All ranges are one array, so that each pixel is looked at once and gives each of its colours once; a join by the ranges tries
-    every pair, and its rows must be made distinct after it. A pixel is one row of ``df``.
+    A pixel is looked at once and gives each of its colours once: a colour's ranges are one condition, compiled with the rest of the
+    plan; a join by the ranges tries every pair, and its rows must be made distinct after it. A pixel is one row of ``df``.
     """
-    ranges = colours.agg(F.collect_set(F.struct("colour", *(f"{c}_{end}" for c in "hsv" for end in ("lo", "hi")))).alias("ranges"))  # one row
-    held = F.filter("ranges", lambda k: F.col("h").between(k["h_lo"], k["h_hi"]) & F.col("s").between(k["s_lo"], k["s_hi"]) & F.col("v").between(k["v_lo"], k["v_hi"]))
-    rows = df.crossJoin(F.broadcast(ranges))
-    return rows.select("image_id", "y", "x", F.explode(F.array_distinct(F.transform(held, lambda k: k["colour"]))).alias("colour"))
+    ranges: dict[str, Column] = {}
+    for k in colours.collect():  # a fixed table of a few ranges
+        held = F.col("h").between(k.h_lo, k.h_hi) & F.col("s").between(k.s_lo, k.s_hi) & F.col("v").between(k.v_lo, k.v_hi)
+        ranges[k.colour] = ranges[k.colour] | held if k.colour in ranges else held
+    names = F.array(*(F.when(held, name) for name, held in ranges.items())).cast("array<string>")
+    return df.select("image_id", "y", "x", F.explode(names).alias("colour")).filter("colour is not null")
 
 
 def first_of_region(ys: list, lows: list, highs: list) -> list:
