@@ -307,6 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for label, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                 hits = find(text or "")
                 yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([[[h[2], h[3], int(h[4])] for h in hits]], pa.list_(pa.list_(pa.int64())))], names=["label", "hits"])
+        del find
+        tidy()
 
     seen = rows.select("label", "text").mapInArrow(tally, "label int, hits array<array<long>>").groupBy("label", "hits").agg(F.count("*").alias("n")).collect()
     rows.unpersist()
@@ -360,6 +362,7 @@ def verdict(model: Model, docs: DataFrame, text: Column) -> Column:
             n = np.array(counts, float).reshape(-1, 4)
             names = ("exact", "obfuscated", "fuzzy", "quoted")
             yield pa.StructArray.from_arrays([pa.array(m.score(n)), *(pa.array(n[:, k].astype(np.int64)) for k in range(4)), pa.array(hits, pa.list_(hit))], names=["score", *names, "hits"])
+        del find  # its words and states, before unused memory goes back
         tidy()
 
     return run(text.cast("string"))
