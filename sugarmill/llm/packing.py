@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sugarmill.llm.common import slices
+from sugarmill.llm.common import slices, tidy
 
 WINDOW = 1024
 #: Windows of a partition get the ids from partition << PART_BITS on.
@@ -205,13 +205,14 @@ def pack_partition(encode: Callable[[list[str]], list[bytes]], batches: Iterator
         yield flush()
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, cache_words: int = CACHE_WORDS, outlives: bool = True) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of windows of ``window`` tokens.
 
     ``tokenizer`` is the path of a byte-level BPE file that every worker has. ``ids`` holds little-endian
     unsigned 32-bit ids; every document ends with ``end_id``. Null texts count as empty (one piece with the
     end only), null ids stay null, repeated rows are packed each, other columns are left out, an empty table
-    gives no pieces. ``cache_words`` bounds the memory of a worker's tokens of words. A window is full or, for the last few of a partition, a power of two long.
+    gives no pieces. ``cache_words`` bounds the memory of a worker's tokens of words, which the worker keeps for its next task
+    unless ``outlives`` is false. A window is full or, for the last few of a partition, a power of two long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        return pack_partition(cached(tokenizer, cache_words).encode, batches, TaskContext.get().partitionId(), window, int(end_id).to_bytes(4, "little"))
+        words = cached(tokenizer, cache_words) if outlives else WordCache(tokenizer, cache_words)
+        yield from pack_partition(words.encode, batches, TaskContext.get().partitionId(), window, int(end_id).to_bytes(4, "little"))
+        del words
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 

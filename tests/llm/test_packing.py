@@ -59,3 +59,13 @@ def test_level_choice_minimises_the_sum_of_squares():
 
 def test_empty_table(spark):
     assert whole(spark, []) == []
+
+
+def test_a_cache_goes_with_its_task(spark):
+    """The pipeline's workers go on with other stages, so they do not keep tokens; the pieces are the same."""
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string").repartition(2)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = [sorted(map(str, packing.pack(df, path, cache_words=k, outlives=stays).collect())) for k, stays in ((777, False), (778, True))]
+    assert got[0] == got[1]
+    kept = spark.sparkContext.parallelize(range(8), 8).flatMap(lambda _: [k for _, k in packing._CACHES]).collect()
+    assert 777 not in kept
