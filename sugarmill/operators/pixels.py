@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,59 +36,65 @@ def coloured(df: DataFrame, colours: DataFrame) -> DataFrame:
     return df.select("image_id", "y", "x", F.explode(names).alias("colour")).filter("colour is not null")
 
 
-def first_of_region(ys: list, lows: list, highs: list) -> list:
+def overlapping(line: np.ndarray, low: np.ndarray, high: np.ndarray, lines: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places (i, j) of intervals of the first and of the second kind that share a pixel of a line. Those of the second kind are in
+    the order of lines and columns and apart from each other."""
+    if not len(line) or not len(lines):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = min(low.min(), lows.min())
+    width = max(high.max(), highs.max()) - least + 2
+    begin = np.searchsorted(lines * width + highs - least, line * width + low - least)
+    n = np.maximum(np.searchsorted(lines * width + lows - least, line * width + high - least, "right") - begin, 0)
+    return np.repeat(np.arange(len(line)), n), np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+
+
+def first_of_region(ys: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     """For each run of pixels, in the order of lines and columns, the first run that it is joined with."""
-    root = list(range(len(ys)))
-
-    def top(k):
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
-
-    above = 0  # the first run that may touch the present one from the line before
-    for k, y in enumerate(ys):
-        while ys[above] < y - 1 or (ys[above] == y - 1 and highs[above] + 1 < lows[k]):
-            above += 1
-        at = above
-        while ys[at] == y - 1 and lows[at] <= highs[k] + 1:
-            one, two = top(at), top(k)
-            root[max(one, two)] = min(one, two)
-            at += 1
-    return [top(k) for k in range(len(ys))]
-
-
-def inner_pixels(ys: list, lows: list, highs: list) -> list:
+    line, low, high = (np.asarray(x, np.int64) for x in (ys, lows, highs))
+    root = np.arange(len(line))
+    i, j = overlapping(line - 1, low - 1, high + 1, line, low, high)
+    while len(i):
+        np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    return root
+
+
+def inner_pixels(ys: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     """For each run of pixels, in the order of lines and columns, how many of its pixels have all four neighbours in some run."""
-    lines: dict[int, list[tuple[int, int]]] = {}
-    for y, low, high in zip(ys, lows, highs, strict=True):
-        lines.setdefault(y, []).append((low, high))
-    out = []
-    for y, line in lines.items():
-        above, below = lines.get(y - 1, []), lines.get(y + 1, [])
-        i = j = 0
-        for low, high in line:
-            low, high, n = low + 1, high - 1, 0
-            while i < len(above) and above[i][1] < low:
-                i += 1
-            while j < len(below) and below[j][1] < low:
-                j += 1
-            a, b = i, j
-            while a < len(above) and b < len(below) and above[a][0] <= high and below[b][0] <= high:
-                n += max(0, min(high, above[a][1], below[b][1]) - max(low, above[a][0], below[b][0]) + 1)
-                if above[a][1] < below[b][1]:
-                    a += 1
-                else:
-                    b += 1
-            out.append(n)
-    return out
+    line, low, high = (np.asarray(x, np.int64) for x in (ys, lows, highs))
+    i, j = overlapping(line - 1, low, high, line + 1, low, high)
+    between, left, right = line[i] - 1, np.maximum(low[i], low[j]), np.minimum(high[i], high[j])  # what the lines above and below both have
+    i, j = overlapping(line, low + 1, high - 1, between, left, right)
+    shared = np.minimum(high[i] - 1, right[j]) - np.maximum(low[i] + 1, left[j]) + 1
+    return np.bincount(i, np.maximum(shared, 0), len(line)).astype(np.int64)
+
+
+REGION = "begin struct<y:bigint,x1:bigint,x2:bigint,n:bigint>, x int, y int, w int, h int, n bigint, inner bigint"
 
 
 def joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (image_id, colour, runs) with ``first``, the place of each run's first, and ``inner``, its pixels that are no border."""
+    """The regions of groups (image_id, colour, runs), all groups of a batch at once: the lines of each stand below those of the one before."""
     for batch in batches:
-        runs = [([r["y"] for r in g], [r["x1"] for r in g], [r["x2"] for r in g]) for g in batch.column("runs").to_pylist()]
-        found = [[of(*g) for g in runs] for of in (first_of_region, inner_pixels)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int32())) for x in found)], names=[*batch.schema.names, "first", "inner"])
+        group = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("runs")).to_numpy())
+        if not len(group):
+            continue
+        runs = batch.column("runs").flatten()
+        y, x1, x2, n = (runs.field(c).to_numpy() for c in ("y", "x1", "x2", "n"))
+        place = group * (y.max() - y.min() + 3) + y, x1, x2
+        first, inner = first_of_region(*place), inner_pixels(*place)
+        order = np.argsort(first, kind="stable")
+        begin = np.flatnonzero(first == np.arange(len(first)))
+        at = np.searchsorted(first[order], begin)
+        of = lambda f, x: f.reduceat(x[order], at)
+        left = of(np.minimum, x1)
+        of_region = [left, y[begin], of(np.maximum, x2) - left + 1, of(np.maximum, y) - y[begin] + 1]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(pa.array(group[begin])) for c in ("image_id", "colour")), runs.take(pa.array(begin)), *(pa.array(x, pa.int32()) for x in of_region), pa.array(of(np.add, n)), pa.array(of(np.add, inner))],
+            names=["image_id", "colour", "begin", "x", "y", "w", "h", "n", "inner"],
+        )
 
 
 def areas(pixels: DataFrame) -> DataFrame:
@@ -125,11 +133,7 @@ def measured(pixels: DataFrame) -> DataFrame:
     runs = pixels.withColumn("gap", F.col("x") - F.row_number().over(line)).groupBy("image_id", "colour", "y", "gap").agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.count("*").alias("n"))
     one = F.struct(*(F.col(c).cast("long").alias(c) for c in ("y", "x1", "x2", "n")))
     groups = runs.groupBy("image_id", "colour").agg(F.array_sort(F.collect_list(one)).alias("runs"))
-    places = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("first", "inner")]
-    found = groups.mapInArrow(joined_runs, T.StructType([*groups.schema.fields, *places]))
-    r = found.select("image_id", "colour", F.explode(F.arrays_zip("runs", "first", "inner")).alias("r"), "runs").select("image_id", "colour", "r.runs.*", "r.inner", F.col("runs")[F.col("r.first")].alias("begin"))
-    sizes = [F.min("x1").cast("int").alias("x"), F.min("y").cast("int").alias("y"), (F.max("x2") - F.min("x1") + 1).cast("int").alias("w"), (F.max("y") - F.min("y") + 1).cast("int").alias("h"), F.sum("n").alias("n"), F.sum("inner").alias("inner")]
-    return r.groupBy("image_id", "colour", "begin").agg(*sizes)
+    return groups.mapInArrow(joined_runs, T.StructType([*groups.drop("runs").schema.fields, *T.StructType.fromDDL(REGION).fields]))
 
 
 def shaped(df: DataFrame, image_area: float, squareness: float = 0.25, share: float = 1000.0, fill: float = 500.0, size: str = "n") -> DataFrame:

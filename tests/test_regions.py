@@ -84,3 +84,27 @@ def test_boxes_are_dealt_by_image_before_they_are_painted(spark):
 
     plan = plans.coloured(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1
+
+
+@given(st.lists(st.sets(st.tuples(st.integers(-3, 6), st.integers(-4, 9)), min_size=1, max_size=60), min_size=1, max_size=6))
+def test_regions_of_all_groups_of_a_batch_are_found_at_once(groups):
+    """One pass over the runs of a batch, whatever its groups; regions and their pixels that are no border as by flood fill."""
+    import pyarrow as pa
+
+    of_run = lambda r: {"y": r[0], "x1": r[1], "x2": r[2], "n": r[2] - r[1] + 1}
+    run = pa.list_(pa.struct([(c, pa.int64()) for c in ("y", "x1", "x2", "n")]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(groups))), pa.array(["red"] * len(groups)), pa.array([[of_run(r) for r in runs_of(g)] for g in groups], run)], names=["image_id", "colour", "runs"])
+    calls, join = [], pixels.first_of_region
+    pixels.first_of_region = lambda *x: calls.append(x) or join(*x)
+    try:
+        found = [r for b in pixels.joined_runs(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    finally:
+        pixels.first_of_region = join
+    want = []
+    for k, points in enumerate(groups):
+        for region in flooded(points):
+            ys, xs = zip(*region)
+            inner = sum({(y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)} <= region for y, x in region)
+            want.append((k, *min(region), min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(region), inner))
+    assert sorted((r["image_id"], r["begin"]["y"], r["begin"]["x1"], r["x"], r["y"], r["w"], r["h"], r["n"], r["inner"]) for r in found) == sorted(want)
+    assert len(calls) == 1
