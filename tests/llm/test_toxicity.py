@@ -72,3 +72,45 @@ def test_no_labels_and_empty(spark):
     assert toxicity.fit(d, lab).terms == []
     assert toxicity.keep(d, lab).count() == 1
     assert toxicity.keep(d.limit(0), lab).collect() == []
+
+
+def test_a_lexicon_has_as_many_terms_as_its_documents_need():
+    """No cap on terms: 2,400 terms in two documents each are all picked."""
+    by_doc = {k: [f"term{k // 2}"] for k in range(4800)}
+    assert sorted(toxicity.cover(by_doc, {}, 2)) == sorted({t for x in by_doc.values() for t in x})
+
+
+def test_cover_is_greedy():
+    """Each pick is the best of all terms that still add a document, as by looking at all of them each time."""
+    rng = random.Random(8)
+    for _ in range(60):
+        names = [f"w{k:02}"[: rng.choice([2, 3])] + rng.choice(["", "*"]) for k in range(40)]
+        by_doc = {k: sorted({rng.choice(names) for _ in range(rng.randrange(6))}) for k in range(rng.choice([5, 60]))}
+        clean, least = {t: rng.choice([0, 0, 0, 1, 4]) for t in names}, rng.choice([2, 3])
+        has = {t: {k for k, x in by_doc.items() if t in x} for x in by_doc.values() for t in x}
+        total, want = {t: len(x) for t, x in has.items()}, []
+        while has:
+            gain = {t: len(x) - toxicity.PENALTY * clean[t] for t, x in has.items()}
+            order = lambda t: (not t.endswith("*"), len(t), t)
+            t = max(has, key=lambda t: (gain[t], *order(t)))
+            wide = [t for t in has if total[t] >= 5 * least and not clean[t]]
+            if gain[t] < least and t not in wide:
+                if not wide:
+                    break
+                t = max(wide, key=lambda t: (len(has[t]), total[t], *order(t)))
+            want.append(t)
+            done = has[t]
+            has = {x: y - done for x, y in has.items() if y - done}
+        assert toxicity.cover(by_doc, clean, least) == want
+
+
+def test_terms_have_any_length(spark):
+    """Words of three letters and of fifty become terms and are found."""
+    rng, long = random.Random(6), "scoundrel" * 6
+    text = lambda: " ".join(f"plain{rng.randrange(300)}" for _ in range(30))
+    rows = [(i, text() + (" kyx" if i % 10 == 0 else f" {long}." if i % 10 == 1 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 < 2)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.toxicity.score for r in toxicity.score(docs, model).collect()}
+    assert {i for i, s in got.items() if s >= 0.3} == {i for i in got if i % 10 < 2}
