@@ -24,3 +24,7 @@ def test_rows_equal_the_sql(spark, shared, name):
 def test_files_of_arriving_images_grow_with_them():
     assert arrivals(0) == arrivals(150_000) == 12 and arrivals(9_000_000) == 48
     assert all(n / arrivals(n) <= 200_000 for n in (9_000_000, 54_000_000))
+
+
+def test_strict_annotation_equals_the_sql(spark, shared):
+    assert difference(spark, registry.queries()["annotate_strict"], registry.oracle_sql()["annotate_strict"], shared) is None
