@@ -169,3 +169,23 @@ def test_words_of_many_texts_are_hashed_at_once():
     assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
     assert [x & 1 for x in h.tolist()] == [any(ch.isalnum() for ch in w) for w in words]
     assert quality.hashed([])[0].tolist() == [] and quality.hashed(["b", texts[6]])[0][1:].tolist() == quality.hashed([texts[6]])[0].tolist()
+
+
+def test_rare_words_and_pairs_are_looked_up(spark, monkeypatch):
+    """All words and pairs that stand twice have weights of their own however many others there are, over several blocks and ranges;
+    texts that the model is not made of are scored and count nothing."""
+    monkeypatch.setattr(quality, "RANGE", 20_000, raising=False)
+    rng = random.Random(5)
+    text = lambda k: " ".join([*(f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(1_000)), f"r{k // 2}", f"r{k // 2} s{k // 2}", f"once{k}"])
+    rows = [(k, text(k), "en" if k % 4 else "de") for k in range(600)]
+    others = [(1000, "w1 w2 r5 s5 new words w3", "en"), (1001, "new " + text(3), "de"), (1002, rows[1][1], "fr"), (1003, None, "en")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    model, prob = quality.fit(docs), brute_model(rows, 0, 0)
+    assert len(model.bits()) == 3 and max(model.bits()) > 3
+    got = {r.doc_id: r.quality for df in (docs, spark.createDataFrame(others, SCHEMA)) for r in quality.score(df, model).collect()}
+    for doc, text, lang in rows + others[:2]:
+        words = words_of(text)
+        both = [prob(lang, a, b) for a, b in zip(["<begin>", *words], words)]
+        for k, x in enumerate((got[doc].log_ppl, got[doc].log_low)):
+            assert abs(x + sum(math.log(p[k]) for p in both) / len(words)) < 1e-9, (doc, k)
+    assert got[1002].log_ppl is not None and got[1003].log_ppl is None and got[1003].n_words == 0
