@@ -88,3 +88,22 @@ def test_bitmaps_as_the_picture_source_reads_them(spark, tmp_path, width):
     want = sorted(map(tuple, ops.picture_pixels(files.folder_pictures(spark, str(tmp_path), "bmp"), "stem", paper=None).collect()))
     assert len(want) == 4 * width
     assert sorted(map(tuple, ops.bitmap_pixels(files.folder_contents(spark, str(tmp_path), "bmp"), "stem", paper=None).collect())) == want
+
+
+def bmp(width, height, colour, bits=24, tail=b""):
+    line = (bytes(colour) * width).ljust((3 * width + 3) // 4 * 4, b"\0")
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 54, 40, width, height, 1, bits, 0, 0, 0, 0, 0, 0) + line * abs(height) + tail
+
+
+def test_files_of_many_kinds_become_pixels_together(spark, monkeypatch):
+    """Files in a row with equal headers are read at once, others apart; pictures are painted without texts of their bytes."""
+    kinds = [bmp(3, 2, (1, 2, 3)), bmp(3, 2, (4, 5, 6)), bmp(2, 3, (7, 8, 9)), bmp(3, -2, (1, 1, 1)), None, b"", b"BM", bmp(3, 2, (1, 2, 3), bits=8), bmp(3, 2, (9, 9, 9))[:-12], bmp(3, 2, (255, 255, 255)), bmp(3, 2, (3, 2, 1), tail=b"x")]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(kinds * 3)], "id long, content binary").coalesce(1)
+    shape = {0: (2, 3), 1: (2, 3), 2: (3, 2), 3: (2, 3), 8: (1, 3), 10: (2, 3)}
+    colour = {0: (1, 2, 3), 1: (4, 5, 6), 2: (7, 8, 9), 3: (1, 1, 1), 8: (9, 9, 9), 10: (3, 2, 1)}
+    want = sorted((k + 11 * n, y + (k == 8), x, *colour[k]) for n in range(3) for k, (h, w) in shape.items() for y in range(h) for x in range(w))
+    for spots in (1_000_000, 5):
+        monkeypatch.setattr(ops, "SPOTS", spots)
+        assert sorted(map(tuple, ops.bitmap_pixels(rows, "id").collect())) == want
+    plan = ops.bitmaps(ops.bitmap_pixels(rows, "id"), "id", 3, 2)._jdf.queryExecution().toString().lower()
+    assert "lpad" not in plan and "map_from_entries" not in plan
