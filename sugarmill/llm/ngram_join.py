@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sugarmill.llm.common import cut, discard, slices, written
+from sugarmill.llm.common import cut, discard, slices, tidy, written
 from sugarmill.llm.components import components
 
 #: Size bands grow by this factor.
@@ -220,6 +220,8 @@ def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     seen.add(fp)
                 sigs.append(signatures(s, percent).view(np.int64) if new else None)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "sigs"])
+        del shingle, seen
+        tidy()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, fp long, sigs array<long>")
 
@@ -242,6 +244,8 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
         for piece in slices(batches):
             sets = [shingle(t or "") for t in piece.column(1).to_pylist()]
             yield as_sets([fingerprint(s) for s in sets], sets)
+        del shingle
+        tidy()
 
     return docs.mapInArrow(run, SETS)
 
@@ -315,6 +319,7 @@ def likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             fps = np.unique(np.concatenate([*found, fy[hit]]))
             if len(fps):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), low)), pa.array(fps)], names=["low", "fp"])
+    tidy()
 
 
 def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -370,6 +375,7 @@ def blocked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 root = spanning(x, y if len(sides) == 1 else y + len(fa), len(ids))
                 moved = root != np.arange(len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"])
+    tidy()
 
 
 def few(ids: DataFrame) -> DataFrame:
